@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -10,42 +13,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import running_totals
+from tapeloom.llm.common import running_totals, written
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Entries of a worker's table of encoded words; a full table starts again.
-CACHE_WORDS = 150_000
 
 
-class WordEncoder:
-    """Token ids of a text as little-endian unsigned 32-bit bytes, by the `tokenizers` file at `path`.
+class Encoder:
+    """Token ids of a text as little-endian unsigned 32-bit bytes, as the `tokenizers` file at `path` gives them.
 
-    A byte-level BPE never joins what stands before and after a single space between two characters
-    that are not white space, so texts are encoded word by word and each distinct word only once.
-    Texts in which white space stands beside a space are encoded in one go.
+    Beside byte_bpe_50k.json lies the same vocabulary as ranks, for tiktoken, which is several times faster
+    and gives the same ids. The two split texts by the same pattern, but by Unicode tables of their own, so a text
+    with characters beyond Latin letters and plain white space goes to `tokenizers` itself; so does
+    every text where there is no file of ranks.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    LATIN = re.compile("[^\t\n\r -~\u00a1-\u024f]")
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings are ordinary text here
-        self.known: dict[str, bytes] = {}
+    def __init__(self, path: str):
+        self.path, self.ranks, self.model = path, None, None
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        if os.path.basename(path) == TOKENIZER and os.path.exists(ranks):
+            import public_tokenizers
+            import tiktoken
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.ranks = tiktoken.Encoding(TOKENIZER, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return self.encode([text])[0] if text else b""
-        parts[1:] = [" " + p for p in parts[1:]]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if new := list({p for p in parts if p not in known}):
-            known.update(zip(new, self.encode(new), strict=True))
-        return b"".join([known[p] for p in parts])
+        if self.ranks is not None and not self.LATIN.search(text):
+            return self.ranks.encode_to_numpy(text).astype("<u4").tobytes()
+        if self.model is None:
+            from tokenizers import Tokenizer
+
+            self.model = Tokenizer.from_file(self.path)
+            self.model.encode_special_tokens = True  # their strings are ordinary text here
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def tokenized_pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:
@@ -58,7 +61,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str | Non
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        encoder = WordEncoder(tokenizer or public_tokenizers.path(TOKENIZER))
+        encoder = Encoder(tokenizer or public_tokenizers.path(TOKENIZER))
         step = 4 * capacity
         for batch in batches:
             rows: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
@@ -173,7 +176,8 @@ def packed(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None,
     empty texts count as the one end id; null doc_ids stay null; repeated rows are packed each; an
     empty table gives no rows; other columns are not read.
     """
-    return place_pieces(tokenized_pieces(docs, capacity, tokenizer, keep_ids), capacity)
+    # written, as the range partitioning reads its input twice
+    return place_pieces(written(tokenized_pieces(docs, capacity, tokenizer, keep_ids)), capacity)
 
 
 def sequences(pieces: DataFrame, capacity: int = 1024, pad: int = 0) -> DataFrame:
