@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -57,7 +58,8 @@ CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
 FORMS = (
     (5, "spdx", r"spdx-license-identifier: ?(?:{spdx})(?![\w.-])"),
     (4, "licen", r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name}(?![\w-])"),
-    (3, "licen", r"licen[sc]e: ?(?:the )?(?:{name}|{spdx})(?![\w-])"),
+    (3, "licen", r"licen[sc]e: ?(?:the )?{name}(?![\w-])"),
+    (3, "licen", r"licen[sc]e: ?(?:{spdx})(?![\w.-])"),
     (3, "copy", r"(?:copy of|see) the {name}(?![\w-])"),
     (2, "", r"{name}(?![\w-])"),
 )
@@ -84,7 +86,8 @@ def signature_rules() -> list[tuple[str, int, str, str, str]]:
         for v in CC_VERSIONS:
             dotted = v.replace(".", r"\.")
             named.append((f"cc-{terms}-{v}", v, rf"(?:cc[- ]{terms}|creative commons {words})[- ,]*(?:version )?{dotted}", f"cc-{terms}-{v}"))
-    rules = [(label, priority, key, beside, form.format(name=f"(?:{name})", spdx=spdx.replace(".", r"\."))) for label, key, name, spdx in named for priority, beside, form in FORMS]
+    stem = lambda spdx: "" if "|" in spdx.split("(")[0] else re.match(r"[a-z0-9-]+", spdx)[0]  # an identifier comes without the license's name
+    rules = [(label, priority, stem(spdx) if "{spdx}" in form else key, beside, form.format(name=f"(?:{name})", spdx=spdx.replace(".", r"\."))) for label, key, name, spdx in named for priority, beside, form in FORMS]
     return rules + [(label, priority, key, "", pattern) for label, priority, key, pattern in GENERIC]
 
 
