@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import SPACE, let, word_count, words_of
+from tapeloom.llm.common import SPACE, let, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -18,9 +18,14 @@ def _count(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
-def word_chars(text: Column) -> Column:
+def _chars(text: Column, runs: str) -> Column:
+    """Characters of `text` in runs that match; where most characters do, cheaper than a match for each."""
+    return (F.length(text) - F.length(F.regexp_replace(text, runs, ""))).cast("long")
+
+
+def word_chars(words: Column) -> Column:
     """Code points in words."""
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")).cast("long")
+    return F.length(F.array_join(words, "")).cast("long")
 
 
 def full_lines(text: Column) -> Column:
@@ -33,12 +38,21 @@ def dup_lines(text: Column) -> Column:
     return let(full_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def repeated_words(text: Column, window: int = 8) -> Column:
-    """Words that stand in a window of `window` words found twice or more in the text, the first included.
+def _windows(hashes: Column, width: int) -> Column:
+    """A hash of every window of `width` of `hashes`, in order; a window's hash is that of its halves'."""
+    if width == 1:
+        return hashes
+    pairs = lambda a, b, by: F.zip_with(F.slice(a, F.lit(1), F.size(a) - by), F.slice(b, F.lit(by + 1), F.size(b) - by), lambda x, y: F.xxhash64(x, y))
+    even = let(_windows(hashes, width // 2), lambda h: pairs(h, h, width // 2))
+    return even if width % 2 == 0 else let(even, lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(hashes, F.lit(width), F.size(h) - 1), lambda x, y: F.xxhash64(x, y)))
+
 
-    Windows are compared by a 64-bit hash of their words' hashes. Only texts that hold a repeated window
-    are looked at further: sorting puts equal windows side by side, and a sweep over their starts adds
-    up the words they cover. All of it is linear in the text but for that sort.
+def repeated_words(words: Column, window: int = 8) -> Column:
+    """Of an array of words, those in a window of `window` words found twice or more in it, the first included.
+
+    Windows are compared by a 64-bit hash, built by doubling from their words' hashes. Only texts that
+    hold a repeated window are looked at further: sorting puts equal windows side by side, and a sweep over
+    their starts adds up the words they cover. All of it is linear in the text but for that sort.
     """
 
     def covered(grams: Column) -> Column:
@@ -48,37 +62,32 @@ def repeated_words(text: Column, window: int = 8) -> Column:
         step = lambda a, p: F.struct((p + window).alias("end"), (a["n"] + window - F.greatest(F.lit(0), a["end"] - p)).alias("n"))
         return F.aggregate(starts, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda a: a["n"])
 
-    def grams(hashes: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(hashes) - (window - 1)), lambda i: F.xxhash64(F.slice(hashes, i, window)))
-        return let(each, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(g)))
+    def count(hashes: Column) -> Column:
+        return let(_windows(hashes, window), lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(g)))
 
-    hashes = F.transform(words_of(text), lambda w: F.xxhash64(w))
-    return let(hashes, lambda h: F.when(F.size(h) <= window, F.lit(0)).otherwise(grams(h))).cast("long")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(hashes, lambda h: F.when(F.size(h) <= window, F.lit(0)).otherwise(count(h))).cast("long")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule that rejects a text: an expression over the text column alone."""
+    """A rule that rejects a text: an expression over the text and the array of its words, split once for all rules."""
 
     name: str
-    rejects: Callable[[Column], Column]
-
-
-def _share(text: Column, part: str, of: str) -> Column:
-    return F.coalesce(F.try_divide(_count(text, part), _count(text, of)), F.lit(0.0))
+    rejects: Callable[[Column, Column], Column]
 
 
 #: The base rules come from the contract; the others take texts far outside what prose looks like.
 BASE_RULES = (
-    Rule("few_words", lambda t: word_count(t) < 20),
-    Rule("repeated_windows", lambda t: let(word_count(t), lambda n: repeated_words(t) * 100 > n * 30)),
+    Rule("few_words", lambda t, w: F.size(w) < 20),
+    Rule("repeated_windows", lambda t, w: repeated_words(w) * 100 > F.size(w) * 30),
 )
 EXTRA_RULES = (
-    Rule("symbols", lambda t: _count(t, SYMBOLS) * 4 > word_count(t)),
-    Rule("shouting", lambda t: _share(t, "[A-Z]", "[A-Za-z]") > 0.6),
-    Rule("exclamations", lambda t: _count(t, "!") * 3 > word_count(t)),
-    Rule("word_length", lambda t: ~F.coalesce(F.try_divide(word_chars(t), word_count(t)), F.lit(0.0)).between(1.5, 25)),
-    Rule("dup_lines", lambda t: let(full_lines(t), lambda x: (F.size(x) > 3) & ((F.size(x) - F.size(F.array_distinct(x))) * 2 > F.size(x)))),
+    Rule("symbols", lambda t, w: _count(t, SYMBOLS) * 4 > F.size(w)),
+    Rule("shouting", lambda t, w: F.coalesce(F.try_divide(_chars(t, "[A-Z]+"), _chars(t, "[A-Za-z]+")) > 0.6, F.lit(False))),
+    Rule("exclamations", lambda t, w: _count(t, "!") * 3 > F.size(w)),
+    Rule("word_length", lambda t, w: ~F.coalesce(F.try_divide(word_chars(w), F.size(w)), F.lit(0.0)).between(1.5, 25)),
+    Rule("dup_lines", lambda t, w: let(full_lines(t), lambda x: (F.size(x) > 3) & ((F.size(x) - F.size(F.array_distinct(x))) * 2 > F.size(x)))),
 )
 
 
@@ -88,24 +97,24 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 500)
     The sample decides only the order in which a cascade looks at the rules, never its verdicts. Ties (also
     an empty table) keep the given order.
     """
-    sample = docs.select("text").limit(sample_rows).persist()
+    sample = docs.select("text").limit(sample_rows).withColumn("words", words_of(F.col("text"))).persist()
     try:
         sample.count()
         merit = []
         for rule in rules:
             began = time.perf_counter()
-            hit = sample.agg(F.count_if(rule.rejects(F.col("text"))).alias("n")).first()["n"]
+            hit = sample.agg(F.count_if(rule.rejects(F.col("text"), F.col("words"))).alias("n")).first()["n"]
             merit.append(hit / (time.perf_counter() - began))
     finally:
         sample.unpersist()
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-merit[i], i))]
 
 
-def cascade(text: Column, rules: Sequence[Rule]) -> Column:
+def cascade(text: Column, words: Column, rules: Sequence[Rule]) -> Column:
     """Whether any rule rejects the text; later rules are not evaluated once one does."""
     verdict = F.lit(False)
     for rule in reversed(rules):
-        verdict = F.when(rule.rejects(text), F.lit(True)).otherwise(verdict)
+        verdict = F.when(rule.rejects(text, words), F.lit(True)).otherwise(verdict)
     return verdict
 
 
@@ -115,7 +124,8 @@ def passing(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + EXTRA_RULES) -
     Null and empty texts have no words and are rejected; repeated rows get the same verdict; other
     columns are passed on and may have any name; an empty table stays empty.
     """
-    return docs.where(~cascade(docs["text"], order_rules(docs, rules)))
+    text, ordered = docs["text"], order_rules(docs, rules)
+    return docs.where(let(words_of(text), lambda w: ~cascade(text, w, ordered)))
 
 
 def rule_report(docs: DataFrame) -> DataFrame:
@@ -126,7 +136,8 @@ def rule_report(docs: DataFrame) -> DataFrame:
     """
     t = F.col("text")
     extra = order_rules(docs, EXTRA_RULES)
-    rows = docs.select("doc_id", word_count(t).alias("n_words"), word_chars(t).alias("word_chars"), _count(t, SYMBOLS).alias("n_symbols"), dup_lines(t).alias("n_dup_lines"), repeated_words(t).alias("n_repeat_words"), cascade(t, extra).alias("_rejected"))
+    counts = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), word_chars(w).alias("word_chars"), _count(t, SYMBOLS).alias("n_symbols"), dup_lines(t).alias("n_dup_lines"), repeated_words(w).alias("n_repeat_words"), cascade(t, w, extra).alias("_rejected"))
+    rows = docs.select("doc_id", let(words_of(t), counts).alias("_counts")).select("doc_id", "_counts.*")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     rows = rows.withColumn("base_failed", failed)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("_rejected")).alias("kept"))

@@ -149,7 +149,7 @@ def test_vector_links_against_all_pairs(spark):
 def test_repeated_windows_against_brute_force(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choices("abc", k=rng.randint(0, 60))) for _ in range(200)]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("doc_id", quality_rules.repeated_words(F.col("text")).alias("n")).collect()
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("doc_id", quality_rules.repeated_words(common.words_of(F.col("text"))).alias("n")).collect()
     for r in rows:
         w = words(texts[r.doc_id])
         grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
