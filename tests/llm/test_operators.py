@@ -146,15 +146,16 @@ def test_vector_links_against_all_pairs(spark):
     assert got == want
 
 
-def test_repeated_windows_against_brute_force(spark):
+@pytest.mark.parametrize("window", [3, 6, 7, 8])
+def test_repeated_windows_against_brute_force(spark, window):
     rng = random.Random(3)
     texts = [" ".join(rng.choices("abc", k=rng.randint(0, 60))) for _ in range(200)]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("doc_id", quality_rules.repeated_words(common.words_of(F.col("text"))).alias("n")).collect()
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("doc_id", quality_rules.repeated_words(common.words_of(F.col("text")), window).alias("n")).collect()
     for r in rows:
         w = words(texts[r.doc_id])
-        grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        grams = [tuple(w[i : i + window]) for i in range(len(w) - window + 1)]
         many = Counter(grams)
-        assert r.n == len({i + k for i, g in enumerate(grams) if many[g] > 1 for k in range(8)})
+        assert r.n == len({i + k for i, g in enumerate(grams) if many[g] > 1 for k in range(window)})
 
 
 def test_license_base_counts_and_containment(spark):
