@@ -15,11 +15,12 @@ BASE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE_PHRASES = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
 
-#: Label, what must stand in the text, the license's name as a pattern, its SPDX identifier.
+#: Label, what every match of the name holds, the license's name as a pattern, its SPDX identifier.
 LICENSES = (
     ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e,? (?:version |v\.? ?)?1\.1", "apache-1.1"),
     ("apache-2.0", "apache", r"apache (?:software )?licen[sc]e,? (?:version |v\.? ?)?2(?:\.0)?", "apache-2.0"),
-    ("mit", "mit", r"(?:mit|expat) licen[sc]e", "mit"),
+    ("mit", "mit", r"mit licen[sc]e", "mit"),
+    ("mit", "expat", r"expat licen[sc]e", "mit"),
     ("mit-0", "no attribution", r"mit no attribution(?: licen[sc]e)?", "mit-0"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2[- ]clause|2[- ]clause bsd|freebsd)(?: licen[sc]e)?", "bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|revised bsd|modified bsd|bsd 3[- ]clause|3[- ]clause bsd)(?: licen[sc]e)?", "bsd-3-clause"),
@@ -42,7 +43,7 @@ LICENSES = (
     ("boost-1.0", "boost", r"boost software licen[sc]e(?:,? (?:version |v\.? ?)?1\.0)?", "bsl-1.0"),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e", "zlib"),
     ("unlicense", "unlicense", r"the unlicense", "unlicense"),
-    ("wtfpl", "wtf", r"do what the f\w+ you want to public licen[sc]e", "wtfpl"),
+    ("wtfpl", "you want to public", r"do what the f\w+ you want to public licen[sc]e", "wtfpl"),
     ("postgresql", "postgresql", r"postgresql licen[sc]e", "postgresql"),
     ("python-2.0", "python software", r"python software foundation licen[sc]e(?:,? (?:version |v\.? ?)?2)?", "psf-2.0|python-2.0"),
     ("openssl", "openssl", r"openssl licen[sc]e", "openssl"),
@@ -54,13 +55,14 @@ LICENSES = (
 #: The Creative Commons licenses are a rule: each set of terms in each version.
 CC_TERMS = {"by": "attribution", "by-sa": "attribution[- ]sharealike", "by-nd": "attribution[- ]noderiv(?:ative)?s", "by-nc": "attribution[- ]noncommercial", "by-nc-sa": "attribution[- ]noncommercial[- ]sharealike", "by-nc-nd": "attribution[- ]noncommercial[- ]noderiv(?:ative)?s"}
 CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
-#: How a license is spoken of, most telling first; {name} and {spdx} are filled in. Priority, what must stand beside the keyword, pattern.
+#: How a license is spoken of, most telling first; {name} and {spdx} are filled in. Priority, what every match holds beside the keyword, pattern.
 FORMS = (
     (5, "spdx", r"spdx-license-identifier: ?(?:{spdx})(?![\w.-])"),
-    (4, "licen", r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name}(?![\w-])"),
+    (4, "under", r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name}(?![\w-])"),
     (3, "licen", r"licen[sc]e: ?(?:the )?{name}(?![\w-])"),
     (3, "licen", r"licen[sc]e: ?(?:{spdx})(?![\w.-])"),
-    (3, "copy", r"(?:copy of|see) the {name}(?![\w-])"),
+    (3, "copy of the", r"copy of the {name}(?![\w-])"),
+    (3, "see the", r"see the {name}(?![\w-])"),
     (2, "", r"{name}(?![\w-])"),
 )
 #: Families named without a version, and grants of rights that name no license.
@@ -80,7 +82,7 @@ GENERIC = (
 
 
 def signature_rules() -> list[tuple[str, int, str, str, str]]:
-    """label, priority, keyword, second keyword, pattern: every license in every form, some 300 rules."""
+    """label, priority, keyword, second keyword, pattern: every license in every form, some 400 rules. Every match of a pattern holds both keywords."""
     named = list(LICENSES)
     for terms, words in CC_TERMS.items():
         for v in CC_VERSIONS:
@@ -88,7 +90,7 @@ def signature_rules() -> list[tuple[str, int, str, str, str]]:
             named.append((f"cc-{terms}-{v}", v, rf"(?:cc[- ]{terms}|creative commons {words})[- ,]*(?:version )?{dotted}", f"cc-{terms}-{v}"))
     stem = lambda spdx: "" if "|" in spdx.split("(")[0] else re.match(r"[a-z0-9-]+", spdx)[0]  # an identifier comes without the license's name
     rules = [(label, priority, stem(spdx) if "{spdx}" in form else key, beside, form.format(name=f"(?:{name})", spdx=spdx.replace(".", r"\."))) for label, key, name, spdx in named for priority, beside, form in FORMS]
-    return rules + [(label, priority, key, "", pattern) for label, priority, key, pattern in GENERIC]
+    return list(dict.fromkeys(rules)) + [(label, priority, key, "", pattern) for label, priority, key, pattern in GENERIC]
 
 
 def _gate(low: Column) -> Column:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -167,6 +168,41 @@ def test_license_base_counts_and_containment(spark):
     assert all(not (a.start <= b.start and b.end <= a.end and a.priority >= b.priority) for r in rows.values() for a, b in itertools.permutations(r.detections, 2))
 
 
+def _sample(parsed, rng):
+    """A text that the parsed pattern takes, but for what it looks ahead or behind for."""
+    out = ""
+    for op, v in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(v)
+        elif op == "IN":
+            kind, x = rng.choice(v)
+            out += {"CATEGORY_SPACE": "\n", "CATEGORY_WORD": "x", "CATEGORY_DIGIT": "1"}[str(x)] if str(kind) == "CATEGORY" else chr(x if str(kind) == "LITERAL" else rng.randint(*x))
+        elif op == "SUBPATTERN":
+            out += _sample(v[3], rng)
+        elif op == "BRANCH":
+            out += _sample(rng.choice(v[1]), rng)
+        elif "REPEAT" in op:
+            out += "".join(_sample(v[2], rng) for _ in range(rng.randint(v[0], min(v[1], v[0] + 2))))
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_license_keywords_stand_in_every_match(spark):
+    rng, rows = random.Random(5), []
+    for label, _, key, beside, pattern in license_scan.signature_rules():
+        texts = {t for t in (_sample(re._parser.parse(pattern), rng) for _ in range(60)) if re.search(pattern, t)}
+        assert texts, pattern
+        for t in texts:
+            assert all(k in t for k in (key, beside)), (label, key, beside, t)
+        rows += [(t,) for t in texts]
+    assert not spark.createDataFrame(rows, "text string").where(~license_scan._gate(F.col("text"))).head(5)
+    want = {"Do What The Fun You Want To Public License": ("wtfpl", 0.64), "The Expat License": ("mit", 0.64), "released under the 2-clause BSD": ("bsd-2-clause", 0.88), "distributed under CC0 1.0": ("cc0-1.0", 0.88), "see the ISC License": ("isc", 0.76)}
+    got = license_scan.license_report(spark.createDataFrame([(t, t) for t in want], "doc_id string, text string")).collect()
+    assert {r.doc_id: (r.labels, round(r.score, 2)) for r in got} == want
+
+
 def test_line_spread_is_exact_near_the_limit(spark):
     rows = [(100 * k + s, f"line {k}\nown {k} {s}", f"s{s}") for k, sites in enumerate((9, 10, 11, 30)) for s in range(sites)]
     got = line_dedup.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
