@@ -15,6 +15,9 @@ BASE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE_PHRASES = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
 
+#: What a blank of a pattern takes: a run of white space and of the marks that comments, quotes and boxes put around line ends.
+MARKS = r"\s\u00a0*#/;%>|!\"'\\.-"
+GAP = rf"[*\"'\\/#]*+[\s\u00a0][{MARKS}]*+(?:(?:dnl|rem)\s[{MARKS}]*+)?+"
 #: Label, what every match of the name holds, the license's name as a pattern, its SPDX identifier.
 LICENSES = (
     ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e,? (?:version |v\.? ?)?1\.1", "apache-1.1"),
@@ -55,6 +58,37 @@ LICENSES = (
 #: The Creative Commons licenses are a rule: each set of terms in each version.
 CC_TERMS = {"by": "attribution", "by-sa": "attribution[- ]sharealike", "by-nd": "attribution[- ]noderiv(?:ative)?s", "by-nc": "attribution[- ]noncommercial", "by-nc-sa": "attribution[- ]noncommercial[- ]sharealike", "by-nc-nd": "attribution[- ]noncommercial[- ]noderiv(?:ative)?s"}
 CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+#: Short names: label, keyword, pattern, whether the name tells a license also where nothing is said to be under it.
+_V = r"(?:,? (?:version |v\.? ?)|-?v\.?|[-\t\x20]{0,3}(?=\d)| (?=\d\.\d))"
+_END = r"(?:\+|-only|-or-later)?(?!\.\d)"
+SHORT = (
+    ("gpl-2.0", "gpl", rf"(?<![\w-])(?:gnu )?gpl{_V}2(?:\.0)?{_END}", True),
+    ("gpl-3.0", "gpl", rf"(?<![\w-])(?:gnu )?gpl{_V}3(?:\.0)?{_END}", True),
+    ("lgpl-2.1", "lgpl", rf"(?<![\w-])(?:gnu )?lgpl{_V}2\.1{_END}", True),
+    ("lgpl-3.0", "lgpl", rf"(?<![\w-])(?:gnu )?lgpl{_V}3(?:\.0)?{_END}", True),
+    ("agpl-3.0", "agpl", rf"(?<![\w-])(?:gnu )?agpl{_V}3(?:\.0)?{_END}", True),
+    ("gfdl-1.3", "gfdl", rf"(?<![\w-])(?:gnu )?gfdl{_V}1\.[0-3]{_END}", True),
+    ("cddl-1.0", "cddl", rf"(?<![\w-])cddl{_V}1\.0(?!\.\d)", True),
+    ("eupl-1.2", "eupl", rf"(?<![\w-])eupl{_V}1\.2(?!\.\d)", True),
+    ("odbl-1.0", "odbl", rf"(?<![\w-])odbl{_V}1\.0(?!\.\d)", True),
+    ("wtfpl", "wtfpl", r"(?<![\w-])wtfpl", True),
+    ("mpl-1.1", "mpl", rf"(?<![\w-])mpl{_V}1\.1(?!\.\d)", True),
+    ("mpl-2.0", "mpl", rf"(?<![\w-])mpl{_V}2(?:\.0)?(?!\.\d)", True),
+    ("epl-1.0", "epl", rf"(?<![\w-])epl{_V}1(?:\.0)?(?!\.\d)", False),
+    ("epl-2.0", "epl", rf"(?<![\w-])epl{_V}2(?:\.0)?(?!\.\d)", False),
+    ("ofl-1.1", "ofl", rf"(?<![\w-])ofl{_V}1\.1(?!\.\d)", False),
+    ("apache-1.1", "apache", rf"(?<![\w-])apache{_V}1\.1(?!\.\d)", False),
+    ("apache-2.0", "apache", rf"(?<![\w-])apache{_V}2(?:\.0)?(?!\.\d)", False),
+    ("apache-2.0", "asl", rf"(?<![\w-])asl{_V}2(?:\.0)?(?!\.\d)", False),
+    ("bsd-2-clause", "bsd-2-clause", r"(?<![\w-])bsd-2-clause", True),
+    ("bsd-3-clause", "bsd-3-clause", r"(?<![\w-])bsd-3-clause", True),
+    ("bsd-4-clause", "bsd-4-clause", r"(?<![\w-])bsd-4-clause", True),
+    ("0bsd", "0bsd", r"(?<![\w-])0bsd", True),
+    ("mit", "mit", r"(?<![\w-])mit(?= ?(?:[.,;:)\]/]|$|or |and |terms))", False),
+    ("isc", "isc", r"(?<![\w-])isc(?= ?(?:[.,;:)\]/]|$|or |and |terms))", False),
+)
+#: Forms of a short name that does not stand alone.
+UNDER, NAMED, BARE = 1, 2, 6
 #: How a license is spoken of, most telling first; {name} and {spdx} are filled in. Priority, what every match holds beside the keyword, pattern.
 FORMS = (
     (5, "spdx", r"spdx-license-identifier: ?(?:{spdx})(?![\w.-])"),
@@ -71,6 +105,9 @@ GENERIC = (
     ("gpl", 1, "general public", r"(?:gnu )?general public licen[sc]e"),
     ("lgpl", 1, "lesser", r"(?:gnu )?lesser general public licen[sc]e"),
     ("agpl", 1, "affero", r"(?:gnu )?affero general public licen[sc]e"),
+    ("gpl", 1, "gpl", r"(?<![\w-])(?:gnu )?gpl(?![\w-])"),
+    ("lgpl", 1, "lgpl", r"(?<![\w-])(?:gnu )?lgpl(?![\w-])"),
+    ("agpl", 1, "agpl", r"(?<![\w-])(?:gnu )?agpl(?![\w-])"),
     ("mpl", 1, "mozilla", r"mozilla public licen[sc]e"),
     ("bsd", 1, "bsd", r"bsd licen[sc]e"),
     ("creative-commons", 1, "creative commons", r"creative commons licen[sc]e"),
@@ -81,8 +118,17 @@ GENERIC = (
 )
 
 
-def signature_rules() -> list[tuple[str, int, str, str, str]]:
-    """label, priority, keyword, second keyword, pattern: every license in every form, some 400 rules. Every match of a pattern holds both keywords."""
+def _gapped(pattern: str) -> str:
+    """`pattern` with GAP for each blank, and for each blank that is a choice of a class."""
+    pattern = pattern.replace("[- ,]*", rf"[,{MARKS}]*+").replace("[- ]", f"(?:-|{GAP})").replace(" ?", f"(?:{GAP})?")
+    return pattern.replace(" ", GAP)
+
+
+def signature_rules() -> list[tuple[str, int, tuple[str, ...], str]]:
+    """label, priority, keywords, pattern: every license in every form, some 500 rules; every match holds all keywords.
+
+    The number says little about the width of the set: about 170 of the rules are the Creative Commons template.
+    """
     named = list(LICENSES)
     for terms, words in CC_TERMS.items():
         for v in CC_VERSIONS:
@@ -90,12 +136,20 @@ def signature_rules() -> list[tuple[str, int, str, str, str]]:
             named.append((f"cc-{terms}-{v}", v, rf"(?:cc[- ]{terms}|creative commons {words})[- ,]*(?:version )?{dotted}", f"cc-{terms}-{v}"))
     stem = lambda spdx: "" if "|" in spdx.split("(")[0] else re.match(r"[a-z0-9-]+", spdx)[0]  # an identifier comes without the license's name
     rules = [(label, priority, stem(spdx) if "{spdx}" in form else key, beside, form.format(name=f"(?:{name})", spdx=spdx.replace(".", r"\."))) for label, key, name, spdx in named for priority, beside, form in FORMS]
-    return list(dict.fromkeys(rules)) + [(label, priority, key, "", pattern) for label, priority, key, pattern in GENERIC]
+    rules += [(label, priority, key, beside, form.format(name=f"(?:{name})")) for label, key, name, alone in SHORT for i, (priority, beside, form) in enumerate(FORMS) if "{name}" in form and (alone or i in (UNDER, NAMED))]
+    rules += [(label, priority, key, "", pattern) for label, priority, key, pattern in GENERIC]
+    return [(label, priority, tuple(dict.fromkeys(f"{key} {beside}".split())), _gapped(pattern)) for label, priority, key, beside, pattern in dict.fromkeys(rules)]
+
+
+#: Every rule needs all words of one of these, or a short name that something is under.
+GATES = ("licen", "spdx", "cc-by", "creative commons", "cc by 2.", "cc by 3.0", "cc by 4.0", "attribution", "cc0", "bsd", "public domain", "permission is hereby granted", "redistribution and use", "all rights reserved", "gpl", "gfdl", "cddl", "eupl", "odbl", "wtfpl", "mpl 1.1", "mpl 2")
+UNDER_SHORT = _gapped(r"under (?:the )?(?:terms of )?(?:the )?(?:" + "|".join(dict.fromkeys(key for _, key, _, alone in SHORT if not alone)) + ")")
 
 
 def _gate(low: Column) -> Column:
-    """Whether any rule's keywords can stand in the text: every rule needs one of these."""
-    return any_of([F.contains(low, F.lit(k)) for k in ("licen", "spdx", "cc-by", "cc by", "creative commons", "attribution", "cc0", "bsd", "public domain", "permission is hereby granted", "redistribution and use", "all rights reserved")])
+    """Whether any rule's keywords can stand in the text."""
+    holds = lambda words: reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in words])
+    return any_of([*[holds(g.split()) for g in GATES], F.contains(low, F.lit("under")) & F.rlike(low, F.lit(UNDER_SHORT))])
 
 
 def _spans(text: Column, rule: Column) -> Column:
@@ -117,9 +171,10 @@ def detections(text: Column) -> Column:
 
     Rules run only where their keywords stand in the text. Of the detections, sorted by start and the longest
     first, one is dropped if an earlier one of the same or a higher priority contains it; of equal spans
-    the higher priority stays. Places are code points from 0; end is exclusive.
+    the higher priority stays. Words of a pattern may stand apart by more than a blank (GAP). Places are code points from 0; end is exclusive.
     """
-    rules = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(k).alias("key"), F.lit(b).alias("beside"), F.lit(x).alias("pattern")) for a, p, k, b, x in signature_rules()])
+    rules = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(p).alias("priority"), F.array(*[F.lit(w) for w in k]).alias("keys"), F.lit(x).alias("pattern")) for a, p, k, x in signature_rules()])
+    keywords = F.array(*[F.lit(w) for w in sorted({w for r in signature_rules() for w in r[2]})])
     levels = sorted({r[1] for r in signature_rules()})
 
     def kept(spans: Column) -> Column:
@@ -135,7 +190,8 @@ def detections(text: Column) -> Column:
         return F.aggregate(spans, none, step, lambda a: a["out"])
 
     def scan(low: Column) -> Column:
-        due = F.filter(rules, lambda r: F.contains(low, r["key"]) & F.contains(low, r["beside"]))
+        # each word is looked for once, not once for each rule
+        due = let(F.filter(keywords, lambda w: ~F.contains(low, w)), lambda absent: F.filter(rules, lambda r: ~F.arrays_overlap(r["keys"], absent)))
         return kept(F.sort_array(F.flatten(F.transform(due, lambda r: _spans(low, r)))))
 
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -191,11 +191,12 @@ def _sample(parsed, rng):
 
 def test_license_keywords_stand_in_every_match(spark):
     rng, rows = random.Random(5), []
-    for label, _, key, beside, pattern in license_scan.signature_rules():
-        texts = {t for t in (_sample(re._parser.parse(pattern), rng) for _ in range(60)) if re.search(pattern, t)}
+    for label, _, keys, pattern in license_scan.signature_rules():
+        parsed = re._parser.parse(pattern)
+        texts = {t for t in (_sample(parsed, rng) for _ in range(60)) if re.search(pattern, t)}
         assert texts, pattern
         for t in texts:
-            assert all(k in t for k in (key, beside)), (label, key, beside, t)
+            assert all(k in t for k in keys), (label, keys, t)
         rows += [(t,) for t in texts]
     assert not spark.createDataFrame(rows, "text string").where(~license_scan._gate(F.col("text"))).head(5)
     want = {"Do What The Fun You Want To Public License": ("wtfpl", 0.64), "The Expat License": ("mit", 0.64), "released under the 2-clause BSD": ("bsd-2-clause", 0.88), "distributed under CC0 1.0": ("cc0-1.0", 0.88), "see the ISC License": ("isc", 0.76)}
@@ -203,6 +204,33 @@ def test_license_keywords_stand_in_every_match(spark):
     assert {r.doc_id: (r.labels, round(r.score, 2)) for r in got} == want
 
 
+def test_license_text_may_be_wrapped_and_names_short(spark):
+    want = {
+        "/*\n * under the GNU General Public\n * License, version 3.\n */": "gpl-3.0",
+        "Permission is hereby granted, free of charge, to any\nperson obtaining  a copy": "mit",
+        "# Licensed under the\n# Apache  License,\n#\tVersion 2.0": "apache-2.0",
+        "dnl Creative Commons\ndnl Attribution-ShareAlike 4.0": "cc-by-sa-4.0",
+        "// Redistribution and use in\r\n// source and binary   forms": "bsd",
+        "All rights\n    reserved": "proprietary",
+        "licensed under GPLv3": "gpl-3.0",
+        "LGPL\n * 2.1": "lgpl-2.1",
+        "released under the Apache\n# 2.0": "apache-2.0",
+        "distributed under MIT.": "mit",
+        "available under the GPL": "gpl",
+        "GPL-2.0-or-later": "gpl-2.0",
+        "the GPL.\n2. Next": "gpl",
+        "a course available under MIT OpenCourseWare": "",
+        "Apache 2.0 answers on port 80; EPL 2 was won": "",
+        "general, public": "",
+    }
+    rows = license_scan.license_report(spark.createDataFrame([(t, t) for t in want], "doc_id string, text string")).collect()
+    assert {r.doc_id: ",".join(sorted({d.label for d in r.detections})) for r in rows} == want
+    first = next(r for r in rows if r.doc_id.startswith("/*")).detections[0]
+    assert rows[0].doc_id[first.start : first.end].lower() == "gnu general public\n * license, version 3"
+    long = license_scan.license_report(spark.createDataFrame([("gnu general public " + "*/ \n" * 50_000 + "x",)], "text string").selectExpr("1 as doc_id", "text")).head()
+    assert long.labels == ""
+
+
 def test_line_spread_is_exact_near_the_limit(spark):
     rows = [(100 * k + s, f"line {k}\nown {k} {s}", f"s{s}") for k, sites in enumerate((9, 10, 11, 30)) for s in range(sites)]
     got = line_dedup.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
