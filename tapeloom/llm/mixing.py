@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import joined_small, running_totals, word_count
+from tapeloom.llm.common import joined_small, running_totals, word_count, written
 
 WEIGHTS = (5, 2, 1)
 #: Weight of a source at the start and at the end of training, relative to its mean; one for each of WEIGHTS.
@@ -54,32 +54,42 @@ def mixing_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Se
     Null texts have size 0 and take no part; null is a source of its own, after all others; repeated
     rows count as documents of their own; an empty table gives no rows; other columns are not read.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order"))
+    return _plan(docs, [], weights, schedules, share, cap)
+
+
+def _plan(docs: DataFrame, keep: list[str], weights: Sequence[int] = WEIGHTS, schedules: Sequence[tuple[float, float]] = SCHEDULES, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The plan, with the columns `keep` of `docs`; they also order rows of equal doc_id."""
+    sized = docs.select(*keep, "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order"))
     src = source_targets(sized, weights, schedules, share, cap)
     src = src.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     rows = joined_small(sized.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source"), src, ["_key"]).drop("_key")
-    rows = running_totals(rows, ["_rank"], ["_order", "doc_id"], {"size": "_before"})
+    rows = running_totals(rows, ["_rank"], ["_order", "doc_id", *keep], {"size": "_before"})
     want, size = F.round("target").cast("long"), F.col("source_size")
     # in two steps, so that each value is computed once
     rows = rows.select("*", F.when(size > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("int").alias("whole"), want.alias("_want"))
     rows = rows.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("_want") - F.col("whole") * F.col("source_size") - F.col("_before"))).cast("long"))
     taken = F.col("whole") * F.col("size") + F.col("part")
     due = F.when((taken > 0) & (F.col("_want") > 0), F.round(_when(F.col("_before") / F.col("_want")), 9))
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "whole", "part", due.alias("position"), "_before", "_want", "_from", "_to")
+    return rows.select(*keep, "doc_id", "size", "source_size", "target", taken.alias("taken"), "whole", "part", due.alias("position"), "_before", "_want", "_from", "_to")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """`docs` (unique doc_id) as the mix trains on them: a row for each time a document is taken, in order of position.
+    """`docs` as the mix trains on them: a row for each time a document is taken, in order of position.
 
     Training takes documents whole, so a document taken in part counts if at least half of it is taken.
     All columns of `docs` stay. Rows are range-partitioned and sorted by position.
+
+    Each row is a document of its own, also without a doc_id or with one that repeats; such rows stand
+    next to each other, by their place in `docs`. A text without a word comes in each full pass of its source. Rows
+    are numbered and written once, so that the plan finds them by number.
     """
-    plan = mixing_plan(docs, **options)
-    plan = plan.select(F.col("doc_id").alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("_pass"), "*").where((F.col("_pass") < F.col("whole")) | ((F.col("_pass") == F.col("whole")) & (F.col("part") > 0) & (F.col("part") * 2 >= F.col("size"))))
+    docs = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")))
+    plan = _plan(docs.select("_row", "_doc.doc_id", "_doc.text", "_doc.source"), ["_row"], **options)
+    plan = plan.select(F.explode(F.sequence(F.lit(0), "whole")).alias("_pass"), "*").where((F.col("_pass") < F.col("whole")) | ((F.col("_pass") == F.col("whole")) & (F.col("part") > 0) & (F.col("part") * 2 >= F.col("size"))))
     at = F.when(F.col("_want") > 0, _when(F.least(F.lit(1.0), (F.col("_before") + F.col("_pass") * F.col("source_size")) / F.col("_want"))))
-    plan = plan.select("_id", "_pass", at.alias("_position")).dropDuplicates(["_id", "_pass"])
-    rows = docs.join(plan, docs["doc_id"] == plan["_id"])
-    return rows.repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id").select(*[docs[c] for c in docs.columns])
+    rows = docs.join(plan.select("_row", at.alias("_position")), "_row")
+    order = ["_position", "_doc.doc_id", "_row"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_doc.*")
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

@@ -102,6 +102,35 @@ def test_mixing_against_brute_force(spark):
     assert abs(src["target"].sum() - 1.5 * rows["size"].sum()) < 1
 
 
+@pytest.mark.parametrize("options", [{}, {"share": 40.0, "cap": 30.0}])
+def test_mix_has_every_row_as_often_as_planned(spark, docs, options):
+    """Null and repeated doc_ids, equal rows, columns with names of the plan, more than ten passes."""
+    rows = [(None, f"null id {i} " * (i + 1), "s1", i, "a") for i in range(5)] + [(7, "twice " * k, "s2", k, "b") for k in (1, 1, 4)] + [(i, "w " * 9, "s1", i, "c") for i in range(20, 30)]
+    for d in (docs, spark.createDataFrame(rows, "doc_id long, text string, source string, _position int, _pass string"), docs.limit(0)):
+        got, plan = mixing.mixed(d, **options), mixing.mixing_plan(d, **options).collect()
+        assert got.columns == d.columns
+        takes = lambda p: p.whole + (p.part > 0 and p.part * 2 >= p.size)
+        key = lambda r, n: (r.doc_id is None, r.doc_id, n)
+        left = got.collect()
+        if d.columns[-1] != "_pass":  # doc_ids are unique here
+            want = Counter({key(p, p.size): takes(p) for p in plan})
+            assert Counter(key(r, len(words(r.text))) for r in left) == +want
+        else:  # which rows of a repeated doc_id the last, partial pass takes is open
+            n, given = Counter(left), d.collect()
+            whole = {key(p, p.size): p.whole for p in plan}
+            many = Counter(given)
+            for r in given:
+                w = whole[key(r, len(words(r.text)))]
+                assert w * many[r] <= n[r] <= (w + 1) * many[r]
+            size = Counter()
+            for r in left:
+                size[r.source] += len(words(r.text))
+            target = {key(p, 0)[:2]: p.target for p in plan}
+            for r in given:
+                assert abs(size[r.source] - target[key(r, 0)[:2]]) <= 15 and target[key(r, 0)[:2]] > 0
+        assert not options or not plan or max(p.whole for p in plan) > 10
+
+
 def test_shards_are_contiguous_and_near_equal(spark):
     rows = e.queries()["op3_sharding"](spark, SF).toPandas()
     raw = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id")["text"].to_dict()
