@@ -4,12 +4,13 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 SF = "/root/testdata/sf0.01"
 
 
 def _plain(v):
-    if v is None or v != v:
+    if v is None or pd.isna(v):
         return None
     return round(float(v), 9) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "item") else str(v)
 
