@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,16 +18,40 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A small table is broadcast only up to this many rows (a few MB); beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 << 20
+#: Rows of one key from which its rows no longer meet in one task of a join.
+HOT_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, else the one given to setCheckpointDir; a local one only where Spark runs in one process."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
         named = os.path.join(tempfile.gettempdir(), "tapeloom-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+#: Folders of the tables that `written` has made since `scratch` was entered.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables that `written` makes inside, but for those taken out of the list that it gives."""
+    made: list[str] = []
+    before = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(before)
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -35,13 +61,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df`, written as Parquet in the shared folder and read again: columnar, so later reads prune columns."""
+    """`df`, written as Parquet in the shared folder and read again: columnar, so later reads prune columns.
+
+    The folder stays for whoever reads the result; inside `scratch` it goes at its end.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/written-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores before it a name that no column of `df` has, case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once per row, also where a lambda in `body` uses it per element."""
     return F.transform(F.array(value), body)[0]
@@ -58,9 +97,36 @@ def word_count(text: Column) -> Column:
 
 
 def joined_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a table that is nearly always small: broadcast after its size is checked, else shuffled."""
+    """Join with a table that is nearly always small: broadcast after its rows and bytes are checked, else shuffled."""
     small = checkpointed(small)
-    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+    wide = [F.octet_length(f.name) for f in small.schema if f.dataType.typeName() in ("string", "binary")]
+    size = small.agg(F.count("*").alias("n"), F.sum(sum(map(F.coalesce, wide, [F.lit(0)] * len(wide)), F.lit(0)).cast("long")).alias("bytes")).first()
+    fits = size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
+    return df.join(F.broadcast(small) if fits else small, on, how)
+
+
+def hot_limit(rows: int) -> int:
+    """How many rows of one key may meet in a task, of `rows` in all. So few keys are over it that a table of them can be broadcast."""
+    return max(HOT_ROWS, -(-rows // BROADCAST_ROWS))
+
+
+def joined_counted(df: DataFrame, table: DataFrame, on: list[str], rows: int, n: str = "n", how: str = "inner") -> DataFrame:
+    """Join (inner or left) with a table of unique keys and a few numbers that tells in `n` how many rows of `df` each key has.
+
+    `rows` is the number of rows of `df`, or more; the first key is a long. Keys over hot_limit(rows) are broadcast, at most BROADCAST_ROWS by
+    their definition, and their rows are dealt by a hash of the whole row; all others shuffle by key.
+    """
+    if rows <= BROADCAST_ROWS:  # so are the keys
+        return df.join(F.broadcast(table), on, how)
+    limit = hot_limit(rows)
+    more = [c for c in table.columns if c not in on]
+    hot = table.where(F.col(n) > limit).select(*on, F.struct(*more).alias("_hot"))
+    cold = table.where(F.col(n) <= limit).select(F.col(on[0]).alias("_key"), *on[1:], F.struct(*more).alias("_cold"))
+    both = df.join(F.broadcast(hot), on, "left").withColumn("_key", F.when(F.col("_hot").isNotNull(), F.xxhash64(*df.columns)).otherwise(F.col(on[0])))
+    both = both.join(cold, ["_key", *on[1:]], "left")
+    if how == "inner":
+        both = both.where("_hot is not null or _cold is not null")
+    return both.select(*df.columns, *[F.when(F.col("_hot").isNotNull(), F.col("_hot")[c]).otherwise(F.col("_cold")[c]).alias(c) for c in more])
 
 
 def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str], totals: dict[str, str]) -> DataFrame:
