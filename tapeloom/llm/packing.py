@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,31 +58,33 @@ def tokenized_pieces(docs: DataFrame, capacity: int = 1024, tokenizer: str | Non
     All pieces but a document's last are full. Null and empty texts have the one id 0.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         encoder = Encoder(tokenizer or public_tokenizers.path(TOKENIZER))
         step = 4 * capacity
         for batch in batches:
-            rows: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (encoder(text) if text else b"") + b"\0\0\0\0"
+            row: list[int] = []
+            new: dict[str, list] = {c: [] for c in ("start", "length", "ids_crc32", "doc_tokens")}
+            pieces: list[np.ndarray] = []
+            for i, text in enumerate(batch.column(1)):
+                ids = (encoder(t) if (t := text.as_py()) else b"") + b"\0\0\0\0"
                 for at in range(0, len(ids), step):
                     piece = ids[at : at + step]
-                    rows["doc_id"].append(doc_id)
-                    rows["start"].append(at // 4)
-                    rows["length"].append(len(piece) // 4)
-                    rows["ids_crc32"].append(zlib.crc32(piece))
-                    rows["doc_tokens"].append(len(ids) // 4)
+                    row.append(i)
+                    new["start"].append(at // 4)
+                    new["length"].append(len(piece) // 4)
+                    new["ids_crc32"].append(zlib.crc32(piece))
+                    new["doc_tokens"].append(len(ids) // 4)
                     if keep_ids:
-                        rows["ids"].append(np.frombuffer(piece, "<u4").astype("i8"))
-            if not keep_ids:
-                del rows["ids"]
-            rows["doc_id"] = pd.array([None if x is None or x != x else int(x) for x in rows["doc_id"]], dtype="Int64")
-            yield pd.DataFrame(rows)
+                        pieces.append(np.frombuffer(piece, "<u4").astype("i8"))
+            columns = {"doc_id": batch.column(0).take(pa.array(row, pa.int64()))} | {c: pa.array(v, pa.int64()) for c, v in new.items()}
+            if keep_ids:
+                columns["ids"] = pa.array(pieces, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 
 def fill_patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -151,21 +153,21 @@ def place_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         sequence += times
     tables = {k: np.array(v, dtype="i8").T for k, v in slots.items()}
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, nth = batch["length"].to_numpy(), batch["_nth"].to_numpy()
-            where, offset = np.zeros(len(batch), "i8"), np.zeros(len(batch), "i8")
+            length, nth = (np.asarray(batch.column(c)) for c in ("length", "_nth"))
+            where, offset = np.zeros(len(length), "i8"), np.zeros(len(length), "i8")
             for x in np.unique(length):
                 at = np.flatnonzero(length == x)
                 first, seq, n, off = tables[int(x)]
                 k = np.searchsorted(first, nth[at], side="right") - 1
                 i = nth[at] - first[k]
                 where[at], offset[at] = seq[k] + i // n[k], off[k] + i % n[k] * x
-            yield batch.drop(columns="_nth").assign(sequence_id=where, offset=offset)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(where), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
     kept = [c for c in pieces.columns if c != "_nth"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "_nth") + ", sequence_id long, offset long"
-    return pieces.select(*kept, "_nth").mapInPandas(place, schema)
+    return pieces.select(*kept, "_nth").mapInArrow(place, schema)
 
 
 def packed(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:
