@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +34,21 @@ def _fold_table() -> np.ndarray:
 FOLD = _fold_table()
 
 
+def _far_letters(raw: np.ndarray) -> np.ndarray:
+    """Which code points are letters beyond 2**16."""
+    far = np.unique(raw[raw >= 1 << 16])
+    return np.isin(raw, [c for c in far if chr(c).isalpha()]) if len(far) else np.zeros(len(raw), bool)
+
+
 def character_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The ORDER-grams of letters of all `texts`, packed 16 bits a character, and the text each belongs to.
 
-    Letters are lower-cased; whatever stands between them is one blank. Each text begins with blanks.
+    Letters are lower-cased; whatever stands between them is one blank. Each text begins with blanks. Letters beyond
+    2**16 share the codes of CJK letters, whatever else lies there is no letter.
     """
     edge = chr(EDGE) * (ORDER - 1)
     raw = np.frombuffer((edge + edge.join(x.replace(chr(EDGE), " ") for x in texts)).encode("utf-32-le", "replace"), np.uint32)
-    low = FOLD[np.where(raw < 1 << 16, raw, (raw & 0x3FFF) | 0x4E00)]
+    low = FOLD[np.where(raw < 1 << 16, raw, np.where(_far_letters(raw), (raw & 0x3FFF) | 0x4E00, BLANK))]
     keep = (low != BLANK) | np.concatenate(([True], low[:-1] != BLANK))
     owner = np.repeat(np.arange(len(texts)), [len(x) + ORDER - 1 for x in texts])[keep]
     low = low[keep]
@@ -190,19 +198,21 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         names = np.array([*own.languages, "und"], dtype=object)
         for batch in batches:
-            nats, n = own.cross_entropies([x or "" for x in batch["text"]])
-            none = batch["letters"].to_numpy() == False  # noqa: E712
+            nats, n = own.cross_entropies([x or "" for x in batch.column(1).to_pylist()])
+            none = ~np.array(batch.column(2).to_pylist(), bool)
             best = nats.argmin(axis=1)
             lead = nats[np.arange(len(nats)), best]
             score = 1 / np.exp(-(nats - lead[:, None]) * np.minimum(n, 50)[:, None]).sum(axis=1)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": names[np.where(none, len(names) - 1, best)], "score": np.where(none, 0.0, score), "rejected": ~none & (lead > own.reject_above[best])})
+            label = names[np.where(none, len(names) - 1, best)]
+            columns = [batch.column(0), pa.array(label, pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(~none & (lead > own.reject_above[best]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "rejected"])
 
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInPandas(predict, "doc_id long, lang_pred string, score double, rejected boolean")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
