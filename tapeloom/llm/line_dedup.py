@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import SPACE, joined_small, written
+from tapeloom.llm.common import SPACE, joined_small, unused, written
 
 MIN_SITES = 10
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """doc_id, _site, _pos, _line (hash) of every line that holds a word; case and outer white space don't count."""
-    rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n")).alias("_site"), F.posexplode(F.split("text", "\n")).alias("_pos", "_raw"))
+    """doc_id, _text (hash of the text), _site, _pos, _line (hash) of every line that holds a word; case and outer white space don't count."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n")).alias("_site"), F.posexplode(F.split("text", "\n")).alias("_pos", "_raw"))
     rows = rows.withColumn("_raw", F.lower(F.btrim("_raw", F.lit(SPACE)))).where("_raw <> ''")
-    return rows.select("doc_id", "_site", "_pos", F.xxhash64("_raw").alias("_line"))
+    return rows.select("doc_id", "_text", "_site", "_pos", F.xxhash64("_raw").alias("_line"))
 
 
 def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, rsd: float = 0.05) -> DataFrame:
@@ -35,12 +35,22 @@ def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SIT
 
 
 def removed_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
-    """_id, _gone: for each document with such lines, their places in it. The first document that has a line keeps it."""
+    """_id, _text, _gone: for each document (doc_id and hash of its text) with such lines, their places in it. The first document that has a line keeps it."""
     spread = spread_lines(docs, site, min_sites)
     hits = joined_small(_lines(docs, site), spread, ["_line"])
     if keep_first:
         hits = hits.where(F.col("doc_id") > F.col("_first"))
-    return hits.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("_pos").alias("_gone"))
+    return hits.groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.collect_set("_pos").alias("_gone"))
+
+
+def _with_removed(docs: DataFrame, site: str, min_sites: int, keep_first: bool) -> tuple[DataFrame, str]:
+    """`docs` with a column of the places to remove, null where there are none, and that column's name."""
+    name = unused(docs, "gone")
+    gone = removed_lines(docs.select("doc_id", "text", site), site, min_sites, keep_first).select(F.col("_id").alias(f"{name}_id"), F.col("_text").alias(f"{name}_text"), F.col("_gone").alias(name))
+    keys = unused(docs, f"{name}_id"), unused(docs, f"{name}_text")
+    gone = gone.toDF(*keys, name)
+    rows = docs.join(gone, (docs["doc_id"] == gone[keys[0]]) & (F.xxhash64(docs["text"]) == gone[keys[1]]), "left")
+    return rows.drop(*keys), name
 
 
 def _cleaned(text: Column, gone: Column) -> Column:
@@ -50,26 +60,26 @@ def _cleaned(text: Column, gone: Column) -> Column:
 def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = True, keep_empty: bool = True) -> DataFrame:
     """`docs` (doc_id, text and the site column) with the lines removed that spread over `min_sites` sites.
 
-    All columns stay; n_chars, where there is one, follows the text. A line stays in the document with
+    All columns stay, whatever their names; n_chars, where there is one, follows the text. A line stays in the document with
     the smallest doc_id that has it (keep_first). With keep_empty=False, documents that lose their last
     word go. Null texts have no lines and stay null; a null site is a site of its own; rows with a null doc_id
-    are left as they are; rows with the same doc_id are one document; an empty table stays empty.
+    are left as they are; rows with the same doc_id but other texts are each cleaned by their own lines; an empty table stays empty.
     """
-    gone = removed_lines(docs, site, min_sites, keep_first)
-    rows = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    text = _cleaned(docs["text"], F.col("_gone"))
+    rows, gone = _with_removed(docs, site, min_sites, keep_first)
+    text = _cleaned(F.col("text"), F.col(gone))
     if not keep_empty:
-        rows = rows.where(F.col("_gone").isNull() | F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    new = {"text": text, "n_chars": F.when(F.col("_gone").isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return rows.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+        rows = rows.where(F.col(gone).isNull() | F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    gone = removed_lines(docs)
-    rows = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    clean = _cleaned(F.col("text"), F.col("_gone"))
-    return rows.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), clean.alias("_clean")).select("doc_id", "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"), F.length("_clean").cast("long").alias("kept_chars"), F.md5("_clean").alias("text_md5"))
+    rows, gone = _with_removed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), "source", MIN_SITES, True)
+    clean = _cleaned(F.col("text"), F.col(gone))
+    counts = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size(gone), F.lit(0)), F.lit(0)).cast("long").alias("n_removed")
+    return rows.select("doc_id", *counts, clean.alias("_clean")).select("doc_id", "n_lines", "n_removed", F.length("_clean").cast("long").alias("kept_chars"), F.md5("_clean").alias("text_md5"))
 
 
 OP9_SQL = r"""
