@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +130,18 @@ def joined_counted(df: DataFrame, table: DataFrame, on: list[str], rows: int, n:
     return both.select(*df.columns, *[F.when(F.col("_hot").isNotNull(), F.col("_hot")[c]).otherwise(F.col("_cold")[c]).alias(c) for c in more])
 
 
+def joined_wide(df: DataFrame, wide: DataFrame, on: list[str], rows: int, per: int = 64) -> DataFrame:
+    """Inner join of narrow rows with a table of unique keys and wide values, which are never broadcast.
+
+    A value that more than `per` rows ask for is copied, so that about `per` rows meet one copy in a task. `rows` is the
+    number of rows of `df`, which is read twice; the first key is a long.
+    """
+    asked = df.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > per).withColumn("_copies", F.ceil(F.col("n") / per).cast("int"))
+    left = joined_counted(df, asked, on, rows, how="left").withColumn("_copy", F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col("_copies")), F.lit(0)).cast("int"))
+    right = wide.join(asked.drop("n"), on, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)))
+    return left.drop("n", "_copies").join(right.drop("_copies"), [*on, "_copy"]).drop("_copy")
+
+
 def running_totals(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str], totals: dict[str, str]) -> DataFrame:
     """Adds, for each `value: name` of `totals`, the sum of `value` over the rows before this one in its group.
 
@@ -158,28 +171,41 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and the small-star step: each step links the neighbours of a node to the
     smallest of them, until every node points at the smallest of its component. Both steps are one
-    aggregation and one join over the edges; a hub's neighbours are spread by their own keys. An edge
+    aggregation, which combines before it shuffles, and one join over the edges, in which nodes of many
+    neighbours are broadcast (`joined_counted`), so a hub's edges stay spread. An edge
     between equal nodes is ignored; `edges` without rows gives no rows. Stops at the fixed point, which
     takes about as many rounds as the logarithm of the longest path.
     """
     e = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    last = None
+    mark = lambda: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    last = mark()
     for _ in range(rounds):
         both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = joined_counted(both, least, ["a"], 2 * last[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = checkpointed(large)
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined_counted(large, down, ["a"], 2 * last[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         e = checkpointed(small.union(down.select("a", F.col("m").alias("b"))).distinct())
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == last:
+        if (now := mark()) == last:
             break
-        last = mark
+        last = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def least_reached(near: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each row and column of a block pair reaches through its links."""
+    x, y = ids_x.copy(), ids_y.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        new_x = np.minimum(x, np.where(near, y[None, :], top).min(axis=1, initial=top))
+        new_y = np.minimum(y, np.where(near, new_x[:, None], top).min(axis=0, initial=top))
+        if (new_x == x).all() and (new_y == y).all():
+            return x, y
+        x, y = new_x, new_y
+
+
 def any_of(flags: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, flags, F.lit(False))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import connected_components, joined_small, written
+from tapeloom.llm.common import connected_components, joined_counted, joined_small, joined_wide, least_reached, written
 from tapeloom.llm.shingles import U64, Shingler, mixed_bits
 
 #: Cells in each row of the sketch of document frequencies, rows, and cells that are added up together.
@@ -31,7 +31,7 @@ class Settings:
     bands: int = 14
     band_rows: int = 4
     idf_share: float = 0.2
-    block: int = 512
+    block: int = 256
 
 
 def _cells(ids: np.ndarray, row: int) -> np.ndarray:
@@ -140,48 +140,61 @@ class Sampler:
 
 
 def _signatures(docs: DataFrame, idf, s: Settings) -> DataFrame:
-    """doc_id, h1, h2 (of the text), bands (hash of each band's samples), sig (8 bits of each sample); bands is null without words."""
+    """doc_id, h1, h2 (of the text), bands (hash of each band's samples); bands is null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sampler = Shingler(), Sampler(s.bands * s.band_rows)
         mix = mixed_bits(np.arange(1, s.band_rows + 1, dtype=U64)) | U64(1)
         for batch in batches:
-            bands, sigs = [None] * batch.num_rows, [None] * batch.num_rows
+            bands = [None] * batch.num_rows
             for at, _, doc, ids, times in shingler.chunks(batch.column(3)):
                 if len(doc):
                     samples = sampler(doc, ids, weigh(ids, times, idf.value))
                     keys = mixed_bits((samples.reshape(len(samples), s.bands, s.band_rows) * mix).sum(axis=2, dtype=U64)).view(np.int64)
-                    short = (samples & U64(255)).astype(np.uint8)
                     for i, d in enumerate(doc[np.concatenate(([True], doc[1:] != doc[:-1]))]):
-                        bands[at + d], sigs[at + d] = keys[i], short[i].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "h1", "h2", "bands", "sig"])
+                        bands[at + d] = keys[i]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "bands"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text").mapInArrow(sign, "doc_id long, h1 long, h2 long, bands array<long>, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text").mapInArrow(sign, "doc_id long, h1 long, h2 long, bands array<long>")
 
 
-def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, set: its distinct shingles (48 bits) with their counts (16 bits), ascending, as bytes."""
+def pack_set(ids: np.ndarray, times: np.ndarray) -> bytes:
+    """Distinct shingles (48 bits), ascending, with their counts (16 bits) as bytes; with a byte more before ids and counts of 64 bits each if a count is larger."""
+    if len(times) and times.max() > 0xFFFF:
+        return b"\1" + ids.astype("<u8").tobytes() + times.astype("<u8").tobytes()
+    return ((ids << U64(16)) | times.astype(U64)).tobytes()
+
+
+def unpack_set(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if len(data) % 8:
+        both = np.frombuffer(data, U64, offset=1)
+        return both[: len(both) // 2], both[len(both) // 2 :].astype(np.int64)
+    both = np.frombuffer(data, U64)
+    return both >> U64(16), (both & U64(0xFFFF)).astype(np.int64)
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """node, set: the shingles of each text of `texts` (node, text)."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             sets = [b""] * batch.num_rows
             for at, end, doc, ids, times in shingler.chunks(batch.column(1)):
-                packed = (ids << U64(16)) | np.minimum(times, 65535).astype(U64)
                 cut = np.searchsorted(doc, np.arange(end - at + 1))
                 for d in range(end - at):
-                    sets[at + d] = packed[cut[d] : cut[d + 1]].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
+                    sets[at + d] = pack_set(ids[cut[d] : cut[d + 1]], times[cut[d] : cut[d + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(collect, "doc_id long, set binary")
+    return texts.select("node", "text").mapInArrow(collect, "node long, set binary")
 
 
 def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
     """Sum of the smaller over sum of the larger weights of two shingle sets; 0 if both are empty."""
-    a, b = np.frombuffer(a, U64), np.frombuffer(b, U64)
-    both = np.concatenate([a, b])
-    both.sort()
-    ids, times = both >> U64(16), (both & U64(0xFFFF)).astype(np.int64)
+    parts = unpack_set(a), unpack_set(b)
+    ids, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = ids.argsort(kind="stable")
+    ids, times = ids[order], times[order]
     same = ids[1:] == ids[:-1]
     weight = weigh(ids, np.ones(len(ids)), idf)
     total = float((weight * times).sum())
@@ -189,16 +202,39 @@ def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
     return common / (total - common) if total > 0 else 0.0
 
 
-class _Sets:
-    """Union-find over a block's components."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        while (y := self.up.setdefault(x, x)) != x:
-            self.up[x] = x = self.up.setdefault(y, y)
-        return x
+def _elements(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, key and shingle of every element of `sets`; a shingle that a text has n times is n elements, so that common weights are sums over equal keys."""
+    owners, keys, shingles = [], [], []
+    for i, data in enumerate(sets):
+        ids, times = unpack_set(data)
+        which = np.repeat(np.arange(len(ids)), times)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        owners.append(np.full(len(which), i))
+        keys.append(mixed_bits(ids[which] + nth.astype(U64) * U64(0x9E3779B97F4A7C15)))
+        shingles.append(ids[which])
+    return np.concatenate(owners), np.concatenate(keys), np.concatenate(shingles)
+
+
+def all_similarities(left: list[bytes], right: list[bytes], idf: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarity of every set of `left` with every set of `right`, as products of matrices of `width` shingles at a time."""
+    (own_l, key_l, id_l), (own_r, key_r, id_r) = _elements(left), _elements(right)
+    ones = lambda ids: weigh(ids, np.ones(len(ids)), idf).astype(np.float64)
+    w_l = ones(id_l)
+    total_l, total_r = np.bincount(own_l, w_l, len(left)), np.bincount(own_r, ones(id_r), len(right))
+    both, at = np.intersect1d(key_l, key_r), 0
+    common = np.zeros((len(left), len(right)))
+    place_l, place_r = np.searchsorted(both, key_l), np.searchsorted(both, key_r)
+    in_l, in_r = (np.flatnonzero(np.append(both, 0)[p] == k) if len(both) else np.zeros(0, int) for p, k in ((place_l, key_l), (place_r, key_r)))
+    in_l, in_r = in_l[place_l[in_l] < len(both)], in_r[place_r[in_r] < len(both)]
+    in_l, in_r = in_l[np.argsort(place_l[in_l])], in_r[np.argsort(place_r[in_r])]
+    for at in range(0, len(both), width):
+        a, b = in_l[slice(*np.searchsorted(place_l[in_l], (at, at + width)))], in_r[slice(*np.searchsorted(place_r[in_r], (at, at + width)))]
+        x, y = np.zeros((len(left), width)), np.zeros((len(right), width))
+        x[own_l[a], place_l[a] - at] = w_l[a]
+        y[own_r[b], place_r[b] - at] = 1
+        common += x @ y.T
+    total = total_l[:, None] + total_r[None, :] - common
+    return np.divide(common, total, out=np.zeros_like(common), where=total > 0)
 
 
 def near_duplicate_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -209,81 +245,89 @@ def near_duplicate_classes(docs: DataFrame, settings: Settings = Settings()) ->
     runs of ASCII letters, digits and characters beyond ASCII, case aside.
 
     1. Document frequencies of all shingles go into a sketch of fixed size; each text gets a signature.
-    2. Equal texts stand for one; texts that share a band form a bucket.
-    3. Each text of a bucket is compared with the bucket's first, on whole shingle sets.
-    4. Buckets that are not in one class yet are compared pair by pair, in blocks, skipping pairs that
-       are already in one class or whose signatures are far apart. So no pair that shares a band is left
+    2. Equal texts are one node; nodes that share a band form a bucket.
+    3. Each node of a bucket is compared with the bucket's first, on whole shingle sets.
+    4. In buckets that are not in one class yet, each node outside the first's class is compared with all others, a block of nodes
+       against a block, as products of matrices. So no pair that shares a band is left
        out, and a bucket of thousands of copies costs one comparison each.
 
-    Null and empty texts are in a class of their own, as are texts without words unless equal; rows with
-    the same doc_id are in one class only by their texts (the class is then that of the doc_id's links); rows
-    with a null doc_id get a null class and are kept; an empty table gives no rows.
+    Copies, buckets and classes of many rows are joined by `joined_counted` and `joined_wide`, which spread them. Null and empty texts
+    are in a class of their own, as are texts without words unless equal; rows of one doc_id are one document with the links of all
+    its texts; rows with a null doc_id get a null class and are kept; an empty table gives no rows.
     """
     spark = docs.sparkSession
     s = settings
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     idf = spark.sparkContext.broadcast(idf_weights(*document_frequencies(docs), s.idf_share))  # 2 MB
     rows = written(_signatures(docs, idf, s))
-    known = rows.where("doc_id is not null")
-
-    # equal texts
-    firsts = known.where(F.col("h1") != F.xxhash64(F.lit(""))).where(F.col("h1") != F.xxhash64(F.lit(None).cast("string"))).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    copies = joined_small(known.select("doc_id", "h1", "h2"), firsts.where("n > 1").drop("n"), ["h1", "h2"]).select("doc_id", "rep").where("doc_id <> rep")
-    alone = written(known.join(copies.select("doc_id"), "doc_id", "left_anti").where("bands is not null").dropDuplicates(["doc_id"]))
-
-    # buckets of two texts or more
-    keys = alone.select("doc_id", F.posexplode("bands").alias("band", "value")).select("doc_id", F.xxhash64("band", "value").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = written(joined_small(keys, written(shared), ["key"]))
-    wanted = members.select("doc_id").distinct()
-    sets = written(_shingle_sets(joined_small(docs, wanted, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])))
-
-    # each text with the first of its buckets
+    filled = F.col("doc_id").isNotNull() & ~F.col("h1").isin(*spark.range(1).select(F.xxhash64(F.lit("")), F.xxhash64(F.lit(None).cast("string"))).first())
+    known = rows.where(filled)
+
+    # equal texts are one node
+    texts = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    texts = written(texts.withColumn("node", F.monotonically_increasing_id()))
+    size = texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+
+    # buckets of two nodes or more
+    keys = texts.select("node", "rep", F.posexplode("bands").alias("band", "value")).select("node", "rep", F.xxhash64("band", "value").alias("key"))
+    shared = written(keys.groupBy("key").agg(F.min_by("node", "rep").alias("lead"), F.count("*").alias("n")).where("n > 1"))
+    members = written(joined_counted(keys.select("key", "node"), shared, ["key"], s.bands * size["texts"]))
+    many = members.count()
+    wanted = texts.select("node", F.col("rep").alias("doc_id"), "h1", "h2").join(members.select("node").distinct(), "node")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    sets = written(_shingle_sets(joined_small(hashed, wanted, ["doc_id", "h1", "h2"]).dropDuplicates(["node"])))
+
+    # each node with the first of its buckets
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([weighted_jaccard(x, y, idf.value) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    stars = members.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    pairs = stars.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
+    stars = written(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+    pairs = joined_wide(stars, sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), ["b"], many).join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     links = written(pairs.where(similarity("set_a", "set_b") >= s.similarity).select("a", "b"))
 
-    # buckets that are still in several classes; of buckets with the same texts, one
+    # buckets that are still in several classes; of buckets with the same nodes, one
     classes = written(connected_components(links))
-    placed = members.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("all"))
-    mixed = mixed.where("lo <> hi").groupBy("n", "all").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"))
-    open_ = joined_small(placed, mixed, ["key"]).join(sets, "doc_id").join(alone.select("doc_id", "sig"), "doc_id")
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int"))
-    open_ = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component", "own", "set", "sig")
+    placed = members.select("key", "node", (F.col("node") == F.col("lead")).alias("first")).join(classes, "node", "left").select("key", "node", "first", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("first"), F.col("component"))).alias("main"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"))
+    mixed = written(mixed.where("lo <> hi").groupBy("n", "all").agg(F.min_by(F.struct("key", "main"), "key").alias("k")).select("k.key", "k.main", "n"))
+    # blocks of the nodes outside the first's class, then those of that class, which need not meet each other
+    open_ = joined_counted(placed.drop("first"), mixed, ["key"], many).withColumn("rest", F.col("component") != F.col("main"))
+    sizes = written(open_.groupBy("key").agg(F.ceil(F.count_if("rest") / s.block).cast("int").alias("rests"), F.ceil(F.count_if(~F.col("rest")) / s.block).cast("int").alias("mains"), F.count("*").alias("n")))
+    open_ = joined_counted(open_.select("key", "node", "component", "rest"), sizes, ["key"], many).drop("n")
+    dealt = lambda blocks: F.pmod(F.xxhash64("node", F.lit(3)), F.col(blocks)).cast("int")
+    open_ = open_.withColumn("own", F.when(F.col("rest"), dealt("rests")).otherwise(F.col("rests") + dealt("mains")))
+    open_ = open_.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("rests") + F.col("mains") - 1).otherwise(F.col("rests") - 1))).alias("other"))
+    open_ = open_.join(sets, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "own", "set")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         i, j = block["i"].iloc[0], block["j"].iloc[0]
-        block = block.drop_duplicates("doc_id")
+        block = block.drop_duplicates("node")
         left, right = block[block["own"] == i], block[block["own"] == j]
-        ids_l, ids_r, set_l, set_r = left["doc_id"].to_numpy(), right["doc_id"].to_numpy(), left["set"].tolist(), right["set"].tolist()
-        com_l, com_r = left["component"].to_numpy(), right["component"].to_numpy()
-        sig_l, sig_r = (np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1) for x in (left, right))
-        found, tree = [], _Sets()
-        agree = np.empty((len(left), len(right)), np.float32)
-        for k in range(len(left)):
-            agree[k] = (sig_r == sig_l[k]).mean(axis=1) if len(right) else 0
-        agree[com_l[:, None] == com_r[None, :]] = 0
-        if i == j:
-            agree = np.triu(agree, 1)
-        # eight bits of a sample agree by chance once in 256; 0.3 below the limit is over five standard errors
-        x, y = np.nonzero(agree >= s.similarity - 0.3)
-        for k in np.argsort(-agree[x, y], kind="stable"):
-            p, q = x[k], y[k]
-            if (u := tree.find(com_l[p])) != (v := tree.find(com_r[q])) and weighted_jaccard(set_l[p], set_r[q], idf.value) >= s.similarity:
-                tree.up[max(u, v)] = min(u, v)
-                found.append((ids_l[p], ids_r[q]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    more = open_.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
-    edges = links.union(more).union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    final = written(connected_components(edges))
-    out = rows.select("doc_id").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        nodes_l, nodes_r = left["node"].to_numpy(), right["node"].to_numpy()
+        near = all_similarities(left["set"].tolist(), right["set"].tolist(), idf.value) >= s.similarity
+        near &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
+        roots = least_reached(near, nodes_l, nodes_r)
+        out = pd.DataFrame({"a": np.concatenate((nodes_l, nodes_r)), "b": np.concatenate(roots)}, dtype="int64")
+        return out[out["a"] != out["b"]]
+
+    more = written(open_.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
+
+    # the texts of a doc_id that has several
+    several = written(known.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("doc_id", "n"))
+    own = joined_counted(known.select("doc_id", "h1", "h2"), several, ["doc_id"], size["rows"]).join(texts.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node").distinct()
+    least = own.groupBy("doc_id").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    bound = joined_counted(own, least, ["doc_id"], size["rows"]).select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+    final = written(connected_components(links.union(more).union(bound)).join(texts.select("node", "rep"), "node"))
+    firsts = final.groupBy("component").agg(F.min("rep").alias("first"), F.count("*").alias("n"))
+    final = joined_counted(final.select("component", "node"), firsts, ["component"], final.count()).select("node", "first")
+    facts = texts.select("h1", "h2", "n", "rep", "node").join(final, "node", "left").select("h1", "h2", "n", F.coalesce("first", "rep").alias("class_id"))
+    out = joined_counted(known.select("doc_id", "h1", "h2"), facts, ["h1", "h2"], size["rows"]).select("doc_id", "class_id")
+    out = out.union(rows.where(~filled).select("doc_id", F.col("doc_id").alias("class_id")))
+    return out.select("doc_id", "class_id", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
