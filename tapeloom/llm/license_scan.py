@@ -88,13 +88,14 @@ SHORT = (
     ("isc", "isc", r"(?<![\w-])isc(?= ?(?:[.,;:)\]/]|$|or |and |terms))", False),
 )
 #: Forms of a short name that does not stand alone.
-UNDER, NAMED, BARE = 1, 2, 6
+UNDER, NAMED, BARE = 1, 2, 7
 #: How a license is spoken of, most telling first; {name} and {spdx} are filled in. Priority, what every match holds beside the keyword, pattern.
 FORMS = (
     (5, "spdx", r"spdx-license-identifier: ?(?:{spdx})(?![\w.-])"),
     (4, "under", r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name}(?![\w-])"),
     (3, "licen", r"licen[sc]e: ?(?:the )?{name}(?![\w-])"),
     (3, "licen", r"licen[sc]e: ?(?:{spdx})(?![\w.-])"),
+    (4, "licen", r"licen[sc]e[\"']? ?[:=] ?[\"'](?:{spdx})[\"']"),
     (3, "copy of the", r"copy of the {name}(?![\w-])"),
     (3, "see the", r"see the {name}(?![\w-])"),
     (2, "", r"{name}(?![\w-])"),
@@ -118,6 +119,121 @@ GENERIC = (
 )
 
 
+#: Sentences of license texts and of the notices that refer to them, addresses of licenses, and words that keep or give up rights. Label, priority, keywords, pattern.
+_FSF = r"as published by the free software foundation[;,:]? (?:either )?version"
+SIGNATURES = (
+    ("mit", 3, "permission notice substantial", r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in all copies or substantial portions of the software"),
+    ("mit", 3, "granted without restriction", r"is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files \(the software[\"']?\), to deal in the software without restriction"),
+    ("x11", 3, "contained except notice", r"except as contained in this notice, the names?"),
+    ("json", 4, "evil good", r"the software shall be used for good, not evil"),
+    ("isc", 3, "fee is hereby granted", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("hpnd", 3, "fee is hereby granted", r"permission to use, copy, modify,? and distribute this software and its documentation for any purpose(?: and)? without fee is hereby granted"),
+    ("ntp", 3, "fee is hereby granted", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose with or without fee is hereby granted"),
+    ("postgresql", 3, "granted agreement written", r"and without a written agreement is hereby granted"),
+    ("bsd", 2, "redistributions source", r"redistributions of source code must retain the (?:above )?copyright notice"),
+    ("bsd", 2, "redistributions binary", r"redistributions in binary form must reproduce the (?:above )?copyright notice"),
+    ("bsd", 2, "express implied warranties", r"as is[\"']? and any express or implied warranties, including"),
+    ("bsd-3-clause", 3, "contributors endorse", r"nor the names of (?:its|their|any) contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", 3, "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2.0", 4, "apache licen", r"licensed under the apache license, version 2\.0 \(the license[\"']?\)"),
+    ("apache-2.0", 3, "except in compliance", r"you may not use this file except in compliance with the license"),
+    ("apache-2.0", 3, "agreed in writing", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is[\"']? basis"),
+    ("apache-2.0", 3, "contributor licen", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements"),
+    ("apache-2.0", 4, "apache osi licen", r"license :: osi approved :: apache software license"),
+    ("apache-1.1", 3, "apache product includes", r"this product includes software developed by the apache (?:group|software foundation)"),
+    ("gpl", 3, "general public licen", r"this (?:program|file|software|package|code) is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("gpl-2.0", 3, "general public licen", rf"gnu general public license {_FSF} 2"),
+    ("gpl-3.0", 3, "general public licen", rf"gnu general public license {_FSF} 3"),
+    ("lgpl-2.0", 3, "library general public licen", rf"gnu library general public license {_FSF} 2"),
+    ("lgpl-2.1", 3, "lesser general public licen", rf"gnu lesser general public license {_FSF} 2\.1"),
+    ("lgpl-3.0", 3, "lesser general public licen", rf"gnu lesser general public license {_FSF} 3"),
+    ("agpl-3.0", 3, "affero general public licen", rf"gnu affero general public license {_FSF} 3"),
+    ("gpl", 2, "received general public licen", r"you should have received a copy of the gnu general public license"),
+    ("lgpl", 2, "received lesser public licen", r"you should have received a copy of the gnu lesser general public license"),
+    ("agpl", 2, "received affero public licen", r"you should have received a copy of the gnu affero general public license"),
+    ("lgpl", 3, "library lesser public licen", r"this library is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu lesser general public license"),
+    ("gpl-2.0", 3, "licen freedom", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", 3, "copyleft general public licen", r"the gnu general public license is a free, copyleft license for software and other kinds of works"),
+    ("agpl-3.0", 3, "copyleft affero public licen", r"the gnu affero general public license is a free, copyleft license for software and other kinds of works"),
+    ("gfdl", 3, "free documentation licen", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license"),
+    ("classpath-exception", 3, "statically dynamically", r"linking this library statically or dynamically with other modules"),
+    ("gcc-exception", 2, "gcc runtime library exception", r"gcc runtime library exception"),
+    ("mpl-2.0", 4, "mozilla public licen", r"this source code form is subject to the terms of the mozilla public license, v\. 2\.0"),
+    ("mpl-2.0", 3, "mpl copy", r"if a copy of the mpl was not distributed with this file"),
+    ("mpl-1.1", 4, "mozilla public licen", r"the contents of this file are subject to the mozilla public license version 1\.1"),
+    ("epl", 3, "eclipse public licen", r"accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl-1.0", 3, "eclipse public licen", r"the accompanying program is provided under the terms of this eclipse public license"),
+    ("cddl", 3, "common development licen", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl-1.0", 2, "common public licen", r"common public license(?: -)?(?: version| v)? 1\.0"),
+    ("ipl-1.0", 2, "ibm public licen", r"ibm public license(?: version)? 1\.0"),
+    ("boost-1.0", 4, "organization obtaining granted", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", 3, "liable author event", r"in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("zlib", 3, "origin misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", 2, "altered plainly marked", r"altered source versions must be plainly marked as such"),
+    ("libpng", 3, "png reference library", r"the png reference library is supplied as is"),
+    ("unlicense", 4, "unencumbered public domain", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", 3, "anyone compile sell", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("wtfpl", 3, "verbatim changing allowed", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"),
+    ("gnu-license-text", 2, "verbatim changing allowed", r"everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    ("beerware", 3, "retain notice whatever stuff", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("cc0-1.0", 3, "extent possible law waived", r"to the extent possible under law, [\w\s,.'-]{1,60}? (?:has|have) waived all copyright"),
+    ("cc0-1.0", 3, "person associated deed public domain", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0-1.0", 3, "creativecommons publicdomain", r"creativecommons\.org/publicdomain/zero/1\.0"),
+    ("public-domain", 3, "creativecommons publicdomain", r"creativecommons\.org/publicdomain/mark/1\.0"),
+    ("creative-commons", 2, "creative commons legal code", r"creative commons legal code"),
+    ("creative-commons", 2, "creative commons attribution licen", r"this (?:work|book|document|article|content) is licensed under (?:a|the) creative commons attribution"),
+    ("openssl", 3, "openssl product includes", r"this product includes software developed by the openssl project"),
+    ("ssleay", 3, "cryptographic eric young", r"this product includes cryptographic software written by eric young"),
+    ("python-2.0", 3, "psf python licensee", r"psf is making python available to licensee on an as is[\"']? basis"),
+    ("artistic-1.0", 3, "intent package copied", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", 3, "licen package copied", r"this license establishes the terms under which a given free software package may be copied"),
+    ("perl", 3, "perl terms", r"you (?:can|may) redistribute it and/or modify it under the same terms as perl(?: itself)?"),
+    ("php-3.01", 3, "php licen", r"this source file is subject to version 3\.01 of the php license"),
+    ("php-3.01", 3, "php product includes", r"this product includes php software, freely available from"),
+    ("ofl-1.1", 4, "font open licen", r"this font software is licensed under the sil open font license, version 1\.1"),
+    ("ofl-1.1", 3, "goals open font licen", r"the goals of the open font license"),
+    ("ofl-1.1", 2, "reserved font name", r"with reserved font names?"),
+    ("ms-pl", 3, "governs accompanying licen", r"this license governs use of the accompanying software"),
+    ("odbl-1.0", 3, "open database licen", r"is made available under the open database license"),
+    ("eupl", 3, "eupl licen", r"licensed under the eupl"),
+    ("afl-3.0", 2, "academic free licen", r"academic free license(?:,? version| v\.?)? ?3\.0"),
+    ("osl-3.0", 2, "open software licen", r"open software license(?:,? version| v\.?)? ?3\.0"),
+    ("ncsa", 3, "illinois ncsa licen", r"university of illinois/ncsa open source license"),
+    ("upl-1.0", 2, "universal permissive licen", r"universal permissive license"),
+    ("busl-1.1", 2, "business source licen", r"business source license(?:,? version| v\.?)? ?1\.1"),
+    ("sspl-1.0", 2, "server side public licen", r"server side public license"),
+    ("elastic-2.0", 2, "elastic licen", r"elastic license(?:,? version| v\.?)? ?2\.0"),
+    ("commons-clause", 3, "commons clause licen", r"commons clause[\"']? license condition"),
+    ("cecill", 2, "cecill licen", r"cecill(?:-b|-c)?(?: free software)? license"),
+    ("vim", 2, "vim licen", r"the vim license"),
+    ("apache-2.0", 4, "apache.org licen", r"apache\.org/licenses/license-2\.0"),
+    ("mit", 4, "opensource.org licen", r"opensource\.org/licenses/mit(?:-license)?(?![\w-])"),
+    ("bsd-3-clause", 4, "opensource.org licen", r"opensource\.org/licenses/bsd-3-clause"),
+    ("bsd-2-clause", 4, "opensource.org licen", r"opensource\.org/licenses/bsd-2-clause"),
+    ("bsd", 3, "opensource.org licen", r"opensource\.org/licenses/bsd-license"),
+    ("isc", 4, "opensource.org licen", r"opensource\.org/licenses/isc(?![\w-])"),
+    ("gpl-2.0", 4, "gnu.org licen", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
+    ("gpl-3.0", 4, "gnu.org licen", r"gnu\.org/licenses/gpl-3\.0"),
+    ("lgpl-2.1", 4, "gnu.org licen", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
+    ("lgpl-3.0", 4, "gnu.org licen", r"gnu\.org/licenses/lgpl-3\.0"),
+    ("agpl-3.0", 4, "gnu.org licen", r"gnu\.org/licenses/agpl-3\.0"),
+    ("mpl-2.0", 4, "mozilla.org mpl", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
+    ("mpl-1.1", 4, "mozilla.org mpl", r"mozilla\.org/(?:en-us/)?mpl/(?:mpl-)?1\.1"),
+    ("epl-1.0", 4, "eclipse.org epl", r"eclipse\.org/(?:legal|org/documents)/epl-(?:v10|1\.0)"),
+    ("epl-2.0", 4, "eclipse.org epl", r"eclipse\.org/(?:legal|org/documents)/epl-(?:v20|2\.0)"),
+    ("boost-1.0", 4, "boost.org", r"boost\.org/license_1_0\.txt"),
+    ("ofl-1.1", 4, "sil.org ofl", r"scripts\.sil\.org/ofl"),
+    ("unlicense", 4, "unlicense.org", r"unlicense\.org"),
+    ("proprietary", 2, "confidential and proprietary", r"(?:strictly )?confidential and proprietary"),
+    ("proprietary", 2, "unauthorized copying prohibited", r"unauthorized copying of this (?:file|software|document|work), via any medium,? is strictly prohibited"),
+    ("proprietary", 2, "reproduced part", r"no part of this (?:publication|book|work|document) may be reproduced"),
+    ("proprietary", 2, "permission without", r"may not be (?:copied|reproduced|redistributed|republished) without (?:the )?(?:express )?(?:prior )?(?:written )?permission"),
+    ("non-commercial", 2, "commercial use only", r"for non-?commercial use only"),
+    ("public-domain", 2, "public domain", r"this (?:work|file|software|code|image|document) is in the public domain"),
+    ("public-domain", 2, "public domain", r"has been (?:dedicated to|placed in) the public domain"),
+)
+
+
 def _gapped(pattern: str) -> str:
     """`pattern` with GAP for each blank, and for each blank that is a choice of a class."""
     pattern = pattern.replace("[- ,]*", rf"[,{MARKS}]*+").replace("[- ]", f"(?:-|{GAP})").replace(" ?", f"(?:{GAP})?")
@@ -125,9 +241,9 @@ def _gapped(pattern: str) -> str:
 
 
 def signature_rules() -> list[tuple[str, int, tuple[str, ...], str]]:
-    """label, priority, keywords, pattern: every license in every form, some 500 rules; every match holds all keywords.
+    """label, priority, keywords, pattern: the hand-written SIGNATURES and GENERIC, and every license in every form; every match holds all keywords.
 
-    The number says little about the width of the set: about 170 of the rules are the Creative Commons template.
+    Some 130 rules are written by hand, the others are the licenses' names in FORMS; about 220 of those are the Creative Commons template.
     """
     named = list(LICENSES)
     for terms, words in CC_TERMS.items():
@@ -137,12 +253,14 @@ def signature_rules() -> list[tuple[str, int, tuple[str, ...], str]]:
     stem = lambda spdx: "" if "|" in spdx.split("(")[0] else re.match(r"[a-z0-9-]+", spdx)[0]  # an identifier comes without the license's name
     rules = [(label, priority, stem(spdx) if "{spdx}" in form else key, beside, form.format(name=f"(?:{name})", spdx=spdx.replace(".", r"\."))) for label, key, name, spdx in named for priority, beside, form in FORMS]
     rules += [(label, priority, key, beside, form.format(name=f"(?:{name})")) for label, key, name, alone in SHORT for i, (priority, beside, form) in enumerate(FORMS) if "{name}" in form and (alone or i in (UNDER, NAMED))]
-    rules += [(label, priority, key, "", pattern) for label, priority, key, pattern in GENERIC]
+    rules += [(f"cc-{terms}-{v}", 4, "creativecommons.org licen", "", r"creativecommons\.org/licenses/" + f"{terms}/" + v.replace(".", r"\.")) for terms in CC_TERMS for v in CC_VERSIONS]
+    rules += [(label, priority, key, "", pattern) for label, priority, key, pattern in (*GENERIC, *SIGNATURES)]
     return [(label, priority, tuple(dict.fromkeys(f"{key} {beside}".split())), _gapped(pattern)) for label, priority, key, beside, pattern in dict.fromkeys(rules)]
 
 
 #: Every rule needs all words of one of these, or a short name that something is under.
-GATES = ("licen", "spdx", "cc-by", "creative commons", "cc by 2.", "cc by 3.0", "cc by 4.0", "attribution", "cc0", "bsd", "public domain", "permission is hereby granted", "redistribution and use", "all rights reserved", "gpl", "gfdl", "cddl", "eupl", "odbl", "wtfpl", "mpl 1.1", "mpl 2")
+NAME_GATES = ("licen", "spdx", "cc-by", "creative commons", "cc by 2.", "cc by 3.0", "cc by 4.0", "attribution", "cc0", "bsd", "public domain", "permission is hereby granted", "redistribution and use", "all rights reserved", "gpl", "gfdl", "cddl", "eupl", "odbl", "wtfpl", "mpl 1.1", "mpl 2")
+GATES = (*NAME_GATES, *dict.fromkeys(key for _, _, key, _ in SIGNATURES if not any(all(any(w in k for k in key.split()) for w in gate.split()) for gate in NAME_GATES)))
 UNDER_SHORT = _gapped(r"under (?:the )?(?:terms of )?(?:the )?(?:" + "|".join(dict.fromkeys(key for _, key, _, alone in SHORT if not alone)) + ")")
 
 
