@@ -1,7 +1,7 @@
 """Order books from order-level operations: effects of each operation, levels, top of book, trades, violations, audit.
 
-Operations: seq, locate, ts_ns, ty (A E C X D U), ref, new_ref, shares, price, side, printable. Control rows: seq,
-locate, ty (H, Q), state.
+Operations: seq, locate, ts_ns, ty (A E C X D U), ref, new_ref, shares, price, side, printable, and optionally day: seq, locate
+and ref are numbers of one day (or file) each. Without it, all operations are of day 0. Control rows: [day,] seq, locate, ty (H, Q), state.
 """
 
 from __future__ import annotations
@@ -20,25 +20,34 @@ ALL = 1 << 40
 STRETCH = 1 << 22
 U32, U16 = 0xFFFFFFFF, 0xFFFF
 
-EFFECTS = "seq long, locate int, ts_ns long, ty string, ref decimal(20,0), new_ref decimal(20,0), printable string, live boolean, duplicate boolean, side string, rest_price long, msg_shares long, msg_price long, removed long, gone boolean, over boolean, to_zero boolean"
+EFFECTS = "day int, seq long, locate int, ts_ns long, ty string, ref decimal(20,0), new_ref decimal(20,0), printable string, live boolean, duplicate boolean, side string, rest_price long, msg_shares long, msg_price long, removed long, gone boolean, over boolean, to_zero boolean"
+
+
+#: A book; an order is known by DAY and its ref.
+DAY, BOOK = "day", ["day", "locate"]
+
+
+def dated(rows: DataFrame) -> DataFrame:
+    """`rows` with a day: 0 where they have none."""
+    return rows.withColumn(DAY, F.col(DAY).cast("int") if DAY in rows.columns else F.lit(0))
 
 
 def _typed(ops: DataFrame) -> DataFrame:
-    return ops.select("seq", F.col("locate").cast("int"), "ts_ns", "ty", F.col("ref").cast("decimal(20,0)"), F.col("new_ref").cast("decimal(20,0)"), F.col("shares").cast("long"), F.col("price").cast("long"), "side", "printable")
+    return dated(ops).select(DAY, "seq", F.col("locate").cast("int"), "ts_ns", "ty", F.col("ref").cast("decimal(20,0)"), F.col("new_ref").cast("decimal(20,0)"), F.col("shares").cast("long"), F.col("price").cast("long"), "side", "printable")
 
 
 def _additions(ops: DataFrame) -> DataFrame:
     a = F.col("ty") == "A"
-    return ops.where("ty in ('A', 'U')").select(F.when(a, F.col("ref")).otherwise(F.col("new_ref")).alias("id"), F.when(~a, F.col("ref")).alias("parent"), a.alias("first"), F.col("seq").alias("born"), "locate", F.col("shares").alias("size"), F.col("price").alias("rest_price"), F.when(a, F.col("side")).alias("own_side"))
+    return ops.where("ty in ('A', 'U')").select(DAY, F.when(a, F.col("ref")).otherwise(F.col("new_ref")).alias("id"), F.when(~a, F.col("ref")).alias("parent"), a.alias("first"), F.col("seq").alias("born"), F.col("shares").alias("size"), F.col("price").alias("rest_price"), F.when(a, F.col("side")).alias("own_side"))
 
 
 def cross_locate_refs(ops: DataFrame) -> DataFrame:
     """Refs that operations of several locates name: on a clean feed none."""
-    return ops.where("ref is not null").groupBy("ref").agg(F.count_distinct("locate").alias("locates")).where("locates > 1")
+    return dated(ops).where("ref is not null").groupBy(DAY, "ref").agg(F.count_distinct("locate").alias("locates")).where("locates > 1")
 
 
-def fold_effects(ops: DataFrame) -> DataFrame:
-    """The effects of operations, one locate at a time and in order: what defines them, for books that add a ref twice."""
+def fold_effects(ops: DataFrame, by: tuple[str, ...] = ("day", "locate")) -> DataFrame:
+    """The effects of operations, one group of `by` at a time and in order: what defines them, for refs that are added twice."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         live: dict = {}  # ref -> [shares, price, side]
@@ -65,87 +74,102 @@ def fold_effects(ops: DataFrame) -> DataFrame:
                     duplicate = new in live
                     if not duplicate:
                         live[new] = [int(r.shares), int(r.price), side]
-            out.append((r.seq, r.locate, r.ts_ns, r.ty, r.ref, r.new_ref, r.printable, not duplicate if r.ty == "A" else order is not None, duplicate, side, rest, r.shares, r.price, removed, gone, over, to_zero))
+            out.append((r.day, r.seq, r.locate, r.ts_ns, r.ty, r.ref, r.new_ref, r.printable, not duplicate if r.ty == "A" else order is not None, duplicate, side, rest, r.shares, r.price, removed, gone, over, to_zero))
         names = [x.split()[0] for x in EFFECTS.split(", ")]
         rows = pd.DataFrame(out, columns=names)
         for n in ("rest_price", "msg_shares", "msg_price"):
             rows[n] = pd.array([None if v is None or v != v else int(v) for v in rows[n]], dtype="Int64")
         return rows
 
-    return _typed(ops).groupBy("locate").applyInPandas(fold, EFFECTS)
+    return (ops if "chain" in ops.columns else _typed(ops)).groupBy(*by).applyInPandas(fold, EFFECTS)
 
 
 def _orders(ops: DataFrame, uses: DataFrame) -> DataFrame:
-    """id, root side and whether the order ever came to be: replaces are followed to the first add by pointer jumping.
+    """day, id, root side and whether the order ever came to be: replaces are followed to the first add by pointer jumping.
 
     A replace takes effect if its target then held shares and had come to be itself. Rounds grow with the
     logarithm of the longest chain of replaces.
     """
-    took = uses.where("ty = 'U'").select(F.col("new_ref").alias("id"), F.col("held").alias("took"))
-    state = _additions(ops).join(took, "id", "left").select("id", F.when(F.coalesce("took", F.lit(False)), F.col("parent")).alias("up"), (F.col("first") | F.coalesce("took", F.lit(False))).alias("ok"), "own_side")
+    took = uses.where("ty = 'U'").select(DAY, F.col("new_ref").alias("id"), F.col("held").alias("took"))
+    state = _additions(ops).join(took, [DAY, "id"], "left").select(DAY, "id", F.when(F.coalesce("took", F.lit(False)), F.col("parent")).alias("up"), (F.col("first") | F.coalesce("took", F.lit(False))).alias("ok"), "own_side")
     state = stored(state)
     while state.where("up is not null").limit(1).count():
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("ok").alias("ok2"), F.col("own_side").alias("side2"))
-        state = stored(state.join(above, "up", "left").select("id", F.col("up2").alias("up"), (F.col("ok") & F.when(F.col("up").isNull(), True).otherwise(F.coalesce("ok2", F.lit(False)))).alias("ok"), F.coalesce("own_side", "side2").alias("own_side")))
-    return state.select("id", "ok", F.col("own_side").alias("root_side"))
+        above = state.select(DAY, F.col("id").alias("up"), F.col("up").alias("up2"), F.col("ok").alias("ok2"), F.col("own_side").alias("side2"))
+        state = stored(state.join(above, [DAY, "up"], "left").select(DAY, "id", F.col("up2").alias("up"), (F.col("ok") & F.when(F.col("up").isNull(), True).otherwise(F.coalesce("ok2", F.lit(False)))).alias("ok"), F.coalesce("own_side", "side2").alias("own_side")))
+    return state.select(DAY, F.col("id").alias("ref"), "ok", F.col("own_side").alias("root_side"))
 
 
 def _joined_effects(ops: DataFrame) -> DataFrame:
     """The effects where every ref is added once: by joins and running sums, however many operations a symbol has."""
-    made = _additions(ops).drop("parent", "first", "own_side", "locate")
-    uses = ops.where("ty <> 'A'").join(made, F.col("ref") == F.col("id"), "left").withColumn("known", F.coalesce(F.col("born") < F.col("seq"), F.lit(False)))
+    made = _additions(ops).drop("parent", "first", "own_side").withColumnRenamed("id", "ref")
+    uses = ops.where("ty <> 'A'").join(made, [DAY, "ref"], "left").withColumn("known", F.coalesce(F.col("born") < F.col("seq"), F.lit(False)))
     want = F.when(F.col("ty").isin("D", "U"), ALL).otherwise(F.col("shares"))
     # unknown targets are a group of their own kind; they are dealt out by their number
-    w = Window.partitionBy("_at", "known").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(DAY, "_at", "known").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     uses = uses.withColumn("_at", F.when(F.col("known"), F.col("ref")).otherwise(-F.col("seq").cast("decimal(20,0)"))).withColumn("want", want).withColumn("spent", F.sum("want").over(w))
     uses = uses.withColumn("held", F.col("known") & (F.col("spent").isNull() | (F.col("spent") < F.col("size"))))
     uses = stored(uses.drop("_at"))
-    orders = _orders(ops, uses)
-    rows = uses.drop("id").join(orders, F.col("ref") == F.col("id"), "left").withColumn("live", F.col("held") & F.coalesce("ok", F.lit(False)))
+    rows = uses.join(_orders(ops, uses), [DAY, "ref"], "left").withColumn("live", F.col("held") & F.coalesce("ok", F.lit(False)))
     rest = F.col("size") - F.coalesce("spent", F.lit(0))
     only = lambda x, other: F.when(F.col("live"), x).otherwise(other)
     used = rows.select(
-        "seq", "locate", "ts_ns", "ty", "ref", "new_ref", "printable", "live", F.lit(False).alias("duplicate"), only(F.col("root_side"), None).alias("side"), only(F.col("rest_price"), None).alias("rest_price"), F.col("shares").alias("msg_shares"), F.col("price").alias("msg_price"),
+        DAY, "seq", "locate", "ts_ns", "ty", "ref", "new_ref", "printable", "live", F.lit(False).alias("duplicate"), only(F.col("root_side"), None).alias("side"), only(F.col("rest_price"), None).alias("rest_price"), F.col("shares").alias("msg_shares"), F.col("price").alias("msg_price"),
         only(F.least("want", rest), F.lit(0)).alias("removed"), only(F.col("want") >= rest, False).alias("gone"), only(F.col("ty").isin("E", "C", "X") & (F.col("want") > rest), False).alias("over"), only((F.col("ty") == "X") & (F.col("want") >= rest), False).alias("to_zero"),
     )
     none = F.lit(None).cast("long")
-    added = ops.where("ty = 'A'").select("seq", "locate", "ts_ns", "ty", "ref", "new_ref", "printable", F.lit(True).alias("live"), F.lit(False).alias("duplicate"), "side", none.alias("rest_price"), F.col("shares").alias("msg_shares"), F.col("price").alias("msg_price"), F.lit(0).cast("long").alias("removed"), F.lit(False).alias("gone"), F.lit(False).alias("over"), F.lit(False).alias("to_zero"))
+    added = ops.where("ty = 'A'").select(DAY, "seq", "locate", "ts_ns", "ty", "ref", "new_ref", "printable", F.lit(True).alias("live"), F.lit(False).alias("duplicate"), "side", none.alias("rest_price"), F.col("shares").alias("msg_shares"), F.col("price").alias("msg_price"), F.lit(0).cast("long").alias("removed"), F.lit(False).alias("gone"), F.lit(False).alias("over"), F.lit(False).alias("to_zero"))
     return used.unionByName(added)
 
 
+def _chains(ops: DataFrame, twice: DataFrame) -> DataFrame:
+    """day, ref, chain: the refs that replaces tie to those of `twice` (day, ref), with the smallest of them. Rounds grow with the longest such chain of replaces."""
+    ties = ops.where("ty = 'U' and ref is not null and new_ref is not null").select(DAY, "ref", "new_ref")
+    ties = ties.unionByName(ties.select(DAY, F.col("new_ref").alias("ref"), F.col("ref").alias("new_ref")))
+    state, last = stored(twice.withColumn("chain", F.col("ref"))), None
+    while True:
+        mark = state.agg(F.count("*"), F.sum("chain")).first()
+        if mark == last:
+            return state
+        last = mark
+        reached = ties.join(state, [DAY, "ref"]).select(DAY, F.col("new_ref").alias("ref"), "chain")
+        state = stored(state.unionByName(reached).groupBy(DAY, "ref").agg(F.min("chain").alias("chain")))
+
+
 def effects(ops: DataFrame) -> DataFrame:
     """What each operation does to the books, one row for each.
 
     live: the operation took hold (its target was there; an add was not a duplicate). side and rest_price are those of
-    the resting order, removed the shares that left it, gone whether it left. Locates that add some ref twice (after its
-    removal, or as a duplicate) go through the ordered fold, all others through joins.
+    the resting order, removed the shares that left it, gone whether it left. Refs that are added twice in a day (after their
+    removal, or as a duplicate) go through the ordered fold, with the refs that replaces tie to them, one such chain at a time;
+    all others go through joins.
     """
     ops = stored(_typed(ops))
-    twice = stored(_additions(ops).groupBy("id").agg(F.count("*").alias("n"), F.collect_set("locate").alias("at")).where("n > 1 and id is not null").select(F.explode("at").alias("locate")).distinct())
+    twice = stored(_additions(ops).groupBy(DAY, F.col("id").alias("ref")).agg(F.count("*").alias("n")).where("n > 1 and ref is not null").select(DAY, "ref"))
     if not twice.limit(1).count():
         return stored(_joined_effects(ops))
-    odd = F.broadcast(twice)  # locates have 16 bits
-    return stored(_joined_effects(ops.join(odd, "locate", "left_anti")).unionByName(fold_effects(ops.join(odd, "locate", "left_semi"))))
+    chains = _chains(ops, twice)
+    odd = ops.join(chains, [DAY, "ref"]).select(*ops.columns, "chain")
+    return stored(_joined_effects(ops.join(chains, [DAY, "ref"], "left_anti")).unionByName(fold_effects(odd, (DAY, "chain"))))
 
 
 def level_changes(fx: DataFrame) -> DataFrame:
-    """locate, side, price, seq, ts_ns, shares, orders: the change of each level by each operation; both legs of a replace count at once."""
-    out = fx.where("live and ty <> 'A'").select("locate", "side", F.col("rest_price").alias("price"), "seq", "ts_ns", (-F.col("removed")).alias("shares"), F.when(F.col("gone"), -1).otherwise(0).alias("orders"))
-    into = fx.where("live and ty in ('A', 'U') and not duplicate").select("locate", "side", F.col("msg_price").alias("price"), "seq", "ts_ns", F.col("msg_shares").alias("shares"), F.lit(1).alias("orders"))
-    return out.unionByName(into).groupBy("locate", "side", "price", "seq", "ts_ns").agg(F.sum("shares").alias("shares"), F.sum("orders").cast("long").alias("orders"))
+    """day, locate, side, price, seq, ts_ns, shares, orders: the change of each level by each operation; both legs of a replace count at once."""
+    out = fx.where("live and ty <> 'A'").select(*BOOK, "side", F.col("rest_price").alias("price"), "seq", "ts_ns", (-F.col("removed")).alias("shares"), F.when(F.col("gone"), -1).otherwise(0).alias("orders"))
+    into = fx.where("live and ty in ('A', 'U') and not duplicate").select(*BOOK, "side", F.col("msg_price").alias("price"), "seq", "ts_ns", F.col("msg_shares").alias("shares"), F.lit(1).alias("orders"))
+    return out.unionByName(into).groupBy(*BOOK, "side", "price", "seq", "ts_ns").agg(F.sum("shares").alias("shares"), F.sum("orders").cast("long").alias("orders"))
 
 
 def levels(fx: DataFrame) -> DataFrame:
     """The books at the end: locate, side, price, shares, orders of every level that holds an order."""
-    return level_changes(fx).groupBy("locate", "side", "price").agg(F.sum("shares").alias("shares"), F.sum("orders").alias("orders")).where("orders > 0")
+    return level_changes(fx).groupBy(*BOOK, "side", "price").agg(F.sum("shares").alias("shares"), F.sum("orders").alias("orders")).where("orders > 0")
 
 
 def depth(fx: DataFrame, n: int = 5) -> DataFrame:
     """The best `n` levels of each side, side by side: locate, rank, bid_*, ask_*."""
-    rank = F.row_number().over(Window.partitionBy("locate", "side").orderBy(F.when(F.col("side") == "B", -F.col("price")).otherwise(F.col("price"))))
+    rank = F.row_number().over(Window.partitionBy(*BOOK, "side").orderBy(F.when(F.col("side") == "B", -F.col("price")).otherwise(F.col("price"))))
     rows = levels(fx).withColumn("rank", rank).where(F.col("rank") <= n)
-    side = lambda s, p: rows.where(F.col("side") == s).select("locate", "rank", F.col("price").alias(f"{p}_px"), F.col("shares").alias(f"{p}_sz"), F.col("orders").alias(f"{p}_ct"))
-    return side("B", "bid").join(side("S", "ask"), ["locate", "rank"], "full")
+    side = lambda s, p: rows.where(F.col("side") == s).select(*BOOK, "rank", F.col("price").alias(f"{p}_px"), F.col("shares").alias(f"{p}_sz"), F.col("orders").alias(f"{p}_ct"))
+    return side("B", "bid").join(side("S", "ask"), [*BOOK, "rank"], "full")
 
 
 def tops(fx: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -155,11 +179,11 @@ def tops(fx: DataFrame, stretch: int = STRETCH) -> DataFrame:
     stretches of a symbol are replayed side by side, and the busiest symbol is as many tasks as it has stretches.
     """
     changes = level_changes(fx).withColumn("part", F.floor(F.col("seq") / stretch).cast("int"))
-    per = changes.groupBy("locate", "side", "price", "part").agg(F.sum("shares").alias("shares"), F.sum("orders").alias("orders"))
-    w = Window.partitionBy("locate", "side", "price").orderBy("part")
-    held = per.select("locate", "side", "price", "part", F.lead("part").over(w).alias("next"), F.sum("shares").over(w).alias("shares"), F.sum("orders").over(w).alias("orders")).where("orders > 0")
-    busy = changes.groupBy("locate").agg(F.array_sort(F.collect_set("part")).alias("parts"))  # one number a stretch
-    start = held.join(busy, "locate").select("locate", "side", "price", F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("ts_ns"), "shares", "orders", F.explode(F.filter("parts", lambda p: (p > F.col("part")) & (F.col("next").isNull() | (p <= F.col("next"))))).alias("part"))
+    per = changes.groupBy(*BOOK, "side", "price", "part").agg(F.sum("shares").alias("shares"), F.sum("orders").alias("orders"))
+    w = Window.partitionBy(*BOOK, "side", "price").orderBy("part")
+    held = per.select(*BOOK, "side", "price", "part", F.lead("part").over(w).alias("next"), F.sum("shares").over(w).alias("shares"), F.sum("orders").over(w).alias("orders")).where("orders > 0")
+    busy = changes.groupBy(*BOOK).agg(F.array_sort(F.collect_set("part")).alias("parts"))  # one number a stretch
+    start = held.join(busy, BOOK).select(*BOOK, "side", "price", F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("ts_ns"), "shares", "orders", F.explode(F.filter("parts", lambda p: (p > F.col("part")) & (F.col("next").isNull() | (p <= F.col("next"))))).alias("part"))
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         book: dict = {"B": {}, "S": {}}
@@ -175,11 +199,11 @@ def tops(fx: DataFrame, stretch: int = STRETCH) -> DataFrame:
             return 0, 0, 0
 
         rows, out, last = pdf.sort_values("seq", kind="stable"), [], None
-        locate = int(pdf["locate"].iloc[0])
+        day, locate = int(pdf["day"].iloc[0]), int(pdf["locate"].iloc[0])
         for side, price, seq, ts, shares, orders in zip(rows["side"], rows["price"].tolist(), rows["seq"].tolist(), rows["ts_ns"].tolist(), rows["shares"].tolist(), rows["orders"].tolist(), strict=True):
             if last is not None and last[0] != seq and last[0] >= 0:
                 (bp, bs, bc), (ap, az, ac) = best("B"), best("S")
-                out.append((locate, *last, bp, ap, bs, az, bc, ac))
+                out.append((day, locate, *last, bp, ap, bs, az, bc, ac))
             last = (seq, ts)
             own = book[side]
             had = own.get(price)
@@ -192,19 +216,19 @@ def tops(fx: DataFrame, stretch: int = STRETCH) -> DataFrame:
                 own.pop(price, None)
         if last is not None and last[0] >= 0:
             (bp, bs, bc), (ap, az, ac) = best("B"), best("S")
-            out.append((locate, *last, bp, ap, bs, az, bc, ac))
-        return pd.DataFrame(out, columns=["locate", "seq", "ts_ns", "bid_px", "ask_px", "bid_sz", "ask_sz", "bid_ct", "ask_ct"])
+            out.append((day, locate, *last, bp, ap, bs, az, bc, ac))
+        return pd.DataFrame(out, columns=["day", "locate", "seq", "ts_ns", "bid_px", "ask_px", "bid_sz", "ask_sz", "bid_ct", "ask_ct"])
 
-    rows = changes.select("locate", "side", "price", "seq", "ts_ns", "shares", "orders", "part").unionByName(start.select("locate", "side", "price", "seq", "ts_ns", "shares", "orders", "part"))
-    return rows.groupBy("locate", "part").applyInPandas(replay, "locate int, seq long, ts_ns long, bid_px long, ask_px long, bid_sz long, ask_sz long, bid_ct long, ask_ct long")
+    rows = changes.select(*BOOK, "side", "price", "seq", "ts_ns", "shares", "orders", "part").unionByName(start.select(*BOOK, "side", "price", "seq", "ts_ns", "shares", "orders", "part"))
+    return rows.groupBy(*BOOK, "part").applyInPandas(replay, "day int, locate int, seq long, ts_ns long, bid_px long, ask_px long, bid_sz long, ask_sz long, bid_ct long, ask_ct long")
 
 
 def l1_stream(top: DataFrame) -> DataFrame:
     """The change-only top of book: rows of `tops` whose prices or sizes differ from the row before. Sizes and counts saturate first; counts alone are no change."""
-    rows = top.select("locate", "seq", "ts_ns", "bid_px", "ask_px", *[F.least(F.col(c), F.lit(U32)).alias(c) for c in ("bid_sz", "ask_sz")], *[F.least(F.col(c), F.lit(U16)).alias(c) for c in ("bid_ct", "ask_ct")])
+    rows = top.select(*BOOK, "seq", "ts_ns", "bid_px", "ask_px", *[F.least(F.col(c), F.lit(U32)).alias(c) for c in ("bid_sz", "ask_sz")], *[F.least(F.col(c), F.lit(U16)).alias(c) for c in ("bid_ct", "ask_ct")])
     now = F.struct("bid_px", "ask_px", "bid_sz", "ask_sz")
     zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("bid_px", "ask_px", "bid_sz", "ask_sz")])
-    before = F.coalesce(F.lag(now).over(Window.partitionBy("locate").orderBy("seq")), zero)
+    before = F.coalesce(F.lag(now).over(Window.partitionBy(*BOOK).orderBy("seq")), zero)
     return rows.withColumn("_changed", now != before).where("_changed").drop("_changed")
 
 
@@ -213,11 +237,11 @@ def trade_tape(fx: DataFrame, messages: DataFrame | None = None) -> DataFrame:
 
     messages: seq, ts_ns, locate, ty (P, Q), price, shares, side.
     """
-    rows = fx.where("live and (ty = 'E' or (ty = 'C' and printable = 'Y'))").select("seq", "ts_ns", "locate", F.when(F.col("ty") == "E", 0).otherwise(1).alias("kind"), F.when(F.col("ty") == "E", F.col("rest_price")).otherwise(F.col("msg_price")).alias("price"), F.col("msg_shares").alias("shares"), "side")
+    rows = fx.where("live and (ty = 'E' or (ty = 'C' and printable = 'Y'))").select(DAY, "seq", "ts_ns", "locate", F.when(F.col("ty") == "E", 0).otherwise(1).alias("kind"), F.when(F.col("ty") == "E", F.col("rest_price")).otherwise(F.col("msg_price")).alias("price"), F.col("msg_shares").alias("shares"), "side")
     if messages is None:
         return rows
     q = F.col("ty") == "Q"
-    more = messages.where("ty in ('P', 'Q')").select("seq", "ts_ns", "locate", F.when(q, 3).otherwise(2).alias("kind"), "price", F.least(F.col("shares").cast("long"), F.lit(U32)).alias("shares"), F.when(q, "").otherwise(F.col("side")).alias("side"))
+    more = dated(messages).where("ty in ('P', 'Q')").select(DAY, "seq", "ts_ns", "locate", F.when(q, 3).otherwise(2).alias("kind"), "price", F.least(F.col("shares").cast("long"), F.lit(U32)).alias("shares"), F.when(q, "").otherwise(F.col("side")).alias("side"))
     return rows.unionByName(more)
 
 
@@ -226,81 +250,87 @@ def crossings(fx: DataFrame, top: DataFrame, control: DataFrame) -> DataFrame:
 
     pending: no cross has been since trading began, so the auction is still due. The state is H at first.
     """
-    checked = fx.where("(ty = 'D') or (live and not duplicate)").select("locate", "seq", "ts_ns")
-    rows = checked.join(top.select("locate", "seq", F.struct("bid_px", "ask_px").alias("top")), ["locate", "seq"], "left").withColumn("state", F.lit(None).cast("string")).withColumn("pending", F.lit(None).cast("boolean")).withColumn("op", F.lit(True))
-    h = control.where("ty = 'H'").select("locate", "seq", "state", F.coalesce(F.lag("state").over(Window.partitionBy("locate").orderBy("seq")), F.lit("H")).alias("was"))
-    h = h.select("locate", "seq", "state", F.when((F.col("state") == "T") & (F.col("was") != "T"), True).alias("pending"))
-    q = control.where("ty = 'Q'").select("locate", "seq", F.lit(None).cast("string").alias("state"), F.lit(False).alias("pending"))
-    ctl = h.unionByName(q).select("locate", "seq", F.lit(None).cast("long").alias("ts_ns"), F.lit(None).cast("struct<bid_px:bigint,ask_px:bigint>").alias("top"), "state", "pending", F.lit(False).alias("op"))
-    w = Window.partitionBy("locate").orderBy("seq")
+    checked = fx.where("(ty = 'D') or (live and not duplicate)").select(*BOOK, "seq", "ts_ns")
+    rows = checked.join(top.select(*BOOK, "seq", F.struct("bid_px", "ask_px").alias("top")), [*BOOK, "seq"], "left").withColumn("state", F.lit(None).cast("string")).withColumn("pending", F.lit(None).cast("boolean")).withColumn("op", F.lit(True))
+    control = dated(control)
+    h = control.where("ty = 'H'").select(*BOOK, "seq", "state", F.coalesce(F.lag("state").over(Window.partitionBy(*BOOK).orderBy("seq")), F.lit("H")).alias("was"))
+    h = h.select(*BOOK, "seq", "state", F.when((F.col("state") == "T") & (F.col("was") != "T"), True).alias("pending"))
+    q = control.where("ty = 'Q'").select(*BOOK, "seq", F.lit(None).cast("string").alias("state"), F.lit(False).alias("pending"))
+    ctl = h.unionByName(q).select(*BOOK, "seq", F.lit(None).cast("long").alias("ts_ns"), F.lit(None).cast("struct<bid_px:bigint,ask_px:bigint>").alias("top"), "state", "pending", F.lit(False).alias("op"))
+    w = Window.partitionBy(*BOOK).orderBy("seq")
     last = lambda c: F.last(c, ignorenulls=True).over(w)
-    rows = rows.unionByName(ctl).select("locate", "seq", "ts_ns", "op", last("top").alias("top"), last("state").alias("state"), F.coalesce(last("pending"), F.lit(False)).alias("pending"))
-    return rows.where("op and state = 'T' and top.bid_px > 0 and top.ask_px > 0 and top.bid_px >= top.ask_px").select("locate", "seq", "ts_ns", F.col("top.bid_px").alias("bid_px"), F.col("top.ask_px").alias("ask_px"), "pending")
+    rows = rows.unionByName(ctl).select(*BOOK, "seq", "ts_ns", "op", last("top").alias("top"), last("state").alias("state"), F.coalesce(last("pending"), F.lit(False)).alias("pending"))
+    return rows.where("op and state = 'T' and top.bid_px > 0 and top.ask_px > 0 and top.bid_px >= top.ask_px").select(*BOOK, "seq", "ts_ns", F.col("top.bid_px").alias("bid_px"), F.col("top.ask_px").alias("ask_px"), "pending")
 
 
 def crossed_events(crossed: DataFrame, cap: int = 10_000) -> DataFrame:
     """The first `cap` crossings in trading, in the feed's order: the report's limit."""
-    return crossed.where("not pending").orderBy("seq").limit(cap).drop("pending")
+    return crossed.where("not pending").orderBy(DAY, "seq").limit(cap).drop("pending")
 
 
 def crossed_report(events: DataFrame) -> DataFrame:
     """Crossings by symbol: n, first and last time, and the time between."""
-    return events.groupBy("locate").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), (F.max("ts_ns") - F.min("ts_ns")).alias("span_ns"))
+    return events.groupBy(*BOOK).agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), (F.max("ts_ns") - F.min("ts_ns")).alias("span_ns"))
 
 
 def violations(fx: DataFrame, crossed: DataFrame) -> DataFrame:
-    """One row: the eight counters and their total, which leaves out cancel_to_zero and crossed_auction_pending.
+    """One row for each day: the eight counters and their total, which leaves out cancel_to_zero and crossed_auction_pending.
 
     A level cannot underflow, as what leaves it is bounded by its orders; ladder_underflow counts levels that end below zero all the same.
     """
     miss = ~F.col("live")
-    one = fx.agg(F.count_if(miss & F.col("ty").isin("E", "C", "X", "D")).alias("unknown_ref"), F.count_if(miss & (F.col("ty") == "U")).alias("replace_unknown"), F.count_if("duplicate").alias("duplicate_ref"), F.count_if("over").alias("over_reduction"), F.count_if("to_zero").alias("cancel_to_zero"))
-    two = crossed.agg(F.count_if(~F.col("pending")).alias("crossed_while_trading"), F.count_if("pending").alias("crossed_auction_pending"))
-    ends = level_changes(fx).groupBy("locate", "side", "price").agg(F.sum("shares").alias("s")).agg(F.count_if(F.col("s") < 0).alias("ladder_underflow"))
+    one = fx.groupBy(DAY).agg(F.count_if(miss & F.col("ty").isin("E", "C", "X", "D")).alias("unknown_ref"), F.count_if(miss & (F.col("ty") == "U")).alias("replace_unknown"), F.count_if("duplicate").alias("duplicate_ref"), F.count_if("over").alias("over_reduction"), F.count_if("to_zero").alias("cancel_to_zero"))
+    two = crossed.groupBy(DAY).agg(F.count_if(~F.col("pending")).alias("crossed_while_trading"), F.count_if("pending").alias("crossed_auction_pending"))
+    ends = level_changes(fx).groupBy(*BOOK, "side", "price").agg(F.sum("shares").alias("s")).groupBy(DAY).agg(F.count_if(F.col("s") < 0).alias("ladder_underflow"))
     total = sum((F.col(x) for x in ("unknown_ref", "replace_unknown", "duplicate_ref", "over_reduction", "crossed_while_trading", "ladder_underflow")), F.lit(0))
-    return one.crossJoin(two).crossJoin(ends).withColumn("total", total.cast("long"))  # one row each
+    return one.join(two, DAY, "left").join(ends, DAY, "left").na.fill(0).withColumn("total", total.cast("long"))
 
 
 def operation_counts(fx: DataFrame) -> DataFrame:
     """Adds, executes, cancels, deletes and replaces of each locate. Deletes count also for unknown refs."""
     n = lambda when, name: F.count_if(when).alias(name)
     t, done = F.col("ty"), F.col("live") & ~F.col("duplicate")
-    return fx.groupBy("locate").agg(n(done & (t == "A"), "adds"), n(F.col("live") & t.isin("E", "C"), "executes"), n(F.col("live") & (t == "X"), "cancels"), n(t == "D", "deletes"), n(done & (t == "U"), "replaces")).where("adds + executes + cancels + deletes + replaces > 0")
+    return fx.groupBy(*BOOK).agg(n(done & (t == "A"), "adds"), n(F.col("live") & t.isin("E", "C"), "executes"), n(F.col("live") & (t == "X"), "cancels"), n(t == "D", "deletes"), n(done & (t == "U"), "replaces")).where("adds + executes + cancels + deletes + replaces > 0")
 
 
 def peak_live_orders(fx: DataFrame, stretch: int = 1 << 20) -> DataFrame:
-    """One row, `peak_live_orders`: the most orders live at once, over all symbols, counted after an add or a replace.
+    """day, peak_live_orders: the most orders live at once, over all symbols, counted after an add or a replace.
 
     Stretches of the feed are summed up first and then each runs its own sum from where the last ended.
     """
     change = F.when((F.col("ty") == "A") & F.col("live"), 1).when(F.col("gone") & ((F.col("ty") != "U") | F.col("duplicate")), -1).otherwise(0)
-    rows = fx.select("seq", F.floor(F.col("seq") / stretch).alias("part"), change.alias("d"))
-    per = rows.groupBy("part").agg(F.sum("d").alias("s"))
-    base = per.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each stretch
-    run = F.sum("d").over(Window.partitionBy("part").orderBy("seq")) + F.col("base")
-    return rows.join(base, "part").select(run.alias("n"), "d").where("d >= 0").agg(F.coalesce(F.max("n"), F.lit(0)).alias("peak_live_orders"))
+    rows = fx.select(DAY, "seq", F.floor(F.col("seq") / stretch).alias("part"), change.alias("d"))
+    per = rows.groupBy(DAY, "part").agg(F.sum("d").alias("s"))
+    base = per.select(DAY, "part", F.coalesce(F.sum("s").over(Window.partitionBy(DAY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each stretch
+    run = F.sum("d").over(Window.partitionBy(DAY, "part").orderBy("seq")) + F.col("base")
+    return rows.join(base, [DAY, "part"]).select(DAY, run.alias("n"), "d").groupBy(DAY).agg(F.coalesce(F.max(F.when(F.col("d") >= 0, F.col("n"))), F.lit(0)).alias("peak_live_orders"))
 
 
 def stats(fx: DataFrame) -> DataFrame:
-    """One row: adds, executes, cancels, deletes, replaces, executed_shares, peak_live_orders."""
+    """One row for each day: adds, executes, cancels, deletes, replaces, executed_shares, peak_live_orders."""
     names = ("adds", "executes", "cancels", "deletes", "replaces")
-    counts = operation_counts(fx).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
-    shares = fx.where("live and ty in ('E', 'C')").agg(F.coalesce(F.sum("removed"), F.lit(0)).alias("executed_shares"))
-    return counts.crossJoin(shares).crossJoin(peak_live_orders(fx))  # one row each
+    counts = operation_counts(fx).groupBy(DAY).agg(*[F.sum(n).alias(n) for n in names])
+    shares = fx.groupBy(DAY).agg(F.coalesce(F.sum(F.when(F.col("live") & F.col("ty").isin("E", "C"), F.col("removed"))), F.lit(0)).alias("executed_shares"))
+    return shares.join(counts, DAY, "left").join(peak_live_orders(fx), DAY, "left").na.fill(0).select(DAY, *names, "executed_shares", "peak_live_orders")
 
 
 def live_orders(fx: DataFrame) -> DataFrame:
-    """The orders left at the end: locate, ref, side, price, shares. A ref that is added again after its removal counts from then on."""
-    added = fx.where("live and ty in ('A', 'U') and not duplicate").select("locate", F.when(F.col("ty") == "A", F.col("ref")).otherwise(F.col("new_ref")).alias("ref"), "seq", F.struct("side", F.col("msg_price").alias("price")).alias("o"), F.col("msg_shares").alias("shares"), F.lit(1).alias("n"))
-    left = fx.where("live and ty <> 'A'").select("locate", "ref", "seq", F.lit(None).cast("struct<side:string,price:bigint>").alias("o"), (-F.col("removed")).alias("shares"), F.when(F.col("gone"), -1).otherwise(0).alias("n"))
-    rows = added.unionByName(left).groupBy("locate", "ref").agg(F.max_by("o", F.when(F.col("o").isNotNull(), F.col("seq"))).alias("o"), F.sum("shares").alias("shares"), F.sum("n").alias("n"))
-    return rows.where("n > 0").select("locate", "ref", "o.side", "o.price", "shares")
+    """The orders left at the end: day, locate, ref, side, price, shares. A ref that is added again after its removal counts from then on."""
+    added = fx.where("live and ty in ('A', 'U') and not duplicate").select(*BOOK, F.when(F.col("ty") == "A", F.col("ref")).otherwise(F.col("new_ref")).alias("ref"), "seq", F.struct("side", F.col("msg_price").alias("price")).alias("o"), F.col("msg_shares").alias("shares"), F.lit(1).alias("n"))
+    left = fx.where("live and ty <> 'A'").select(*BOOK, "ref", "seq", F.lit(None).cast("struct<side:string,price:bigint>").alias("o"), (-F.col("removed")).alias("shares"), F.when(F.col("gone"), -1).otherwise(0).alias("n"))
+    rows = added.unionByName(left).groupBy(*BOOK, "ref").agg(F.max_by("o", F.when(F.col("o").isNotNull(), F.col("seq"))).alias("o"), F.sum("shares").alias("shares"), F.sum("n").alias("n"))
+    return rows.where("n > 0").select(*BOOK, "ref", "o.side", "o.price", "shares")
 
 
 def audit(fx: DataFrame) -> DataFrame:
-    """For each locate with a book: levels, and how many of them differ from those rebuilt from the orders left (mismatches)."""
-    again = live_orders(fx).groupBy("locate", "side", "price").agg(F.sum("shares").alias("shares2"), F.count("*").alias("orders2"))
-    both = levels(fx).join(again, ["locate", "side", "price"], "full")
+    """For each day and locate with a book: levels, and how many of them differ from those rebuilt from the orders left (mismatches)."""
+    again = live_orders(fx).groupBy(*BOOK, "side", "price").agg(F.sum("shares").alias("shares2"), F.count("*").alias("orders2"))
+    both = levels(fx).join(again, [*BOOK, "side", "price"], "full")
     same = F.col("shares").eqNullSafe(F.col("shares2")) & F.col("orders").eqNullSafe(F.col("orders2"))
-    known = fx.select("locate").distinct()
-    return known.join(both.groupBy("locate").agg(F.count("*").alias("levels"), F.count_if(~same).alias("mismatches")), "locate", "left").na.fill(0)
+    known = fx.select(*BOOK).distinct()
+    return known.join(both.groupBy(*BOOK).agg(F.count("*").alias("levels"), F.count_if(~same).alias("mismatches")), BOOK, "left").na.fill(0)
+
+
+def audit_counts(audited: DataFrame) -> DataFrame:
+    """One row for each day: books audited, and how many of them failed."""
+    return audited.groupBy(DAY).agg(F.count("*").alias("audited"), F.count_if(F.col("mismatches") > 0).alias("failed"))

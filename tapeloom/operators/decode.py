@@ -64,11 +64,24 @@ def with_status(frames: DataFrame) -> DataFrame:
     return frames.select("*", kind.alias("type"), want.alias("_want")).select("*", F.when(F.col("_want") < 0, "UnknownType").when(F.octet_length("payload") != F.col("_want"), "BadLength").otherwise("Ok").alias("status")).drop("_want")
 
 
+def _file(frames: DataFrame) -> DataFrame:
+    """Frames with the file they are from; without one, all are of one file."""
+    return frames if "file" in frames.columns else frames.withColumn("file", F.lit(""))
+
+
 def before_failure(frames: DataFrame) -> DataFrame:
-    """The frames before the first that does not decode; the stream ends there."""
-    rows = frames if "status" in frames.columns else with_status(frames)
-    first = rows.where("status <> 'Ok'").agg(F.min("seq").alias("_bad"))  # one row
-    return rows.crossJoin(F.broadcast(first)).where("_bad is null or seq < _bad").drop("_bad")
+    """The frames of each file before its first that does not decode; the file's stream ends there."""
+    rows = _file(frames if "status" in frames.columns else with_status(frames))
+    first = rows.where("status <> 'Ok'").groupBy("file").agg(F.min("seq").alias("_bad"))  # at most a row for each file
+    rows = rows.join(F.broadcast(first), "file", "left").where("_bad is null or seq < _bad").drop("_bad")
+    return rows if "file" in frames.columns else rows.drop("file")
+
+
+def with_day(frames: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Frames with `day`, a number for each file: by `days` (file, day), or else by the files' order."""
+    if days is None:
+        days = frames.select("file").distinct().select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("day"))  # a row for each file
+    return frames.join(F.broadcast(days), "file")
 
 
 def decoded(frames: DataFrame, kind: str) -> DataFrame:
@@ -79,23 +92,88 @@ def decoded(frames: DataFrame, kind: str) -> DataFrame:
     return frames.where(F.substring("payload", 1, 1).cast("string") == kind).select("seq", *cols[:2], *ts, *cols[2:])
 
 
-def encoded(rows: DataFrame, kind: str) -> DataFrame:
-    """The inverse of `decoded`: seq and payload, from columns named as the fields (numbers, or texts that get padded)."""
+def _bytes_of(kind: str, have: list[str]) -> Column:
     parts = [F.encode(F.lit(kind), "UTF-8")]
     for n, _, w, k in HEADER + LAYOUTS[kind][2]:
-        parts.append(F.encode(F.rpad(F.coalesce(F.col(n), F.lit("")), w, " "), "UTF-8") if k == "a" else F.unhex(F.lpad(F.conv(F.col(n).cast("string"), 10, 16), 2 * w, "0")))
-    return rows.select("seq", F.concat(*parts).alias("payload"))
+        value = F.col(n) if n in have else F.lit("" if k == "a" else 0)
+        parts.append(F.encode(F.rpad(F.coalesce(value, F.lit("")), w, " "), "UTF-8") if k == "a" else F.unhex(F.lpad(F.conv(value.cast("string"), 10, 16), 2 * w, "0")))
+    return F.concat(*parts)
+
+
+def encoded(rows: DataFrame, kind: str) -> DataFrame:
+    """The inverse of `decoded`: seq and payload, from columns named as the fields (numbers, or texts that get padded; 0 or blanks where there is no such column)."""
+    return rows.select("seq", _bytes_of(kind, rows.columns).alias("payload"))
+
+
+def encoded_all(rows: DataFrame, kinds: str, kind: str = "ty", keep: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Messages of several kinds in one pass: `keep` and payload, for the rows whose `kind` is one of `kinds`."""
+    out = F.lit(None).cast("binary")
+    for k in kinds:
+        out = F.when(F.col(kind) == k, _bytes_of(k, rows.columns)).otherwise(out)
+    return rows.where(F.col(kind).isin(*kinds)).select(*keep, out.alias("payload"))
+
+
+def _columns(kinds: str, names: dict[str, str]) -> list[Column]:
+    """Each named field, cast, for frames of several kinds in one pass: null where a kind has no such field."""
+    payload, kind = F.col("payload"), F.substring("payload", 1, 1).cast("string")
+    out = []
+    for name, cast in names.items():
+        value, places = F.lit(None).cast(cast), {}
+        for k in kinds:
+            for n, o, w, t in LAYOUTS[k][2]:
+                if n == name:
+                    places.setdefault((o, w, t), []).append(k)
+        for place, own in places.items():
+            value = F.when(kind.isin(*own), _field(payload, *place).cast(cast)).otherwise(value)
+        out.append(value.alias(name))
+    return out
+
+
+def _header() -> list[Column]:
+    return [_field(F.col("payload"), 1, 2, "u").alias("locate"), F.conv(F.hex(F.substring("payload", 6, 6)), 16, 10).cast("bigint").alias("ts_ns")]
+
+
+def _of_kinds(frames: DataFrame, kinds: str, names: dict[str, str]) -> DataFrame:
+    keys = [c for c in ("file", "day") if c in frames.columns]
+    kind = F.substring("payload", 1, 1).cast("string")
+    return frames.where(kind.isin(*kinds)).select(*keys, "seq", *_header(), kind.alias("ty"), *_columns(kinds, names))
 
 
 def operations(frames: DataFrame) -> DataFrame:
-    """The book operations of all types in one table: seq, locate, ts_ns, ty, ref, new_ref, shares, price, side, printable. F counts as A."""
-    out = None
+    """The book operations of all types in one table, in one pass: [file, day,] seq, locate, ts_ns, ty, ref, new_ref, shares, price, side, printable. F counts as A."""
     types = {"ref": "decimal(20,0)", "new_ref": "decimal(20,0)", "shares": "bigint", "price": "bigint", "side": "string", "printable": "string"}
-    for kind in "AFECXDU":
-        d = decoded(frames, kind)
-        d = d.select("seq", "locate", "ts_ns", F.lit("A" if kind == "F" else kind).alias("ty"), *[(F.col(n) if n in d.columns else F.lit(None)).cast(t).alias(n) for n, t in types.items()])
-        out = d if out is None else out.unionByName(d)
-    return out
+    return _of_kinds(frames, "AFECXDU", types).withColumn("ty", F.when(F.col("ty") == "F", "A").otherwise(F.col("ty")))
+
+
+def control(frames: DataFrame) -> DataFrame:
+    """Trading actions and crosses, which drive a book's state: [file, day,] seq, locate, ts_ns, ty (H, Q), state."""
+    return _of_kinds(frames, "HQ", {"state": "string"})
+
+
+def prints(frames: DataFrame) -> DataFrame:
+    """Trades against hidden orders and crosses: [file, day,] seq, locate, ts_ns, ty (P, Q), price, shares (not saturated), side."""
+    return _of_kinds(frames, "PQ", {"price": "bigint", "shares": "decimal(20,0)", "side": "string"})
+
+
+def directory(frames: DataFrame, stripped: bool = True) -> DataFrame:
+    """[file, day,] locate, symbol: the last directory entry of each locate, without trailing blanks (with them if not `stripped`)."""
+    keys = [c for c in ("file", "day") if c in frames.columns]
+    rows = _of_kinds(frames, "R", {"stock": "string"})
+    last = rows.groupBy(*keys, "locate").agg(F.max_by("stock", "seq").alias("symbol"))
+    return last.withColumn("symbol", F.rtrim("symbol")) if stripped else last
+
+
+def tracked(frames: DataFrame, symbol: str) -> DataFrame:
+    """The frames of one symbol's locate: directory entries and trading actions of all symbols stay, as do messages without a symbol.
+
+    Books, prints and counts of other symbols go. The locate is the one that the directory last gives the symbol.
+    """
+    keys = [c for c in ("file", "day") if c in frames.columns]
+    rows = _of_kinds(frames, "R", {"stock": "string"}).where(F.rtrim("stock") == symbol)
+    own = rows.groupBy(*keys).agg(F.max_by("locate", "seq").alias("_own"))  # a row for each day
+    kind = F.substring("payload", 1, 1).cast("string")
+    joined = frames.join(F.broadcast(own), keys, "left") if keys else frames.crossJoin(F.broadcast(own))
+    return joined.where(~kind.isin(*"AFECXDUPQ") | (_field(F.col("payload"), 1, 2, "u") == F.col("_own"))).drop("_own")
 
 
 def type_counts(frames: DataFrame) -> DataFrame:
@@ -104,24 +182,40 @@ def type_counts(frames: DataFrame) -> DataFrame:
 
 
 def stream_checks(frames: DataFrame) -> DataFrame:
-    """One row: messages, ts_min, ts_max, ts_out_of_range, bad_side, zero_price_adds, locate_checked, locate_mismatch, ok.
+    """One row for each file: file, messages, ts_min, ts_max, ts_out_of_range, bad_side, zero_price_adds, locate_checked, locate_mismatch, failed, ok.
 
-    A symbol is compared with the last directory entry of its locate so far; locates without one are skipped.
+    A symbol is compared with the last directory entry of its locate in its file so far; locates without one are skipped. Frames from the first
+    on that does not decode are left out; `failed` is that frame's status, null if all decode. Whether a file ends with its last frame
+    is for `verdict` to add.
     """
+    given = "file" in frames.columns
+    checked = _file(with_status(frames))
+    failed = checked.where("status <> 'Ok'").groupBy("file").agg(F.min_by("status", "seq").alias("failed"))
+    frames = before_failure(checked)
     kind = F.substring("payload", 1, 1).cast("string")
     stock = F.lit(None).cast("string")
     for k in ("R", *CHECKED):
         at = next(o for n, o, _, _ in LAYOUTS[k][2] if n == "stock")
         stock = F.when(kind == k, F.substring("payload", at + 1, 8).cast("string")).otherwise(stock)
-    rows = frames.select("seq", kind.alias("t"), _field(F.col("payload"), 1, 2, "u").alias("locate"), F.conv(F.hex(F.substring("payload", 6, 6)), 16, 10).cast("bigint").alias("ts_ns"), stock.alias("stock"),
+    rows = frames.select("file", "seq", kind.alias("t"), _field(F.col("payload"), 1, 2, "u").alias("locate"), F.conv(F.hex(F.substring("payload", 6, 6)), 16, 10).cast("bigint").alias("ts_ns"), stock.alias("stock"),
                          F.when(kind.isin("A", "F", "P"), F.substring("payload", 20, 1).cast("string")).alias("side"), F.when(kind.isin("A", "F"), _field(F.col("payload"), 32, 4, "u")).alias("price"))
-    known = F.last(F.when(F.col("t") == "R", F.col("stock")), ignorenulls=True).over(Window.partitionBy("locate").orderBy("seq"))
+    known = F.last(F.when(F.col("t") == "R", F.col("stock")), ignorenulls=True).over(Window.partitionBy("file", "locate").orderBy("seq"))
     rows = rows.withColumn("known", F.when(F.col("t").isin(*CHECKED), known))
-    one = rows.agg(
+    one = rows.groupBy("file").agg(
         F.count("*").alias("messages"), F.min("ts_ns").alias("ts_min"), F.max("ts_ns").alias("ts_max"), F.count_if(F.col("ts_ns") >= m.DAY_NS).alias("ts_out_of_range"), F.count_if(~F.col("side").isin("B", "S")).alias("bad_side"),
         F.count_if(F.col("price") == 0).alias("zero_price_adds"), F.count("known").alias("locate_checked"), F.count_if(F.col("known") != F.col("stock")).alias("locate_mismatch"),
     )
-    return one.withColumn("ok", (F.col("ts_out_of_range") == 0) & (F.col("bad_side") == 0) & (F.col("locate_mismatch") == 0))
+    one = one.join(failed, "file", "full").na.fill(0)
+    one = one.withColumn("ok", F.col("failed").isNull() & (F.col("ts_out_of_range") == 0) & (F.col("bad_side") == 0) & (F.col("locate_mismatch") == 0))
+    return one if given else one.drop("file")
+
+
+def verdict(checks: DataFrame, scan: DataFrame) -> DataFrame:
+    """The checks of `stream_checks` with clean_eof of `scan_summary`; ok also needs that each file ends just after its last frame."""
+    rows = scan.select("file", "clean_eof").join(checks, "file", "left")
+    return rows.withColumn("ok", F.coalesce("ok", F.lit(True)) & F.col("clean_eof"))
+
+
 
 
 def lifecycle(frames: DataFrame) -> DataFrame:

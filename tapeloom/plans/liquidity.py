@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
-from tapeloom.functions.stats import weighted_quantiles
+
+STATES = ("two_sided", "one_sided", "empty", "crossed")
 
 
 def state_times(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
@@ -19,26 +20,41 @@ def state_times(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
     return rows.select("*", (F.col("t1") - F.col("t0")).alias("w"), m.state_class().alias("state")).where("w > 0")
 
 
+def _usd() -> Column:
+    return F.col("bid_sz") * F.col("bid_px") / 1e4 + F.col("ask_sz") * F.col("ask_px") / 1e4
+
+
 def _measured(times: DataFrame) -> DataFrame:
-    usd = F.col("bid_sz") * F.col("bid_px") / 1e4 + F.col("ask_sz") * F.col("ask_px") / 1e4
-    return times.where("state = 'two_sided'").select("*", m.spread_bps().alias("bps"), (F.col("bid_sz") + F.col("ask_sz")).alias("depth"), usd.alias("usd"), ((F.col("bid_px") + F.col("ask_px")) / 2e4).alias("mid"))
+    return times.where("state = 'two_sided'").select("*", m.spread_bps().alias("bps"), (F.col("bid_sz") + F.col("ask_sz")).cast("double").alias("depth"), _usd().alias("usd"))
 
 
 def state_shares(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
     """Per cent of the time in each class of state, and counts of states."""
     t = state_times(l1, keys)
-    share = [(100.0 * F.sum(F.when(F.col("state") == s, F.col("w")).otherwise(0)) / F.sum("w")).alias(f"pct_{s}") for s in ("two_sided", "one_sided", "empty", "crossed")]
+    share = [(100.0 * F.sum(F.when(F.col("state") == s, F.col("w")).otherwise(0)) / F.sum("w")).alias(f"pct_{s}") for s in STATES]
     return t.groupBy(*keys).agg(*share, F.count("*").alias("n_states_rth"), F.count_if(F.col("state") != "two_sided").alias("n_states_excluded"))
 
 
 def liquidity_summary(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
-    """One row for each symbol: spread (mean, median, 95th percentile), depth, mid and shares of states, all weighted by time."""
+    """One row for each symbol: spread (mean, median, 95th percentile), depth, mid and shares of states, all weighted by time.
+
+    States are timed once. What is left of them for each symbol, state and spread are sums, which all figures follow from.
+    """
     keys = list(keys)
-    two = _measured(state_times(l1, keys))
-    mean = lambda x: (F.sum(F.col(x) * F.col("w")) / F.sum("w"))
-    means = two.groupBy(*keys).agg(mean("bps").alias("tw_spread_bps"), mean("depth").alias("tw_depth_shares"), mean("usd").alias("tw_depth_usd"), mean("mid").alias("tw_mid"))
-    q = weighted_quantiles(two, keys, "bps", "w", {"med_spread_bps": 0.5, "p95_spread_bps": 0.95})
-    return state_shares(l1, keys).join(means, keys, "left").join(q, keys, "left")
+    two = F.col("state") == "two_sided"
+    t = state_times(l1, keys).withColumn("bps", F.when(two, m.spread_bps()))
+    weighed = {"tw_depth_shares": (F.col("bid_sz") + F.col("ask_sz")).cast("double"), "tw_depth_usd": _usd(), "tw_mid": (F.col("bid_px") + F.col("ask_px")) / 2e4}
+    by = t.groupBy(*keys, "state", "bps").agg(F.sum("w").alias("w"), F.count("*").alias("n"), *[F.sum(x * F.col("w")).alias(c) for c, x in weighed.items()])
+    w = Window.partitionBy(*keys, "state")
+    by = by.select("*", F.sum("w").over(w.orderBy("bps")).alias("_cum"), F.sum("w").over(w).alias("_all"))
+    share = [(100.0 * F.sum(F.when(F.col("state") == s, F.col("w")).otherwise(0)) / F.sum("w")).alias(f"pct_{s}") for s in STATES]
+    of = F.sum(F.when(two, F.col("w")))
+    mean = lambda x: F.sum(F.when(two, x)) / of
+    quantile = lambda q: F.min(F.when(two & (F.col("_cum") >= F.col("_all") * q), F.col("bps")))
+    return by.groupBy(*keys).agg(
+        *share, F.sum("n").alias("n_states_rth"), F.sum(F.when(two, 0).otherwise(F.col("n"))).alias("n_states_excluded"), mean(F.col("bps") * F.col("w")).alias("tw_spread_bps"),
+        *[mean(F.col(c)).alias(c) for c in weighed], quantile(0.5).alias("med_spread_bps"), quantile(0.95).alias("p95_spread_bps"),
+    )
 
 
 def liquidity_1min(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:

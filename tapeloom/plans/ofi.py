@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
-from tapeloom.functions.stats import regressions, t_quantile
+from tapeloom.functions.stats import regressions, t_expansion, t_quantile
 
 HORIZONS = (10, 30, 60, 300)
+#: Degrees of freedom for which quantiles of Student's t are tabled.
+TABLE = 100
+
+
+def _imbalance() -> tuple[Column, Column]:
+    """The bid's contribution less the ask's from the state before (p_...) to this one, and whether both are valid."""
+    bid = F.when(F.col("bid_px") > F.col("p_bid_px"), F.col("bid_sz")).when(F.col("bid_px") < F.col("p_bid_px"), -F.col("p_bid_sz")).otherwise(F.col("bid_sz") - F.col("p_bid_sz"))
+    ask = F.when(F.col("ask_px") < F.col("p_ask_px"), F.col("ask_sz")).when(F.col("ask_px") > F.col("p_ask_px"), -F.col("p_ask_sz")).otherwise(F.col("ask_sz") - F.col("p_ask_sz"))
+    return bid - ask, m.valid_state() & m.valid_state("p_bid_px", "p_ask_px")
 
 
 def ofi_events(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
@@ -22,10 +31,8 @@ def ofi_events(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("seq")
     cols = ("bid_px", "ask_px", "bid_sz", "ask_sz")
     rows = l1.select(*keys, "seq", "ts_ns", *cols, *[F.lag(x).over(w).alias(f"p_{x}") for x in cols]).where("p_bid_px is not null")
-    bid = F.when(F.col("bid_px") > F.col("p_bid_px"), F.col("bid_sz")).when(F.col("bid_px") < F.col("p_bid_px"), -F.col("p_bid_sz")).otherwise(F.col("bid_sz") - F.col("p_bid_sz"))
-    ask = F.when(F.col("ask_px") < F.col("p_ask_px"), F.col("ask_sz")).when(F.col("ask_px") > F.col("p_ask_px"), -F.col("p_ask_sz")).otherwise(F.col("ask_sz") - F.col("p_ask_sz"))
-    ok = m.valid_state() & m.valid_state("p_bid_px", "p_ask_px")
-    return rows.select(*keys, "seq", "ts_ns", F.when(ok, bid - ask).otherwise(0).cast("long").alias("e"), ok.alias("pair_ok"))
+    e, ok = _imbalance()
+    return rows.select(*keys, "seq", "ts_ns", F.when(ok, e).otherwise(0).cast("long").alias("e"), ok.alias("pair_ok"))
 
 
 def event_counts(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
@@ -41,15 +48,25 @@ def _grid(l1: DataFrame, keys: Sequence[str], first: int, last: int, name: str)
     return l1.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(first), F.lit(last))).alias(name))
 
 
+def _stepped(l1: DataFrame, keys: Sequence[str], width_ns: int) -> DataFrame:
+    """keys, b (bucket, -1 before the open), ofi, events, close (struct of seq and mid of the last valid state): one window and one aggregation over the states before the close."""
+    w = Window.partitionBy(*keys).orderBy("seq")
+    cols = ("bid_px", "ask_px", "bid_sz", "ask_sz")
+    rows = l1.select(*keys, "seq", "ts_ns", *cols, *[F.lag(x).over(w).alias(f"p_{x}") for x in cols]).where(F.col("ts_ns") < m.CLOSE_NS)
+    e, ok = _imbalance()
+    at = F.when(F.col("ts_ns") < m.OPEN_NS, -1).otherwise(m.bucket("ts_ns", width_ns))
+    counted = F.coalesce(ok, F.lit(False)) & (F.col("ts_ns") >= m.OPEN_NS)
+    return rows.groupBy(*keys, at.alias("b")).agg(F.sum(F.when(counted, e)).cast("long").alias("ofi"), F.count_if(counted).alias("events"), F.max(F.when(m.valid_state(), F.struct("seq", m.mid().alias("mid")))).alias("close"))
+
+
 def ofi_1min(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
     """390 rows for each symbol: minute, ofi, events, mid_close, chg_ticks, chg_bps.
 
     The mid at a minute's end is that of the last valid state before it, carried on from earlier minutes and from before the open.
     """
     keys = list(keys)
-    sums = ofi_events(l1, keys).where(F.col("pair_ok") & m.regular_hours()).groupBy(*keys, m.bucket("ts_ns", m.MINUTE_NS).alias("minute")).agg(F.sum("e").alias("ofi"), F.count("*").alias("events"))
-    closes = l1.where(m.valid_state() & (F.col("ts_ns") < m.CLOSE_NS)).groupBy(*keys, F.when(F.col("ts_ns") < m.OPEN_NS, -1).otherwise(m.bucket("ts_ns", m.MINUTE_NS)).alias("minute")).agg(F.max_by(m.mid(), "seq").alias("mid"))
-    rows = _grid(l1, keys, -1, m.MINUTES - 1, "minute").join(closes, [*keys, "minute"], "left").join(sums, [*keys, "minute"], "left")
+    steps = _stepped(l1, keys, m.MINUTE_NS).select(*keys, F.col("b").alias("minute"), "ofi", "events", F.col("close.mid").alias("mid"))
+    rows = _grid(l1, keys, -1, m.MINUTES - 1, "minute").join(steps, [*keys, "minute"], "left")
     w = Window.partitionBy(*keys).orderBy("minute")
     rows = rows.withColumn("mid_close", F.last("mid", ignorenulls=True).over(w))
     rows = rows.withColumn("prev", F.lag("mid_close").over(w)).where("minute >= 0")
@@ -73,9 +90,7 @@ def horizon_buckets(l1: DataFrame, horizons: Sequence[int] = HORIZONS, keys: Seq
     for h in horizons:
         while h:
             base, h = h, base % h
-    sums = ofi_events(l1, keys).where(F.col("pair_ok") & m.regular_hours()).groupBy(*keys, m.bucket("ts_ns", base * m.SECOND_NS).alias("b")).agg(F.sum("e").alias("ofi"))
-    closes = l1.where(m.valid_state() & m.regular_hours()).groupBy(*keys, m.bucket("ts_ns", base * m.SECOND_NS).alias("b")).agg(F.max(F.struct("seq", m.mid().alias("mid"))).alias("close"))
-    both = sums.join(closes, [*keys, "b"], "full").select(*keys, "b", "ofi", "close", F.explode(F.array(*map(F.lit, horizons))).alias("horizon_s"))
+    both = _stepped(l1, keys, base * m.SECOND_NS).where("b >= 0").select(*keys, "b", "ofi", "close", F.explode(F.array(*map(F.lit, horizons))).alias("horizon_s"))
     rolled = both.groupBy(*keys, "horizon_s", F.floor(F.col("b") * base / F.col("horizon_s")).cast("int").alias("k")).agg(F.sum("ofi").alias("ofi"), F.max("close")["mid"].alias("mid"))
     grid = l1.select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, horizons))).alias("horizon_s")).select("*", F.explode(F.sequence(F.lit(0), (F.lit(m.SESSION_S) / F.col("horizon_s")).cast("int") - 1)).alias("k"))
     rows = grid.join(rolled, [*keys, "horizon_s", "k"], "left")
@@ -113,8 +128,14 @@ def impact_cross_section(impact: DataFrame, depth: DataFrame, horizon_s: int = 1
     if leave_out is not None:
         sets = sets.unionByName(rows.where(~leave_out).withColumn("label", F.lit("without")))
     fits = regressions(sets, ["label"], "x", "y", keys[-1])
-    table = {d: t_quantile(0.975, d) for d in range(1, 41)}
-    t = F.lit(1.959964)
-    for d, q in table.items():
-        t = F.when(F.col("n") - 2 == d, q).otherwise(t)
+    # Student's t for every number of symbols; beyond TABLE by its expansion about the normal quantile, off by less than 1e-8 there
+    table, df = F.array(*[F.lit(t_quantile(0.975, d)) for d in range(1, TABLE + 1)]), F.col("n") - 2
+    t = F.when(df.between(1, TABLE), F.element_at(table, F.greatest(F.lit(1), F.least(F.lit(TABLE), df)).cast("int"))).when(df > TABLE, t_expansion(0.975, df.cast("double")))
     return fits.select("label", "n", "slope", "intercept", "r2", "se", (F.col("slope") - t * F.col("se")).alias("ci_lo"), (F.col("slope") + t * F.col("se")).alias("ci_hi"))
+
+
+def median_fits(fits: DataFrame, symbols: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
+    """Medians of r2 over symbols for each horizon and design, of all symbols ('ALL') and of each instrument group: grp, horizon_s, design, med_r2, symbols."""
+    rows = fits.join(symbols, list(keys)).select("horizon_s", "design", "r2", F.upper(m.group_of("symbol")).alias("grp"))
+    rows = rows.select("horizon_s", "design", "r2", F.explode(F.array(F.lit("ALL"), "grp")).alias("grp"))
+    return rows.groupBy("grp", "horizon_s", "design").agg(F.median("r2").alias("med_r2"), F.count("*").alias("symbols"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tapeloom.functions import market as m
 from tapeloom.functions.storage import stored
 from tapeloom.operators import book, decode, verify
-from tapeloom.plans import activity, liquidity, ofi
-from tapeloom.plans.stand_ins import duck, table
+from tapeloom.plans import activity, export, liquidity, ofi
+from tapeloom.plans.stand_ins import base, duck, table
+from tapeloom.sources.frames import scan_summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,6 +88,10 @@ def ofi_fit_1min(spark, sf_dir):
     return rounded(ofi.ofi_fit_1min(table(spark, sf_dir, "fx_l1")).withColumn("slope_1k", F.col("slope") * 1000).drop("slope"))
 
 
+# 97.5 per cent quantiles of Student's t, by degrees of freedom.
+T_VALUES = "(12, 2.17881282966), (13, 2.16036865646), (14, 2.14478668792), (15, 2.13144954556), (16, 2.11990529922), (17, 2.10981557783), (18, 2.10092204024), (19, 2.09302405441), (20, 2.08596344727)"
+
+
 def horizon_sql(horizons: str) -> str:
     return EVENTS + f"""
 , hz as (select cast(unnest({horizons}) as bigint) as h),
@@ -199,11 +204,11 @@ def liq_1min(spark, sf_dir):
 pt as (select locate, log10(tw_depth_shares / 2) as x, log10(slope) as y from fit join depth_ using (locate) where fine and slope > 0),
 sets as (select 'all' as label, * from pt union all select 'without', * from pt where locate > 4),
 r as (select label, count(*) as n, regr_slope(y, x) as s, regr_intercept(y, x) as i, regr_r2(y, x) as r2, sqrt(regr_syy(y, x) * (1 - regr_r2(y, x)) / (count(*) - 2) / regr_sxx(y, x)) as se from sets group by label)
-select label, n, round(s, 6) as slope, round(i, 6) as intercept, round(r2, 6) as r2, round(se, 6) as se from r""")
+select label, n, round(s, 6) as slope, round(i, 6) as intercept, round(r2, 6) as r2, round(se, 6) as se, round(s - t * se, 5) as ci_lo, round(s + t * se, 5) as ci_hi from r left join (values {T_VALUES}) as q(df, t) on q.df = n - 2""")
 def impact_cross_section(spark, sf_dir):
     l1 = table(spark, sf_dir, "fx_l1")
     d = ofi.impact_cross_section(ofi.price_impact(l1, (10,)), liquidity.liquidity_summary(l1), leave_out=F.col("locate") <= 4)
-    return rounded(d.drop("ci_lo", "ci_hi"))
+    return rounded(d.withColumn("ci_lo", F.round("ci_lo", 5)).withColumn("ci_hi", F.round("ci_hi", 5)))
 
 
 # activity
@@ -299,34 +304,87 @@ def crossed_rows(spark, sf_dir):
     return table(spark, sf_dir, "fx_l1").where(m.state_class() == "crossed").select("seq", "locate", "ts_ns", "bid_px", "ask_px")
 
 
-# decoding: the operations are encoded as messages first
+# decoding: stand-in messages are encoded first
+
+#: All messages: the operations (without a target: ref 0, which no add has), and directory entries, trading actions, crosses and hidden prints.
+MESSAGES = """ms as (
+  select seq, ts_ns, locate, ty, coalesce(ref, case when ty <> 'A' then 0 end) as ref, new_ref, shares, price, side, printable, case when ty = 'A' then 'SYM' || lpad(cast(locate as varchar), 2, '0') end as stock, null as state from fx_ops
+  union all select seq, ts_ns, locate, ty, case when ty = 'P' then 0 end, null, shares, price, side, null, stock, state from fx_more)"""
+
 
-@query(f"""with {duck('fx_ops')} select seq, locate, cast(ts_ns as bigint) as ts_ns, ty, cast(ref as double) as ref, cast(new_ref as double) as new_ref, cast(shares as bigint) as shares, cast(price as bigint) as price, side, printable
-from fx_ops where ref is not null""")
+def message_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in messages in binary, written once as a feed would be: seq, payload."""
+    ops = table(spark, sf_dir, "fx_ops").withColumn("ref", F.coalesce("ref", F.lit(0)))
+    ops = ops.withColumn("stock", F.concat(F.lit("SYM"), F.lpad(F.col("locate").cast("string"), 2, "0"))).unionByName(table(spark, sf_dir, "fx_more"), allowMissingColumns=True)
+    ops = ops.withColumn("ref", F.coalesce("ref", F.lit(0))).withColumn("match", F.col("seq")).withColumn("tracking", F.lit(1)).withColumn("cross_type", F.lit("C"))
+    return stored(decode.encoded_all(ops.withColumn("match", F.abs("match")), "AECXDURHPQ"))
+
+
+@query(f"""with {duck('fx_ops')} select seq, locate, cast(ts_ns as bigint) as ts_ns, ty, cast(coalesce(ref, 0) as double) as ref, cast(new_ref as double) as new_ref, cast(shares as bigint) as shares, cast(price as bigint) as price, side, printable
+from fx_ops""")
 def decode_operations(spark, sf_dir):
     d = decode.operations(message_frames(spark, sf_dir))
     return d.withColumn("ref", F.col("ref").cast("double")).withColumn("new_ref", F.col("new_ref").cast("double"))
 
 
-@query(f"""with {duck('fx_ops')} select ty as type, count(*) as messages, cast(count(*) * (2 + case ty when 'A' then 36 when 'E' then 31 when 'C' then 36 when 'X' then 23 when 'D' then 19 else 35 end) as bigint) as bytes
-from fx_ops where ref is not null group by ty""")
+@query(f"""with {duck('fx_ops', 'fx_more')}, {MESSAGES} select ty as type, count(*) as messages,
+  cast(count(*) * (2 + case ty when 'A' then 36 when 'E' then 31 when 'C' then 36 when 'X' then 23 when 'D' then 19 when 'U' then 35 when 'R' then 39 when 'H' then 25 when 'P' then 44 else 40 end) as bigint) as bytes from ms group by ty""")
 def decode_type_counts(spark, sf_dir):
     return decode.type_counts(message_frames(spark, sf_dir))
 
 
-@query(f"""with {duck('fx_ops')} select count(*) as messages, min(ts_ns) as ts_min, max(ts_ns) as ts_max, cast(0 as bigint) as ts_out_of_range, cast(0 as bigint) as bad_side, count(*) filter (ty = 'A' and price = 0) as zero_price_adds,
-  cast(0 as bigint) as locate_checked, cast(0 as bigint) as locate_mismatch, true as ok from fx_ops where ref is not null""")
+@query(f"""with {duck('fx_ops', 'fx_more')}, {MESSAGES},
+c as (select *, last_value(case when ty = 'R' then stock end ignore nulls) over (partition by locate order by seq) as known from ms),
+k as (select count(*) as messages, min(ts_ns) as ts_min, max(ts_ns) as ts_max, count(*) filter (ts_ns >= 86400000000000) as ts_out_of_range, count(*) filter (ty in ('A', 'P') and side not in ('B', 'S')) as bad_side,
+  count(*) filter (ty = 'A' and price = 0) as zero_price_adds, count(*) filter (ty in ('A', 'H', 'P', 'Q') and known is not null) as locate_checked,
+  count(*) filter (ty in ('A', 'H', 'P', 'Q') and known <> stock) as locate_mismatch, cast(null as varchar) as failed from c)
+select *, failed is null and ts_out_of_range = 0 and bad_side = 0 and locate_mismatch = 0 as ok from k""")
 def decode_checks(spark, sf_dir):
     return decode.stream_checks(message_frames(spark, sf_dir))
 
 
-def message_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in operations (with a target) as binary messages: seq, payload."""
-    ops = table(spark, sf_dir, "fx_ops").where("ref is not null").withColumn("tracking", F.lit(1)).withColumn("match", F.col("seq")).withColumn("stock", F.lit("TEST"))
-    out = None
-    for kind in "AECXDU":
-        d = decode.encoded(ops.where(F.col("ty") == kind), kind)
-        out = d if out is None else out.unionByName(d)
+#: Two files: one ends in a message of an unknown type, followed by good ones, and then in the middle of a frame.
+FILES = "select seq, case when locate % 2 = 0 then 'even' else 'odd' end as file, ty"
+
+
+@query(f"""with {duck('fx_ops', 'fx_more')}, {MESSAGES},
+n as (select file, count(*) as messages from ({FILES} from ms) where file = 'even' or seq < 2000 group by file)
+select file, messages, case when file = 'odd' then 'UnknownType' end as failed, false as ok, file = 'even' as clean_eof from n""")
+def feed_verdict(spark, sf_dir):
+    frames = message_frames(spark, sf_dir).withColumn("file", F.when(decode._field(F.col("payload"), 1, 2, "u") % 2 == 0, "even").otherwise("odd"))
+    bad = spark.createDataFrame([(2000, bytearray(b"Z123456789"), "odd")], "seq long, payload binary, file string")
+    frames = frames.where("file = 'even' or seq <> 2000").unionByName(bad)
+    sizes = frames.groupBy("file").agg((F.sum(F.octet_length("payload") + 2) + F.when(F.col("file") == "odd", 1).otherwise(0)).alias("size"))
+    return decode.verdict(decode.stream_checks(frames), scan_summary(frames, sizes)).select("file", "messages", "failed", "ok", "clean_eof")
+
+
+def _every_kind(k: str, i: int) -> list[tuple[str, str, str]]:
+    """Name, kind and value of each field of a message made of an event, as SQL for both dialects."""
+    out = []
+    for n, _, w, t in decode.LAYOUTS[k][2]:
+        i += 1
+        out.append((n, t, f"(event_id * {i} + k) % {min(1 << 8 * w, 1 << 50)}" if t == "u" else f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ', cast((event_id + {i}) % 20 as int) + 1, {max(1, w - 2)})"))
+    return out
+
+
+KINDS = "".join(decode.LAYOUTS)
+FIELDS_SQL = " union all ".join(
+    f"select '{k}' as type, '{n}' as field, count(*) as n, " + (f"cast(sum({v}) as double) as total, cast(null as varchar) as least, cast(null as varchar) as most" if t == "u" else f"cast(null as double) as total, min({v}) as least, max({v}) as most") + f" from b where event_id % {len(KINDS)} = {at}"
+    for at, k in enumerate(KINDS) for n, t, v in _every_kind(k, at)
+)
+
+
+@query(f"with {duck('fx_symbols')} {FIELDS_SQL}")
+def decode_fields(spark, sf_dir):
+    """Messages of all kinds, decoded: for each field its sum, or its least and largest text."""
+    b, out = base(spark, sf_dir), None
+    for at, k in enumerate(KINDS):
+        fields = _every_kind(k, at)
+        rows = b.where(F.col("event_id") % len(KINDS) == at).select(F.col("event_id").alias("seq"), "locate", F.lit(1).alias("tracking"), "ts_ns", *[F.expr(v).alias(n) for n, _, v in fields])
+        d = decode.decoded(decode.encoded(rows, k), k)
+        cells = [F.struct(F.lit(n).alias("field"), F.col(n).cast("double").alias("total") if t == "u" else F.lit(None).cast("double").alias("total"), (F.rtrim(n) if t == "a" else F.lit(None).cast("string")).alias("text")) for n, t, _ in fields]
+        part = d.select(F.explode(F.array(*cells)).alias("c")).groupBy(F.lit(k).alias("type"), "c.field").agg(F.count("*").alias("n"), F.sum("c.total").alias("total"), F.min("c.text").alias("least"), F.max("c.text").alias("most"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -388,21 +446,30 @@ def fx(spark, sf_dir) -> DataFrame:
     return book.effects(table(spark, sf_dir, "fx_ops"))
 
 
+def dayless(rows: DataFrame) -> DataFrame:
+    return rows.drop("day")
+
+
 @query(f"with {duck('fx_ops')} {EFFECTS_SQL} select seq, locate, ty, live, side, cast(rest as bigint) as rest_price, cast(removed as bigint) as removed, gone, over, to_zero from fx")
 def book_effects(spark, sf_dir):
     return fx(spark, sf_dir).select("seq", "locate", "ty", "live", "side", "rest_price", "removed", "gone", "over", "to_zero")
 
 
-@query(f"""with {duck('fx_ops')} {TOPS_SQL},
-ch as (select *, lag(row(bid_px, ask_px, bid_sz, ask_sz)) over (partition by locate order by seq) as prev from top)
-select locate, seq, ts_ns, bid_px, ask_px, bid_sz, ask_sz, bid_ct, ask_ct from ch where coalesce(prev, row(0::bigint, 0::bigint, 0::bigint, 0::bigint)) <> row(bid_px, ask_px, bid_sz, ask_sz)""")
+L1_SQL = """
+sat as (select locate, seq, ts_ns, bid_px, ask_px, least(bid_sz, 4294967295) as bid_sz, least(ask_sz, 4294967295) as ask_sz, least(bid_ct, 65535) as bid_ct, least(ask_ct, 65535) as ask_ct from top),
+ch as (select *, lag(row(bid_px, ask_px, bid_sz, ask_sz)) over (partition by locate order by seq) as prev from sat),
+l1 as (select locate, seq, ts_ns, bid_px, ask_px, bid_sz, ask_sz, bid_ct, ask_ct from ch where coalesce(prev, row(0::bigint, 0::bigint, 0::bigint, 0::bigint)) <> row(bid_px, ask_px, bid_sz, ask_sz))
+"""
+
+
+@query(f"with {duck('fx_ops')} {TOPS_SQL}, {L1_SQL} select * from l1")
 def book_l1(spark, sf_dir):
-    return book.l1_stream(book.tops(fx(spark, sf_dir)))
+    return dayless(book.l1_stream(book.tops(fx(spark, sf_dir))))
 
 
 @query(f"with {duck('fx_ops')} {EFFECTS_SQL} select locate, side, cast(price as bigint) as price, cast(sum(s) as bigint) as shares, cast(sum(o) as bigint) as orders from delta group by all having sum(o) > 0")
 def book_levels_eod(spark, sf_dir):
-    return book.levels(fx(spark, sf_dir))
+    return dayless(book.levels(fx(spark, sf_dir)))
 
 
 @query(f"""with {duck('fx_ops')} {EFFECTS_SQL},
@@ -411,13 +478,20 @@ r as (select *, row_number() over (partition by locate, side order by case when
 select coalesce(b.locate, a.locate) as locate, cast(coalesce(b.rank, a.rank) as int) as rank, cast(b.price as bigint) as bid_px, cast(b.sz as bigint) as bid_sz, cast(b.ct as bigint) as bid_ct, cast(a.price as bigint) as ask_px, cast(a.sz as bigint) as ask_sz, cast(a.ct as bigint) as ask_ct
 from (select * from r where side = 'B' and rank <= 5) b full join (select * from r where side = 'S' and rank <= 5) a on a.locate = b.locate and a.rank = b.rank""")
 def book_depth(spark, sf_dir):
-    return book.depth(fx(spark, sf_dir), 5)
+    return dayless(book.depth(fx(spark, sf_dir), 5))
 
 
-@query(f"""with {duck('fx_ops')} {EFFECTS_SQL} select seq, ts_ns, locate, case when ty = 'E' then 0 else 1 end as kind, cast(case when ty = 'E' then rest else price end as bigint) as price, cast(shares as bigint) as shares, side
-from fx where live and (ty = 'E' or (ty = 'C' and printable = 'Y'))""")
+TAPE_SQL = """
+tp as (
+  select seq, ts_ns, locate, case when ty = 'E' then 0 else 1 end as kind, cast(case when ty = 'E' then rest else price end as bigint) as price, cast(shares as bigint) as shares, side
+  from fx where live and (ty = 'E' or (ty = 'C' and printable = 'Y'))
+  union all select seq, ts_ns, locate, case when ty = 'P' then 2 else 3 end, price, least(shares, 4294967295), case when ty = 'P' then side else '' end from fx_more where ty in ('P', 'Q'))
+"""
+
+
+@query(f"with {duck('fx_ops', 'fx_more')} {EFFECTS_SQL}, {TAPE_SQL} select * from tp")
 def tape(spark, sf_dir):
-    return book.trade_tape(fx(spark, sf_dir))
+    return dayless(book.trade_tape(fx(spark, sf_dir), table(spark, sf_dir, "fx_more")))
 
 
 OPS_SQL = """oc as (
@@ -427,7 +501,7 @@ OPS_SQL = """oc as (
 
 @query(f"with {duck('fx_ops')} {EFFECTS_SQL}, {OPS_SQL} select * from oc")
 def locate_ops(spark, sf_dir):
-    return book.operation_counts(fx(spark, sf_dir))
+    return dayless(book.operation_counts(fx(spark, sf_dir)))
 
 
 @query(f"""with {duck('fx_ops', 'fx_symbols')} {EFFECTS_SQL}, {OPS_SQL}
@@ -448,16 +522,16 @@ lv as (select seq, sum(case when ty = 'A' then 1 when gone and ty <> 'U' then -1
 select cast(sum(adds) as bigint) as adds, cast(sum(executes) as bigint) as executes, cast(sum(cancels) as bigint) as cancels, cast(sum(deletes) as bigint) as deletes, cast(sum(replaces) as bigint) as replaces,
   cast((select sum(removed) from fx where live and ty in ('E', 'C')) as bigint) as executed_shares, cast((select max(n) from lv) as bigint) as peak_live_orders from oc""")
 def book_stats(spark, sf_dir):
-    return book.stats(fx(spark, sf_dir))
+    return dayless(book.stats(fx(spark, sf_dir)))
 
 
 @query(f"""with {duck('fx_ops', 'fx_ctl')} {CROSSED_SQL},
-v as (select count(*) filter (not live and ty in ('E', 'C', 'X', 'D')) as unknown_ref, count(*) filter (not live and ty = 'U') as replace_unknown, cast(0 as bigint) as duplicate_ref, count(*) filter (over) as over_reduction,
-  count(*) filter (to_zero) as cancel_to_zero, (select count(*) from crossed where not pending) as crossed_while_trading, (select count(*) from crossed where pending) as crossed_auction_pending, cast(0 as bigint) as ladder_underflow from fx)
+v as (select count(*) filter (not live and ty in ('E', 'C', 'X', 'D')) as unknown_ref, count(*) filter (not live and ty = 'U') as replace_unknown, (select count(*) from (select count(*) as n from adds group by id) where n > 1) as duplicate_ref, count(*) filter (over) as over_reduction,
+  count(*) filter (to_zero) as cancel_to_zero, (select count(*) from crossed where not pending) as crossed_while_trading, (select count(*) from crossed where pending) as crossed_auction_pending, (select count(*) from (select sum(s) as x from delta group by locate, side, price) where x < 0) as ladder_underflow from fx)
 select *, unknown_ref + replace_unknown + duplicate_ref + over_reduction + crossed_while_trading + ladder_underflow as total from v""")
 def book_violations(spark, sf_dir):
     x = fx(spark, sf_dir)
-    return book.violations(x, stored(book.crossings(x, book.tops(x), table(spark, sf_dir, "fx_ctl"))))
+    return dayless(book.violations(x, stored(book.crossings(x, book.tops(x), table(spark, sf_dir, "fx_ctl")))))
 
 
 @query(f"""with {duck('fx_ops', 'fx_ctl')} {CROSSED_SQL},
@@ -465,11 +539,154 @@ e as (select * from crossed where not pending order by seq limit 10000)
 select locate, count(*) as n, min(ts_ns) as first_ns, max(ts_ns) as last_ns, max(ts_ns) - min(ts_ns) as span_ns from e group by locate""")
 def crossed_report(spark, sf_dir):
     x = fx(spark, sf_dir)
-    return book.crossed_report(book.crossed_events(book.crossings(x, book.tops(x), table(spark, sf_dir, "fx_ctl"))))
+    return dayless(book.crossed_report(book.crossed_events(book.crossings(x, book.tops(x), table(spark, sf_dir, "fx_ctl")))))
 
 
 @query(f"""with {duck('fx_ops')} {EFFECTS_SQL},
-e as (select locate, side, price from delta group by all having sum(o) > 0)
-select l.locate, count(price) as levels, cast(0 as bigint) as mismatches from (select distinct locate from fx_ops) l left join e on e.locate = l.locate group by l.locate""")
+e as (select locate, side, price, sum(s) as s, sum(o) as o from delta group by all having sum(o) > 0),
+born as (select locate, case when ty = 'A' then ref else new_ref end as id, side, price, shares from fx where live and ty in ('A', 'U')),
+left_ as (select b.locate, b.id, b.side, b.price, b.shares - coalesce(sum(f.removed), 0) as s from born b left join fx f on f.ref = b.id and f.live and f.ty <> 'A' group by b.locate, b.id, b.side, b.price, b.shares),
+again as (select locate, side, price, sum(s) as s, count(*) as o from left_ where s > 0 group by all),
+j as (select coalesce(e.locate, a.locate) as locate, e.s is distinct from a.s or e.o is distinct from a.o as bad from e full join again a on e.locate = a.locate and e.side = a.side and e.price = a.price)
+select l.locate, count(bad) as levels, count(*) filter (bad) as mismatches from (select distinct locate from fx_ops) l left join j on j.locate = l.locate group by l.locate""")
 def book_audit(spark, sf_dir):
-    return book.audit(fx(spark, sf_dir))
+    return dayless(book.audit(fx(spark, sf_dir)))
+
+
+#: Refs that are added again, while they hold shares or after: followed one operation of a ref at a time.
+TWICE_SQL = """
+o as (select *, row_number() over (partition by ref order by seq) as rn, case when ty = 'D' then 1099511627776 else shares end as want from fx_twice),
+st as (
+  with recursive s as (
+    select *, cast(null as bigint) as had, cast(null as bigint) as had_px, cast(null as varchar) as had_side,
+      case when ty = 'A' then shares end as has, case when ty = 'A' then price end as has_px, case when ty = 'A' then side end as has_side from o where rn = 1
+    union all
+    select o.*, s.has, s.has_px, s.has_side,
+      case when o.ty = 'A' then coalesce(s.has, o.shares) when s.has > o.want then s.has - o.want end,
+      case when o.ty = 'A' and s.has is null then o.price else s.has_px end, case when o.ty = 'A' and s.has is null then o.side else s.has_side end
+    from s join o on o.ref = s.ref and o.rn = s.rn + 1)
+  select * from s),
+fx as (
+  select seq, locate, ty, case when ty = 'A' then had is null else had is not null end as live, ty = 'A' and had is not null as duplicate,
+    case when ty = 'A' then side when had is not null then had_side end as side, case when ty <> 'A' and had is not null then had_px end as rest_price,
+    cast(case when ty <> 'A' and had is not null then least(want, had) else 0 end as bigint) as removed, coalesce(ty <> 'A' and want >= had, false) as gone,
+    coalesce(ty in ('E', 'X') and want > had, false) as over, coalesce(ty = 'X' and want >= had, false) as to_zero from st)
+"""
+
+
+def fx_twice(spark, sf_dir) -> DataFrame:
+    return book.effects(table(spark, sf_dir, "fx_twice"))
+
+
+@query(f"with {duck('fx_twice')}, {TWICE_SQL} select * from fx")
+def book_reused_refs(spark, sf_dir):
+    return fx_twice(spark, sf_dir).select("seq", "locate", "ty", "live", "duplicate", "side", "rest_price", "removed", "gone", "over", "to_zero")
+
+
+@query(f"""with {duck('fx_twice')}, {TWICE_SQL} select count(*) filter (not live and ty <> 'A') as unknown_ref, count(*) filter (duplicate) as duplicate_ref, count(*) filter (over) as over_reduction, count(*) filter (to_zero) as cancel_to_zero,
+  (select count(distinct locate) from fx) as audited, cast(0 as bigint) as failed from fx""")
+def book_reused_counts(spark, sf_dir):
+    x = fx_twice(spark, sf_dir)
+    empty = table(spark, sf_dir, "fx_ctl").where("false")
+    v = book.violations(x, book.crossings(x, book.tops(x), empty)).select("day", "unknown_ref", "duplicate_ref", "over_reduction", "cancel_to_zero")
+    return dayless(v.join(book.audit_counts(book.audit(x)), "day"))
+
+
+# from frames to exports
+
+def feed(spark, sf_dir, symbol=None) -> export.Replay:
+    return export.replay(message_frames(spark, sf_dir), symbol=symbol)
+
+
+@query(f"with {duck('fx_ops', 'fx_more')} {TOPS_SQL}, {L1_SQL} select * from l1")
+def feed_l1(spark, sf_dir):
+    return dayless(feed(spark, sf_dir).l1)
+
+
+@query(f"with {duck('fx_ops', 'fx_more')} {EFFECTS_SQL}, {TAPE_SQL} select * from tp")
+def feed_tape(spark, sf_dir):
+    return dayless(feed(spark, sf_dir).trades)
+
+
+@query(f"with {duck('fx_ops', 'fx_more')} {EFFECTS_SQL}, {TAPE_SQL} select * from tp where locate = 3")
+def feed_one_symbol(spark, sf_dir):
+    return dayless(feed(spark, sf_dir, "SYM03").trades)
+
+
+@query(f"with {duck('fx_more')} select locate, case when locate = 20 then 'OLD20' else 'SYM' || lpad(cast(locate as varchar), 2, '0') end as symbol from (select distinct locate from fx_more)")
+def feed_symbols(spark, sf_dir):
+    return dayless(feed(spark, sf_dir).symbols)
+
+
+@query(f"with {duck('fx_ops', 'fx_more')} {EFFECTS_SQL}, {OPS_SQL} select r.locate, coalesce(adds, 0) as adds, coalesce(executes, 0) as executes, coalesce(cancels, 0) as cancels, coalesce(deletes, 0) as deletes, coalesce(replaces, 0) as replaces from (select distinct locate from fx_more where ty = 'R') r left join oc on oc.locate = r.locate")
+def feed_ops(spark, sf_dir):
+    return dayless(feed(spark, sf_dir).ops)
+
+
+@query(f"""with {duck('fx_ops', 'fx_more')} {TOPS_SQL}, {L1_SQL}, {TAPE_SQL}, {MESSAGES}
+select 'source' as key, '' as value union all select 'messages', cast((select count(*) from ms) as varchar) union all select 'trades', cast((select count(*) from tp) as varchar) union all select 'l1', cast((select count(*) from l1) as varchar)""")
+def feed_meta(spark, sf_dir):
+    return export.totals(feed(spark, sf_dir)).select("key", "value")
+
+
+@query(f"""with {duck('fx_ops', 'fx_ctl', 'fx_more')} {CROSSED_SQL},
+v as (select count(*) filter (not pending) as crossed_while_trading, count(*) filter (pending) as crossed_auction_pending from crossed) select * from v""")
+def feed_crossings(spark, sf_dir):
+    return feed(spark, sf_dir).crossings().agg(F.count_if(~F.col("pending")).alias("crossed_while_trading"), F.count_if("pending").alias("crossed_auction_pending"))
+
+
+# reconciliation, groups and files
+
+@query(f"""with {duck('fx_closes')},
+r as (select symbol, price_usd, shares, official, case when locate % 3 = 0 then 0.2 else 1 end as factor, locate from fx_closes)
+select symbol, round(price_usd, 6) as engine_cross_usd, shares as cross_shares, round(official * factor, 6) as close_usd, round((price_usd - official * factor) * 100, 4) as diff_cents,
+  case when price_usd is null or official is null then 'unavailable' when abs(price_usd - official * factor) <= 0.005 then 'MATCH' else 'MISMATCH' end as verdict from r""")
+def reconcile_close(spark, sf_dir):
+    closes = table(spark, sf_dir, "fx_closes")
+    splits = closes.where("locate % 3 = 0").select(F.col("symbol").alias("source"), F.explode(F.array(F.lit(1), F.lit(2))).alias("split_num"), F.lit(5).alias("split_den")).withColumn("split_den", F.when(F.col("split_num") == 1, 5).otherwise(2))
+    d = activity.reconcile_close(closes.select("symbol", "price_usd", "shares"), closes.select(F.col("symbol").alias("source"), F.col("official").alias("close")), splits)
+    return rounded(d.drop("note"))
+
+
+@query(f"""with {duck('fx_closes')},
+r as (select case when price_usd is null or official is null then 'unavailable' when abs(price_usd - official * case when locate % 3 = 0 then 0.2 else 1 end) <= 0.005 then 'MATCH' else 'MISMATCH' end as v from fx_closes)
+select count(*) filter (v = 'MATCH') as matched, count(*) filter (v <> 'unavailable') as available, count(*) filter (v = 'unavailable') as unavailable, cast(0 as bigint) as not_listed from r""")
+def reconcile_counts(spark, sf_dir):
+    closes = table(spark, sf_dir, "fx_closes")
+    splits = closes.where("locate % 3 = 0").select(F.col("symbol").alias("source"), F.lit(1).alias("split_num"), F.lit(5).alias("split_den"))
+    return activity.reconcile_counts(activity.reconcile_close(closes.select("symbol", "price_usd", "shares"), closes.select(F.col("symbol").alias("source"), F.col("official").alias("close")), splits))
+
+
+GROUP_SQL = "select distinct locate, case when locate <= 2 then 'SPY' when locate <= 5 then 'VXX' when locate <= 9 then 'TSLA' else 'OTHER' end as symbol, case when locate <= 2 then 'ETF' when locate <= 5 then 'VOL_ETP' when locate <= 9 then 'WIDE_TICK' else 'ordinary' end as grp from b"
+
+
+@query(f"""with {duck('fx_prints')}, g as ({GROUP_SQL}), v as (select locate, sum(case when kind in (0, 1) then shares else 0 end) as x from fx_prints group by locate)
+select grp, round(avg(x), 6) as mean, count(x) as n from v join g using (locate) group by grp""")
+def act_group_means(spark, sf_dir):
+    symbols = base(spark, sf_dir).selectExpr("locate", "case when locate <= 2 then 'SPY' when locate <= 5 then 'VXX' when locate <= 9 then 'TSLA' else 'OTHER' end as symbol").distinct()
+    rows = activity.activity_summary(table(spark, sf_dir, "fx_prints")).select("locate", "day_displayed_vol")
+    return rounded(activity.group_means(m.with_symbols(rows, symbols), "day_displayed_vol"))
+
+
+@query(f"""with {duck('fx_l1')} {horizon_sql('[10, 30, 60, 300]')},
+both_ as (
+  select locate, h, 'contemporaneous' as design, k, x, y from bk union all
+  select locate, h, 'predictive', k, x, lead(y) over (partition by locate, h order by k) from bk)
+{fit_sql('both_', 'locate, h, design', 10)},
+every as (select distinct locate, h, design from both_), g as ({GROUP_SQL}),
+r as (select locate, h, design, case when fine then r2 end as r2 from every left join fit using (locate, h, design)),
+u as (select upper(grp) as grp, h, design, r2 from r join g using (locate) union all select 'ALL', h, design, r2 from r)
+select grp, cast(h as int) as horizon_s, design, round(quantile_cont(r2, 0.5), 6) as med_r2, count(*) as symbols from u group by all""")
+def ofi_median_fits(spark, sf_dir):
+    symbols = base(spark, sf_dir).selectExpr("locate", "case when locate <= 2 then 'SPY' when locate <= 5 then 'VXX' when locate <= 9 then 'TSLA' else 'OTHER' end as symbol").distinct()
+    return rounded(ofi.median_fits(ofi.ofi_horizons(table(spark, sf_dir, "fx_l1")), symbols))
+
+
+@query(f"""with {duck('fx_prints', 'fx_l1')}, c as (select (select count(*) from fx_prints) as t, (select count(*) from fx_l1) as l, (select count(*) from fx_prints where seq % 1000 = 7) as p)
+select 'trades_size' as name, 'PASS' as status, cast(0 as bigint) as bad union all select 'l1_size', 'FAIL', 5 union all select 'trades_count_meta', 'PASS', 0 union all select 'l1_count_meta', 'FAIL', 1
+union all select 'trade_pad', case when p = 0 then 'PASS' else 'FAIL' end, p from c union all select 'l1_pad', 'PASS', 0""")
+def verify_files(spark, sf_dir):
+    trades = table(spark, sf_dir, "fx_prints").withColumn("pad", F.when(F.col("seq") % 1000 == 7, 1).otherwise(0))
+    l1 = table(spark, sf_dir, "fx_l1").withColumn("pad", F.lit(0))
+    meta = trades.agg(F.count("*").cast("string").alias("value")).select(F.lit("trades").alias("key"), "value").unionByName(l1.agg((F.count("*") + 1).cast("string").alias("value")).select(F.lit("l1").alias("key"), "value"))
+    return verify.verify_files(trades, l1, meta, {"trades": (24 * 1000, 24), "l1": (32 * 1000 + 5, 32)})

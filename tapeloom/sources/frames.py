@@ -13,8 +13,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 BLOCK, BATCH = 1 << 22, 50_000
 
 
-def _open(path: str):
-    """An input stream of any path that Arrow's file systems know (local, hdfs://, s3://, gs://)."""
+def open_path(path: str):
+    """File system and name of any path that Arrow's file systems know (local, hdfs://, s3://, gs://)."""
     from pyarrow import fs
 
     system, name = (fs.LocalFileSystem(), path.removeprefix("file://")) if path.startswith(("/", "file:")) else fs.FileSystem.from_uri(path)
@@ -52,7 +52,7 @@ class FramesReader(DataSourceReader):
 
         files = []
         for path in self.paths:
-            system, name = _open(path)
+            system, name = open_path(path)
             info = system.get_file_info(name)
             scheme = path[: len(path) - len(name)] if path.endswith(name) else ""
             found = system.get_file_info(fs.FileSelector(name)) if info.type == fs.FileType.Directory else [info]
@@ -60,7 +60,7 @@ class FramesReader(DataSourceReader):
         return [_File(p, i) for i, p in enumerate(sorted(files))]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        system, name = _open(partition.path)
+        system, name = open_path(partition.path)
         with system.open_input_stream(name, compression=None) as f:
             rows: list[tuple[int, bytes]] = []
             n = 0

@@ -2,35 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tapeloom.functions import market as m
+from tapeloom.sources.frames import open_path
 
 # The records, little-endian: (name, offset, width).
 TRADE = (24, (("ts_ns", 0, 8), ("price", 8, 4), ("shares", 12, 4), ("locate", 16, 2), ("side", 18, 1), ("kind", 19, 1), ("pad", 20, 4)))
 L1 = (32, (("ts_ns", 0, 8), ("bid_px", 8, 4), ("ask_px", 12, 4), ("bid_sz", 16, 4), ("ask_sz", 20, 4), ("locate", 24, 2), ("bid_ct", 26, 2), ("ask_ct", 28, 2), ("pad", 30, 2)))
 
 
-def _little(value: Column, offset: int, width: int) -> Column:
-    parts = [F.hex(F.substring(value, offset + 1 + i, 1)) for i in reversed(range(width))]
-    return F.conv(F.concat(*parts), 16, 10).cast("bigint" if width >= 4 else "int")
+#: Records of one partition, and of one batch.
+SPLIT, BATCH = 1 << 22, 1 << 18
+
+
+class _Range(InputPartition):
+    def __init__(self, number: int, first: int, end: int):
+        super().__init__(number)
+        self.first, self.end = first, end
+
+
+class RecordsReader(DataSourceReader):
+    def __init__(self, path: str, layout: tuple):
+        self.path, (self.width, self.fields) = path, layout
+
+    def partitions(self) -> list[InputPartition]:
+        system, name = open_path(self.path)
+        size = system.get_file_info(name).size
+        if size % self.width:
+            raise ValueError(f"{self.path}: {size} bytes are no multiple of {self.width}")
+        n = size // self.width
+        return [_Range(i, at, min(n, at + SPLIT)) for i, at in enumerate(range(0, max(n, 1), SPLIT))]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        system, name = open_path(self.path)
+        record = np.dtype({"names": [n for n, _, _ in self.fields], "formats": [f"<u{w}" for _, _, w in self.fields], "offsets": [o for _, o, _ in self.fields], "itemsize": self.width})
+        with system.open_input_file(name) as f:
+            f.seek(partition.first * self.width)
+            for at in range(partition.first, partition.end, BATCH):
+                rows = np.frombuffer(f.read(min(BATCH, partition.end - at) * self.width), record)
+                columns = [pa.array(rows[n].astype("i8" if w >= 4 else "i4")) for n, _, w in self.fields]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(rows))), *columns], ["seq", *[n for n, _, _ in self.fields]])
+
+
+class RecordsDataSource(DataSource):
+    """format("records"): options path and kind (trades, l1). A partition is a range of records, read in batches; seq is the record's place in the file."""
+
+    LAYOUTS = {"trades": TRADE, "l1": L1}
+
+    @classmethod
+    def name(cls) -> str:
+        return "records"
+
+    def _layout(self) -> tuple:
+        return self.LAYOUTS[self.options["kind"]]
+
+    def schema(self) -> str:
+        return ", ".join(["seq long", *[f"{n} {'long' if w >= 4 else 'int'}" for n, _, w in self._layout()[1]]])
+
+    def reader(self, schema) -> RecordsReader:
+        return RecordsReader(self.options["path"], self._layout())
 
 
 def read_records(spark: SparkSession, path: str, layout: tuple) -> DataFrame:
-    """A file of fixed-length records, split by Spark at record boundaries: seq and the record's fields. A size that is no multiple of the record is an error."""
-    width, fields = layout
-    size = spark.read.format("binaryFile").load(path).select("length").first()["length"]
-    if size % width:
-        raise ValueError(f"{path}: {size} bytes are no multiple of {width}")
-    rows = spark.createDataFrame(spark.sparkContext.binaryRecords(path, width).zipWithIndex().map(lambda r: (r[1], r[0])), "seq long, value binary")
-    return rows.select("seq", *[_little(F.col("value"), o, w).alias(n) for n, o, w in fields])
-
-
-def read_symbols(spark: SparkSession, path: str) -> DataFrame:
-    """symbols.csv: locate, symbol (trimmed); of repeated locates the last row."""
-    rows = spark.read.csv(path, schema="locate int, symbol string", header=True, enforceSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    rows = rows.where("locate is not null").select("locate", F.trim("symbol").alias("symbol"), F.monotonically_increasing_id().alias("at"))
+    """A file of fixed-length records: seq and the record's fields. A size that is no multiple of the record is an error."""
+    spark.dataSource.register(RecordsDataSource)
+    kind = next(k for k, x in RecordsDataSource.LAYOUTS.items() if x == layout)
+    return spark.read.format("records").option("path", path).option("kind", kind).load()
+
+
+def read_symbols(spark: SparkSession, path: str, stripped: bool = True) -> DataFrame:
+    """symbols.csv: locate, symbol (trimmed, or as it stands if not `stripped`); of repeated locates the last row."""
+    rows = spark.read.csv(path, schema="locate int, symbol string", header=True, enforceSchema=False, ignoreLeadingWhiteSpace=stripped, ignoreTrailingWhiteSpace=stripped)
+    rows = rows.where("locate is not null").select("locate", (F.trim("symbol") if stripped else F.col("symbol")).alias("symbol"), F.monotonically_increasing_id().alias("at"))
     return rows.groupBy("locate").agg(F.max_by("symbol", "at").alias("symbol"))
 
 
@@ -45,14 +95,20 @@ def read_meta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.substring_index("value", "=", 1).alias("key"), F.expr("substring(value, locate('=', value) + 1)").alias("value"))
 
 
+def kind_name() -> Column:
+    return m.name_of("kind", m.KIND_NAMES)
+
+
 def named_trades(trades: DataFrame, symbols: DataFrame) -> DataFrame:
     """Trade records with symbol, side as a letter and kind_name; unknown codes are ''."""
     rows = m.with_symbols(trades, symbols)
-    return rows.withColumn("side", m.name_of("side", {0x42: "B", 0x53: "S"})).withColumn("kind_name", m.name_of("kind", m.KIND_NAMES)).drop("pad")
+    return rows.withColumn("side", m.name_of("side", {0x42: "B", 0x53: "S"})).withColumn("kind_name", kind_name()).drop("pad")
 
 
-def write_table(rows: DataFrame, path: str, by: str | None = None) -> None:
-    """Parquet with zstd, split by a column if named."""
+def write_table(rows: DataFrame, path: str, by: str | None = None, scope: str | None = None) -> None:
+    """Parquet with zstd, split by a column if named. `scope` is kept as a comment on every column, which Spark reads back."""
+    if scope is not None:
+        rows = rows.select([F.col(c).alias(c, metadata={"scope": scope}) for c in rows.columns])
     w = rows.write.option("compression", "zstd")
     (w.partitionBy(by) if by else w).parquet(path)
 
