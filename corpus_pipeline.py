@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm.common import written
+from tapeloom.llm.common import scratch, written
 from tapeloom.llm.line_dedup import without_boilerplate
 from tapeloom.llm.minhash_dedup import without_near_duplicates
 from tapeloom.llm.mixing import mixed
@@ -44,8 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`; what a stage returns is written to the shared folder for the next one."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All stages over the documents of `sf_dir`. What a stage returns is written to the shared folder for the next one; what it needed for that, and the stage's input, is deleted then."""
+    docs, previous = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch(spark) as made:
+            docs = written(stage(spark, docs, sf_dir))
+            own = made.pop()  # the last one
+            if previous:
+                made.append(previous)
+            previous = own
     return STAGES[-1][1](spark, docs, sf_dir)
