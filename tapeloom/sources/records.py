@@ -28,17 +28,21 @@ class _Range(InputPartition):
         self.first, self.end = first, end
 
 
+def record_count(path: str, width: int) -> int:
+    system, name = open_path(path)
+    size = system.get_file_info(name).size
+    if size % width:
+        raise ValueError(f"{path}: {size} bytes are no multiple of {width}")
+    return size // width
+
+
 class RecordsReader(DataSourceReader):
-    def __init__(self, path: str, layout: tuple):
-        self.path, (self.width, self.fields) = path, layout
+    def __init__(self, path: str, layout: tuple, split: int):
+        self.path, (self.width, self.fields), self.split = path, layout, split
 
     def partitions(self) -> list[InputPartition]:
-        system, name = open_path(self.path)
-        size = system.get_file_info(name).size
-        if size % self.width:
-            raise ValueError(f"{self.path}: {size} bytes are no multiple of {self.width}")
-        n = size // self.width
-        return [_Range(i, at, min(n, at + SPLIT)) for i, at in enumerate(range(0, max(n, 1), SPLIT))]
+        n = record_count(self.path, self.width)
+        return [_Range(i, at, min(n, at + self.split)) for i, at in enumerate(range(0, max(n, 1), self.split))]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         system, name = open_path(self.path)
@@ -52,7 +56,7 @@ class RecordsReader(DataSourceReader):
 
 
 class RecordsDataSource(DataSource):
-    """format("records"): options path and kind (trades, l1). A partition is a range of records, read in batches; seq is the record's place in the file."""
+    """format("records"): options path, kind (trades, l1) and split (records of a partition). A partition is a range of records, read in batches; seq is the record's place in the file."""
 
     LAYOUTS = {"trades": TRADE, "l1": L1}
 
@@ -67,14 +71,15 @@ class RecordsDataSource(DataSource):
         return ", ".join(["seq long", *[f"{n} {'long' if w >= 4 else 'int'}" for n, _, w in self._layout()[1]]])
 
     def reader(self, schema) -> RecordsReader:
-        return RecordsReader(self.options["path"], self._layout())
+        return RecordsReader(self.options["path"], self._layout(), int(self.options.get("split", SPLIT)))
 
 
-def read_records(spark: SparkSession, path: str, layout: tuple) -> DataFrame:
-    """A file of fixed-length records: seq and the record's fields. A size that is no multiple of the record is an error."""
+def read_records(spark: SparkSession, path: str, layout: tuple, split: int = SPLIT) -> DataFrame:
+    """A file of fixed-length records, `split` of them in a partition: seq and the record's fields. A size that is no multiple of the record is an error."""
     spark.dataSource.register(RecordsDataSource)
+    record_count(path, layout[0])
     kind = next(k for k, x in RecordsDataSource.LAYOUTS.items() if x == layout)
-    return spark.read.format("records").option("path", path).option("kind", kind).load()
+    return spark.read.format("records").option("path", path).option("kind", kind).option("split", split).load()
 
 
 def read_symbols(spark: SparkSession, path: str, stripped: bool = True) -> DataFrame:

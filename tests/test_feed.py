@@ -5,9 +5,9 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.functions.stats import t_quantile, weighted_quantiles
+from tapeloom.functions.stats import t_expansion, t_quantile, weighted_quantiles
 from tapeloom.operators import decode, verify
-from tapeloom.plans import activity
+from tapeloom.plans import activity, export
 from tapeloom.sources import frames, records
 
 HEAD = struct.pack(">HH", 0x1234, 0x5678) + (34200000000007).to_bytes(6, "big")
@@ -131,3 +131,62 @@ def test_extract_and_csv(spark, tmp_path):
     assert {r.x for r in spark.read.csv(str(tmp_path / "csv"), header=True).collect()} == {"-"}
     records.write_lines(top, str(tmp_path / "txt"), "symbol")
     assert spark.read.text(str(tmp_path / "txt")).count() == 2
+
+
+def packed(kind, locate, ts, **fields):
+    out = kind.encode() + struct.pack(">HH", locate, 1) + ts.to_bytes(6, "big")
+    for n, _, w, t in decode.LAYOUTS[kind][2]:
+        v = fields.get(n, " " if t == "a" else 0)
+        out += v.to_bytes(w, "big") if t == "u" else v.encode().ljust(w)
+    return out
+
+
+def day(price, bad=False):
+    """Two symbols; the same refs every day."""
+    rows = [packed("R", 3, 0, stock="OLD"), packed("R", 3, 1, stock="TGT"), packed("R", 4, 1, stock="OTHER"), packed("H", 3, 2, stock="TGT", state="T")]
+    rows += [packed("A", 3, 5, ref=1, side="B", shares=100, stock="TGT", price=price), packed("A", 4, 6, ref=2, side="B", shares=50, stock="OTHER", price=price)]
+    rows += [packed("E", 3, 7, ref=1, shares=40, match=9), packed("P", 4, 8, side="S", shares=7, stock="OTHER", price=5), packed("Q", 3, 9, shares=5_000_000_000, stock="TGT", price=6)]
+    rows += [b"Z123"] * bad + [packed("X", 4, 10, ref=2, shares=10)]
+    return framed(*rows)
+
+
+def test_export_of_several_days(spark, tmp_path):
+    """Refs and sequence numbers of one day do not meet those of another; a bad message ends its own day only."""
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "a.bin").write_bytes(day(1000, bad=True))
+    (tmp_path / "feed" / "b.bin").write_bytes(day(2000))
+    f = frames.read_frames(spark, str(tmp_path / "feed"))
+    x = export.replay(f)
+    assert sorted((r.day, r.kind, r.price, r.shares, r.locate, r.side) for r in x.trades.collect()) == [(d, k, p, n, loc, s) for d, px in ((0, 1000), (1, 2000)) for k, p, n, loc, s in ((0, px, 40, 3, "B"), (2, 5, 7, 4, "S"), (3, 6, 4294967295, 3, ""))]
+    assert sorted((r.day, r.locate, r.bid_px, r.bid_sz) for r in x.l1.collect()) == [(0, 3, 1000, 60), (0, 3, 1000, 100), (0, 4, 1000, 50), (1, 3, 2000, 60), (1, 3, 2000, 100), (1, 4, 2000, 40), (1, 4, 2000, 50)]
+    assert {(r.day, r.key, r.value) for r in export.totals(x).collect() if r.key != "source"} == {(0, "messages", "9"), (0, "trades", "3"), (0, "l1", "3"), (1, "messages", "10"), (1, "trades", "3"), (1, "l1", "4")}
+    assert {(r.day, r.total) for r in x.violations().collect()} == {(0, 0), (1, 0)}
+    export.write_export(x, str(tmp_path / "out"))
+    assert sorted(p.read_text() for p in (tmp_path / "out" / "symbols.csv" / "day=1").glob("*.csv")) == ["locate,symbol\n3,TGT\n4,OTHER\n"]
+    assert [p.read_text() for p in (tmp_path / "out" / "ops.csv" / "day=0").glob("*.csv")] == ["locate,adds,executes,cancels,deletes,replaces\n3,1,1,0,0,0\n4,1,0,0,0,0\n"]
+    assert [p.read_text().split("\n")[1:4] for p in (tmp_path / "out" / "meta.txt" / "day=1").glob("*.txt")] == [["messages=10", "trades=3", "l1=4"]]
+    assert {r.symbol for r in spark.read.parquet(str(tmp_path / "out" / "trades.parquet")).collect()} == {"TGT", "OTHER"}
+    one = export.replay(f, symbol="TGT")
+    assert {r.locate for r in one.trades.collect()} == {r.locate for r in one.l1.collect()} == {3} and one.symbols.count() == 4
+    sizes = spark.createDataFrame([(r.file, len(day(1, i == 0))) for i, r in enumerate(f.select("file").distinct().orderBy("file").collect())], "file string, size long")
+    assert [(r.failed, r.clean_eof, r.ok) for r in decode.verdict(decode.stream_checks(f), frames.scan_summary(f, sizes)).orderBy("file").collect()] == [("UnknownType", True, False), (None, True, True)]
+    assert {r.symbol for r in decode.directory(f, stripped=False).collect()} == {"TGT     ", "OTHER   "}
+
+
+def test_records_are_read_by_ranges(spark, tmp_path):
+    item = struct.Struct("<QIIIIHHHH")
+    (tmp_path / "l1.bin").write_bytes(b"".join(item.pack(1 << 60, i, 2, 3, 0xFFFFFFFF, i % 65536, 5, 6, 0) for i in range(3500)))
+    rows = records.read_records(spark, str(tmp_path / "l1.bin"), records.L1, split=1000)
+    assert rows.rdd.getNumPartitions() == 4 and rows.count() == 3500
+    assert rows.where("seq <> bid_px or ts_ns <> 1152921504606846976 or ask_sz <> 4294967295 or locate <> seq or ask_ct <> 6").count() == 0
+
+
+def test_ops_scope_and_expansion(spark, tmp_path):
+    (tmp_path / "ops.csv").write_text("locate,adds,executes,cancels,deletes,replaces\n3,1,2,3,4,5\n")
+    assert tuple(records.read_ops(spark, str(tmp_path / "ops.csv")).first()) == (3, 1, 2, 3, 4, 5)
+    (tmp_path / "symbols.csv").write_text("locate,symbol\n1,AB  \n")
+    assert records.read_symbols(spark, str(tmp_path / "symbols.csv"), stripped=False).first().symbol == "AB  "
+    records.write_table(spark.range(3), str(tmp_path / "study"), scope="one day")
+    assert spark.read.parquet(str(tmp_path / "study")).schema["id"].metadata == {"scope": "one day"}
+    got = spark.createDataFrame([(float(d),) for d in (101, 400)], "df double").select(t_expansion(0.975, F.col("df")).alias("t")).collect()
+    assert all(abs(r.t - t_quantile(0.975, d)) < 1e-6 for r, d in zip(got, (101, 400), strict=True))
