@@ -34,10 +34,9 @@ def _fold_table() -> np.ndarray:
 FOLD = _fold_table()
 
 
-def _far_letters(raw: np.ndarray) -> np.ndarray:
-    """Which code points are letters beyond 2**16."""
-    far = np.unique(raw[raw >= 1 << 16])
-    return np.isin(raw, [c for c in far if chr(c).isalpha()]) if len(far) else np.zeros(len(raw), bool)
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """Which code points are letters."""
+    return np.isin(codes, [c for c in np.unique(codes) if chr(c).isalpha()])
 
 
 def character_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +47,11 @@ def character_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     edge = chr(EDGE) * (ORDER - 1)
     raw = np.frombuffer((edge + edge.join(x.replace(chr(EDGE), " ") for x in texts)).encode("utf-32-le", "replace"), np.uint32)
-    low = FOLD[np.where(raw < 1 << 16, raw, np.where(_far_letters(raw), (raw & 0x3FFF) | 0x4E00, BLANK))]
+    far = np.flatnonzero(raw >= 1 << 16)
+    if len(far):
+        raw = raw.copy()
+        raw[far] = np.where(_letters(raw[far]), (raw[far] & 0x3FFF) | 0x4E00, BLANK)
+    low = FOLD[raw]
     keep = (low != BLANK) | np.concatenate(([True], low[:-1] != BLANK))
     owner = np.repeat(np.arange(len(texts)), [len(x) + ORDER - 1 for x in texts])[keep]
     low = low[keep]
