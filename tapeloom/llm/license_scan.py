@@ -243,7 +243,7 @@ def _gapped(pattern: str) -> str:
 def signature_rules() -> list[tuple[str, int, tuple[str, ...], str]]:
     """label, priority, keywords, pattern: the hand-written SIGNATURES and GENERIC, and every license in every form; every match holds all keywords.
 
-    Some 130 rules are written by hand, the others are the licenses' names in FORMS; about 220 of those are the Creative Commons template.
+    123 rules are written by hand, the others are the licenses' names in FORMS; about 220 of those are the Creative Commons template.
     """
     named = list(LICENSES)
     for terms, words in CC_TERMS.items():
