@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.llm.common import written
 from tapeloom.llm.quality_classifier import held_out
 from tapeloom.llm.shingles import U64, mixed_bits
 
@@ -119,7 +120,7 @@ class LanguageModels:
     def of(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModels:
         out = cls(sorted(counts))
         models = [KneserNey(*counts[x]) for x in out.languages]
-        for n in range(1, ORDER + 1):
+        for n in range(1, ORDER + 1) if models else ():
             grams = np.unique(np.concatenate([m.levels[n - 1][0] for m in models]))
             contexts = np.unique(np.concatenate([m.levels[n - 1][2] for m in models]))
             for names, values, keys, worth in (("keys", "log_p", grams, lambda m, k, n=n: m.probability(n, k)), ("contexts", "log_left", contexts, lambda m, k, n=n: m.share_left(n, k))):
@@ -159,17 +160,28 @@ class LanguageModels:
         return -total / np.maximum(count, 1)[:, None], count
 
 
+def drawn_rows(rows: DataFrame, per_language: int) -> DataFrame:
+    """lang and text of at most `per_language` different rows (doc_id, text) of each language, all of them where it has no more rows than that.
+
+    Rows fall into `per_language` classes by a hash of doc_id and text, and the least hash of a class is drawn: no sort, no class without a row of it,
+    and repeated rows count once. So the bound holds at any size, and no language is left out, whatever its doc_ids.
+    """
+    rows = rows.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    rows = rows.withColumn("_class", F.pmod("_h", F.lit(per_language)))
+    least = rows.groupBy("lang", "_class").agg(F.min("_h").alias("_least"), F.count("*").alias("_n"))
+    least = least.select("lang", "_class", "_least", (F.sum("_n").over(Window.partitionBy("lang")) <= per_language).alias("_all"))
+    own = rows.join(F.broadcast(least), ["lang", "_class"]).where("_all or _h = _least")  # at most per_language rows for each language
+    return own.dropDuplicates(["lang", "_h"]).select("lang", "text")
+
+
 def train(rows: DataFrame, per_language: int = 1000) -> LanguageModels:
-    """Learns from about `per_language` of the rows of `rows` (doc_id, text, lang not null) of each language.
+    """Learns from at most `per_language` of the rows of `rows` (doc_id, text, lang not null) of each language, see `drawn_rows`.
 
-    The rows are drawn by a hash of doc_id. Grams are counted on the cluster; their counts, bounded by
-    that sample, reach the driver. Rejection: a language's limit is the cross-entropy of its worst
+    Grams are counted on the cluster; their counts, bounded by that sample, reach the driver. A language whose rows have no text is not
+    learned; without any language the models know none. Rejection: a language's limit is the cross-entropy of its worst
     training text of 50 characters or more, plus half the distance from the mean to it.
     """
-    rows = rows.where("lang is not null and text is not null")
-    have = rows.groupBy("lang").count()
-    share = F.broadcast(have.select("lang", (F.lit(float(per_language)) / F.col("count")).alias("_share")))  # a row for each language
-    drawn = rows.join(share, "lang").where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).select("lang", "text")
+    drawn = written(drawn_rows(rows, per_language))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -178,10 +190,11 @@ def train(rows: DataFrame, per_language: int = 1000) -> LanguageModels:
                 yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": n})
 
     table = drawn.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    models = LanguageModels.of({lang: (own["gram"].to_numpy().view(U64), own["n"].to_numpy()) for lang, own in table.groupby("lang")} or {"und": (np.zeros(0, U64), np.zeros(0))})
+    models = LanguageModels.of({lang: (own["gram"].to_numpy().view(U64), own["n"].to_numpy()) for lang, own in table.groupby("lang")})
 
     def worth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch[batch["lang"].isin(models.languages)]
             nats, n = models.cross_entropies(batch["text"].tolist())
             own = nats[np.arange(len(batch)), [models.languages.index(x) for x in batch["lang"]]]
             yield pd.DataFrame({"lang": batch["lang"], "nats": own})[n >= 50]
@@ -197,7 +210,8 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
     lang_pred has the lowest cross-entropy a character over the whole text, `und` where the text is null or has
     no letter (score 0); ties go to the first language by name. The score is the posterior of the
     language as if the text had at most 50 characters. rejected tells that the text is unlike what
-    the language was learned from. Repeated rows are scored each; other columns are not read.
+    the language was learned from. Repeated rows are scored each, rows without a doc_id too; other columns are not read. Models that know no language
+    predict `und` with score 0. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -205,6 +219,10 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
         own = shared.value
         names = np.array([*own.languages, "und"], dtype=object)
         for batch in batches:
+            if not own.languages:
+                m = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["und"] * m), pa.array([0.0] * m), pa.array([False] * m)], ["doc_id", "lang_pred", "score", "rejected"])
+                continue
             nats, n = own.cross_entropies([x or "" for x in batch.column(1).to_pylist()])
             none = ~np.array(batch.column(2).to_pylist(), bool)
             best = nats.argmin(axis=1)
