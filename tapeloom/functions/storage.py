@@ -24,12 +24,17 @@ def _root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stored-{spark.sparkContext.applicationId}"
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path for a file of that name in a new folder among the stored tables; `discard` deletes it."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df`, written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors.
 
     All of an application's tables lie in one folder, which `discard` deletes.
     """
-    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

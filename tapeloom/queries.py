@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
-from tapeloom.functions.storage import stored
+from tapeloom.functions.storage import fresh_path, stored
 from tapeloom.operators import book, decode, verify
 from tapeloom.plans import activity, export, liquidity, ofi
 from tapeloom.plans.stand_ins import base, duck, table
-from tapeloom.sources.frames import scan_summary
+from tapeloom.sources import records
+from tapeloom.sources.frames import read_frames, scan_summary, write_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -635,6 +636,53 @@ def feed_crossings(spark, sf_dir):
     return feed(spark, sf_dir).crossings().agg(F.count_if(~F.col("pending")).alias("crossed_while_trading"), F.count_if("pending").alias("crossed_auction_pending"))
 
 
+# through files
+
+def feed_file(spark, sf_dir, header=False) -> DataFrame:
+    """The stand-in feed, written to a folder of parts in the shared folder and read as one stream by ranges: seq is a message's place."""
+    path = fresh_path(spark, "feed")
+    write_frames(message_frames(spark, sf_dir), path, 4)
+    return read_frames(spark, path, split=1 << 17, joined=True, header=header)
+
+
+PLACED = "pl as (select seq, row_number() over (order by seq) - 1 as place from ms)"
+
+
+@query(f"""with {duck('fx_ops', 'fx_more')} {EFFECTS_SQL}, {TAPE_SQL}, {MESSAGES}, {PLACED}
+select place as seq, ts_ns, locate, kind, price, shares, side from tp join pl using (seq)""")
+def file_tape(spark, sf_dir):
+    return dayless(export.replay(feed_file(spark, sf_dir)).trades)
+
+
+@query(f"""with {duck('fx_ops', 'fx_more')}, {MESSAGES}, {PLACED}
+select ty as kind, count(*) as messages, min(place) as first, max(place) as last, cast(sum(place) as bigint) as places, min(ts_ns) as ts_min, max(ts_ns) as ts_max from ms join pl using (seq)
+where locate = 3 and ty in ('A', 'E', 'P') and ts_ns >= 36000000000000 and place < (select max(place) - 100 from pl) group by ty""")
+def file_pushed_down(spark, sf_dir):
+    """One symbol's messages of three types from an hour on: what is left out is never made into rows."""
+    rows = feed_file(spark, sf_dir, header=True)
+    last = rows.agg(F.max("seq")).first()[0]
+    rows = rows.where((F.col("locate") == 3) & F.col("kind").isin("A", "E", "P") & (F.col("ts_ns") >= 36_000_000_000_000) & (F.col("seq") < last - 100))
+    return rows.groupBy("kind").agg(F.count("*").alias("messages"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.sum("seq").alias("places"), F.min("ts_ns").alias("ts_min"), F.max("ts_ns").alias("ts_max"))
+
+
+RECORD_ORDER = "row_number() over (order by seq) - 1 as seq"
+
+
+@query(f"""with {duck('fx_ops', 'fx_more')} {EFFECTS_SQL}, {TAPE_SQL}
+select {RECORD_ORDER}, ts_ns, price, shares, locate, case side when 'B' then 66 when 'S' then 83 else 0 end as side, kind, 0 as pad from tp""")
+def file_trades(spark, sf_dir):
+    path = fresh_path(spark, "trades.bin")
+    records.write_records(feed(spark, sf_dir).trades, path, records.TRADE, 4)
+    return records.read_records(spark, path, records.TRADE, split=1000)
+
+
+@query(f"with {duck('fx_ops', 'fx_more')} {TOPS_SQL}, {L1_SQL} select {RECORD_ORDER}, ts_ns, bid_px, ask_px, bid_sz, ask_sz, locate, bid_ct, ask_ct, 0 as pad from l1")
+def file_l1(spark, sf_dir):
+    path = fresh_path(spark, "l1.bin")
+    records.write_records(feed(spark, sf_dir).l1, path, records.L1, 4)
+    return records.read_records(spark, path, records.L1, split=1000)
+
+
 # reconciliation, groups and files
 
 @query(f"""with {duck('fx_closes')},

@@ -38,11 +38,14 @@ def test_framing(spark, tmp_path, data, n, clean):
     assert frames.scan_summary(rows, sizes).first().clean_eof is clean
 
 
-def test_framing_across_blocks():
-    data = framed(*[message("A")] * 50)
-    for size in (1, 3, 37, 38, 39, 1000):
-        got = list(frames.frames_of(data[i : i + size] for i in range(0, len(data), size)))
-        assert [o for o, _ in got] == list(range(0, len(data), 38)) and all(p == message("A") for _, p in got)
+@pytest.mark.parametrize("size", [1, 3, 37, 38, 39, 1000])
+def test_framing_across_blocks(tmp_path, monkeypatch, size):
+    path = str(tmp_path / "feed.bin")
+    (tmp_path / "feed.bin").write_bytes(framed(*[message("A")] * 50))
+    monkeypatch.setattr(frames, "BLOCK", size)
+    stretch = [path, path, 0, 38 * 50, 0, 0, -1]
+    got = [r for b in frames.FramesReader([stretch], False).read(frames._Stretch(0, stretch)) for r in b.to_pylist()]
+    assert [r["offset"] for r in got] == list(range(0, len(got) * 38, 38)) and len(got) == 50 and all(r["payload"] == message("A") and r["seq"] == i for i, r in enumerate(got))
 
 
 @pytest.mark.parametrize("kind", sorted(decode.LAYOUTS))
