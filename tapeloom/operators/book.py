@@ -6,12 +6,13 @@ and ref are numbers of one day (or file) each. Without it, all operations are of
 
 from __future__ import annotations
 
-import heapq
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions import sweep
 from tapeloom.functions.storage import stored
 
 #: More than any order holds: what a delete or a replace asks for.
@@ -19,6 +20,8 @@ ALL = 1 << 40
 #: Messages of the feed in one stretch; a book is replayed stretch by stretch, side by side.
 STRETCH = 1 << 22
 U32, U16 = 0xFFFFFFFF, 0xFFFF
+#: The seq of what a stretch starts with: before any message.
+LEAST = -(1 << 63)
 
 EFFECTS = "day int, seq long, locate int, ts_ns long, ty string, ref decimal(20,0), new_ref decimal(20,0), printable string, live boolean, duplicate boolean, side string, rest_price long, msg_shares long, msg_price long, removed long, gone boolean, over boolean, to_zero boolean"
 
@@ -172,55 +175,36 @@ def depth(fx: DataFrame, n: int = 5) -> DataFrame:
     return side("B", "bid").join(side("S", "ask"), [*BOOK, "rank"], "full")
 
 
+TOPS = "day int, locate int, seq long, ts_ns long, bid_px long, ask_px long, bid_sz long, ask_sz long, bid_ct long, ask_ct long"
+
+
+def _best(rows: pa.Table) -> pa.Table:
+    """TOPS of whole stretches: rows day, locate, part, side (0 bid, 1 ask), price, seq, ts_ns, shares, orders by stretch and seq; what a stretch starts with has seq LEAST."""
+    day, locate, part, side, price, seq, ts, shares, orders = (c.to_numpy() for c in rows.columns)
+    group = np.cumsum(np.concatenate(([False], (day[1:] != day[:-1]) | (locate[1:] != locate[:-1]) | (part[1:] != part[:-1]))))
+    first, best = sweep.best_levels(group, side, price, seq, shares, orders)
+    real = seq[first] != LEAST
+    columns = {"day": day[first], "locate": locate[first], "seq": seq[first], "ts_ns": ts[first], **best}
+    names = [x.split()[0] for x in TOPS.split(", ")]  # columns are taken by place
+    return pa.table({k: pa.array(columns[k][real], pa.int32() if k in BOOK else pa.int64()) for k in names})
+
+
 def tops(fx: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """The best level of both sides after every operation that changes a book: locate, seq, ts_ns, bid_px, ask_px, bid_sz, ask_sz, bid_ct, ask_ct; 0 for an empty side.
 
     The feed is cut into stretches of seq. Running sums give each level's size at the start of a stretch, so the
-    stretches of a symbol are replayed side by side, and the busiest symbol is as many tasks as it has stretches.
+    stretches of a symbol are done side by side, and the busiest symbol is as many tasks as it has stretches. In a stretch a level's size holds for an interval of
+    changes, and the best level at each is the highest of the intervals over it: no book is replayed, and no row is looked at by itself (`sweep`).
     """
     changes = level_changes(fx).withColumn("part", F.floor(F.col("seq") / stretch).cast("int"))
     per = changes.groupBy(*BOOK, "side", "price", "part").agg(F.sum("shares").alias("shares"), F.sum("orders").alias("orders"))
     w = Window.partitionBy(*BOOK, "side", "price").orderBy("part")
     held = per.select(*BOOK, "side", "price", "part", F.lead("part").over(w).alias("next"), F.sum("shares").over(w).alias("shares"), F.sum("orders").over(w).alias("orders")).where("orders > 0")
     busy = changes.groupBy(*BOOK).agg(F.array_sort(F.collect_set("part")).alias("parts"))  # one number a stretch
-    start = held.join(busy, BOOK).select(*BOOK, "side", "price", F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("ts_ns"), "shares", "orders", F.explode(F.filter("parts", lambda p: (p > F.col("part")) & (F.col("next").isNull() | (p <= F.col("next"))))).alias("part"))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        book: dict = {"B": {}, "S": {}}
-        heaps: dict = {"B": [], "S": []}
-
-        def best(side: str) -> tuple[int, int, int]:
-            heap, own, sign = heaps[side], book[side], -1 if side == "B" else 1
-            while heap:
-                price = heap[0] * sign
-                if price in own:
-                    return (price, *own[price])
-                heapq.heappop(heap)
-            return 0, 0, 0
-
-        rows, out, last = pdf.sort_values("seq", kind="stable"), [], None
-        day, locate = int(pdf["day"].iloc[0]), int(pdf["locate"].iloc[0])
-        for side, price, seq, ts, shares, orders in zip(rows["side"], rows["price"].tolist(), rows["seq"].tolist(), rows["ts_ns"].tolist(), rows["shares"].tolist(), rows["orders"].tolist(), strict=True):
-            if last is not None and last[0] != seq and last[0] >= 0:
-                (bp, bs, bc), (ap, az, ac) = best("B"), best("S")
-                out.append((day, locate, *last, bp, ap, bs, az, bc, ac))
-            last = (seq, ts)
-            own = book[side]
-            had = own.get(price)
-            size, count = (had[0] + shares, had[1] + orders) if had else (shares, orders)
-            if count > 0:
-                own[price] = (size, count)
-                if not had:
-                    heapq.heappush(heaps[side], -price if side == "B" else price)
-            else:
-                own.pop(price, None)
-        if last is not None and last[0] >= 0:
-            (bp, bs, bc), (ap, az, ac) = best("B"), best("S")
-            out.append((day, locate, *last, bp, ap, bs, az, bc, ac))
-        return pd.DataFrame(out, columns=["day", "locate", "seq", "ts_ns", "bid_px", "ask_px", "bid_sz", "ask_sz", "bid_ct", "ask_ct"])
-
-    rows = changes.select(*BOOK, "side", "price", "seq", "ts_ns", "shares", "orders", "part").unionByName(start.select(*BOOK, "side", "price", "seq", "ts_ns", "shares", "orders", "part"))
-    return rows.groupBy(*BOOK, "part").applyInPandas(replay, "day int, locate int, seq long, ts_ns long, bid_px long, ask_px long, bid_sz long, ask_sz long, bid_ct long, ask_ct long")
+    start = held.join(busy, BOOK).select(*BOOK, "side", "price", F.lit(None).cast("long").alias("seq"), F.lit(0).cast("long").alias("ts_ns"), "shares", "orders", F.explode(F.filter("parts", lambda p: (p > F.col("part")) & (F.col("next").isNull() | (p <= F.col("next"))))).alias("part"))
+    cols = lambda d: d.select(*BOOK, "part", F.when(F.col("side") == "B", 0).otherwise(1).alias("side"), "price", F.coalesce("seq", F.lit(LEAST)).alias("seq"), "ts_ns", "shares", "orders")
+    rows = cols(changes).unionByName(cols(start)).repartition(*BOOK, "part").sortWithinPartitions(*BOOK, "part", "seq")
+    return rows.mapInArrow(sweep.by_groups(3, _best), TOPS)
 
 
 def l1_stream(top: DataFrame) -> DataFrame:

@@ -641,7 +641,7 @@ def feed_crossings(spark, sf_dir):
 def feed_file(spark, sf_dir, header=False) -> DataFrame:
     """The stand-in feed, written to a folder of parts in the shared folder and read as one stream by ranges: seq is a message's place."""
     path = fresh_path(spark, "feed")
-    write_frames(message_frames(spark, sf_dir), path, 4)
+    write_frames(message_frames(spark, sf_dir), path)
     return read_frames(spark, path, split=1 << 17, joined=True, header=header)
 
 
@@ -672,14 +672,14 @@ RECORD_ORDER = "row_number() over (order by seq) - 1 as seq"
 select {RECORD_ORDER}, ts_ns, price, shares, locate, case side when 'B' then 66 when 'S' then 83 else 0 end as side, kind, 0 as pad from tp""")
 def file_trades(spark, sf_dir):
     path = fresh_path(spark, "trades.bin")
-    records.write_records(feed(spark, sf_dir).trades, path, records.TRADE, 4)
+    records.write_records(feed(spark, sf_dir).trades, path, records.TRADE)
     return records.read_records(spark, path, records.TRADE, split=1000)
 
 
 @query(f"with {duck('fx_ops', 'fx_more')} {TOPS_SQL}, {L1_SQL} select {RECORD_ORDER}, ts_ns, bid_px, ask_px, bid_sz, ask_sz, locate, bid_ct, ask_ct, 0 as pad from l1")
 def file_l1(spark, sf_dir):
     path = fresh_path(spark, "l1.bin")
-    records.write_records(feed(spark, sf_dir).l1, path, records.L1, 4)
+    records.write_records(feed(spark, sf_dir).l1, path, records.L1)
     return records.read_records(spark, path, records.L1, split=1000)
 
 
