@@ -9,11 +9,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import sweep
+from tapeloom.functions.graph import components
 from tapeloom.functions.storage import stored
+from tapeloom.functions.windows import carried, stretch_of
 
 #: More than any order holds: what a delete or a replace asks for.
 ALL = 1 << 40
@@ -23,7 +25,7 @@ U32, U16 = 0xFFFFFFFF, 0xFFFF
 #: The seq of what a stretch starts with: before any message.
 LEAST = -(1 << 63)
 
-EFFECTS = "day int, seq long, locate int, ts_ns long, ty string, ref decimal(20,0), new_ref decimal(20,0), printable string, live boolean, duplicate boolean, side string, rest_price long, msg_shares long, msg_price long, removed long, gone boolean, over boolean, to_zero boolean"
+EFFECTS = "day int, seq long, locate int, ts_ns long, ty string, ref decimal(20,0), new_ref decimal(20,0), printable string, live boolean, duplicate boolean, side string, rest_price long, msg_shares long, msg_price long, removed long, gone boolean, over boolean, to_zero boolean, home int"
 
 
 #: A book; an order is known by DAY and its ref.
@@ -35,13 +37,23 @@ def dated(rows: DataFrame) -> DataFrame:
     return rows.withColumn(DAY, F.col(DAY).cast("int") if DAY in rows.columns else F.lit(0))
 
 
+def _home() -> list[Column]:
+    """The book that an operation changes."""
+    return [F.col(DAY), F.col("home").alias("locate")]
+
+
 def _typed(ops: DataFrame) -> DataFrame:
     return dated(ops).select(DAY, "seq", F.col("locate").cast("int"), "ts_ns", "ty", F.col("ref").cast("decimal(20,0)"), F.col("new_ref").cast("decimal(20,0)"), F.col("shares").cast("long"), F.col("price").cast("long"), "side", "printable")
 
 
 def _additions(ops: DataFrame) -> DataFrame:
     a = F.col("ty") == "A"
-    return ops.where("ty in ('A', 'U')").select(DAY, F.when(a, F.col("ref")).otherwise(F.col("new_ref")).alias("id"), F.when(~a, F.col("ref")).alias("parent"), a.alias("first"), F.col("seq").alias("born"), F.col("shares").alias("size"), F.col("price").alias("rest_price"), F.when(a, F.col("side")).alias("own_side"))
+    return ops.where("ty in ('A', 'U')").select(DAY, F.when(a, F.col("ref")).otherwise(F.col("new_ref")).alias("id"), F.when(~a, F.col("ref")).alias("parent"), a.alias("first"), F.col("seq").alias("born"), F.col("shares").alias("size"), F.col("price").alias("rest_price"), F.when(a, F.struct("side", "locate")).alias("own"))
+
+
+def stray_operations(fx: DataFrame) -> DataFrame:
+    """The operations that name another locate than their order's: on a clean feed none."""
+    return fx.where("home <> locate")
 
 
 def cross_locate_refs(ops: DataFrame) -> DataFrame:
@@ -53,7 +65,7 @@ def fold_effects(ops: DataFrame, by: tuple[str, ...] = ("day", "locate")) -> Dat
     """The effects of operations, one group of `by` at a time and in order: what defines them, for refs that are added twice."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        live: dict = {}  # ref -> [shares, price, side]
+        live: dict = {}  # ref -> [shares, price, side, locate]
         out = []
         for r in pdf.sort_values("seq").itertuples(index=False):
             key = None if r.ref is None or r.ref != r.ref else int(r.ref)
@@ -65,7 +77,7 @@ def fold_effects(ops: DataFrame, by: tuple[str, ...] = ("day", "locate")) -> Dat
                 duplicate = key in live
                 side = r.side
                 if not duplicate:
-                    live[key] = [int(r.shares), int(r.price), r.side]
+                    live[key] = [int(r.shares), int(r.price), r.side, r.locate]
             elif order:
                 want = ALL if r.ty in "DU" else int(r.shares)
                 removed, over = min(want, order[0]), r.ty in "ECX" and want > order[0]
@@ -76,8 +88,8 @@ def fold_effects(ops: DataFrame, by: tuple[str, ...] = ("day", "locate")) -> Dat
                 if r.ty == "U":
                     duplicate = new in live
                     if not duplicate:
-                        live[new] = [int(r.shares), int(r.price), side]
-            out.append((r.day, r.seq, r.locate, r.ts_ns, r.ty, r.ref, r.new_ref, r.printable, not duplicate if r.ty == "A" else order is not None, duplicate, side, rest, r.shares, r.price, removed, gone, over, to_zero))
+                        live[new] = [int(r.shares), int(r.price), side, order[3]]
+            out.append((r.day, r.seq, r.locate, r.ts_ns, r.ty, r.ref, r.new_ref, r.printable, not duplicate if r.ty == "A" else order is not None, duplicate, side, rest, r.shares, r.price, removed, gone, over, to_zero, order[3] if order else r.locate))
         names = [x.split()[0] for x in EFFECTS.split(", ")]
         rows = pd.DataFrame(out, columns=names)
         for n in ("rest_price", "msg_shares", "msg_price"):
@@ -88,23 +100,23 @@ def fold_effects(ops: DataFrame, by: tuple[str, ...] = ("day", "locate")) -> Dat
 
 
 def _orders(ops: DataFrame, uses: DataFrame) -> DataFrame:
-    """day, id, root side and whether the order ever came to be: replaces are followed to the first add by pointer jumping.
+    """day, id, side and locate of the root and whether the order ever came to be: replaces are followed to the first add by pointer jumping.
 
     A replace takes effect if its target then held shares and had come to be itself. Rounds grow with the
     logarithm of the longest chain of replaces.
     """
     took = uses.where("ty = 'U'").select(DAY, F.col("new_ref").alias("id"), F.col("held").alias("took"))
-    state = _additions(ops).join(took, [DAY, "id"], "left").select(DAY, "id", F.when(F.coalesce("took", F.lit(False)), F.col("parent")).alias("up"), (F.col("first") | F.coalesce("took", F.lit(False))).alias("ok"), "own_side")
+    state = _additions(ops).join(took, [DAY, "id"], "left").select(DAY, "id", F.when(F.coalesce("took", F.lit(False)), F.col("parent")).alias("up"), (F.col("first") | F.coalesce("took", F.lit(False))).alias("ok"), "own")
     state = stored(state)
     while state.where("up is not null").limit(1).count():
-        above = state.select(DAY, F.col("id").alias("up"), F.col("up").alias("up2"), F.col("ok").alias("ok2"), F.col("own_side").alias("side2"))
-        state = stored(state.join(above, [DAY, "up"], "left").select(DAY, "id", F.col("up2").alias("up"), (F.col("ok") & F.when(F.col("up").isNull(), True).otherwise(F.coalesce("ok2", F.lit(False)))).alias("ok"), F.coalesce("own_side", "side2").alias("own_side")))
-    return state.select(DAY, F.col("id").alias("ref"), "ok", F.col("own_side").alias("root_side"))
+        above = state.select(DAY, F.col("id").alias("up"), F.col("up").alias("up2"), F.col("ok").alias("ok2"), F.col("own").alias("own2"))
+        state = stored(state.join(above, [DAY, "up"], "left").select(DAY, "id", F.col("up2").alias("up"), (F.col("ok") & F.when(F.col("up").isNull(), True).otherwise(F.coalesce("ok2", F.lit(False)))).alias("ok"), F.coalesce("own", "own2").alias("own")))
+    return state.select(DAY, F.col("id").alias("ref"), "ok", F.col("own").alias("root"))
 
 
 def _joined_effects(ops: DataFrame) -> DataFrame:
     """The effects where every ref is added once: by joins and running sums, however many operations a symbol has."""
-    made = _additions(ops).drop("parent", "first", "own_side").withColumnRenamed("id", "ref")
+    made = _additions(ops).drop("parent", "first", "own").withColumnRenamed("id", "ref")
     uses = ops.where("ty <> 'A'").join(made, [DAY, "ref"], "left").withColumn("known", F.coalesce(F.col("born") < F.col("seq"), F.lit(False)))
     want = F.when(F.col("ty").isin("D", "U"), ALL).otherwise(F.col("shares"))
     # unknown targets are a group of their own kind; they are dealt out by their number
@@ -116,31 +128,29 @@ def _joined_effects(ops: DataFrame) -> DataFrame:
     rest = F.col("size") - F.coalesce("spent", F.lit(0))
     only = lambda x, other: F.when(F.col("live"), x).otherwise(other)
     used = rows.select(
-        DAY, "seq", "locate", "ts_ns", "ty", "ref", "new_ref", "printable", "live", F.lit(False).alias("duplicate"), only(F.col("root_side"), None).alias("side"), only(F.col("rest_price"), None).alias("rest_price"), F.col("shares").alias("msg_shares"), F.col("price").alias("msg_price"),
-        only(F.least("want", rest), F.lit(0)).alias("removed"), only(F.col("want") >= rest, False).alias("gone"), only(F.col("ty").isin("E", "C", "X") & (F.col("want") > rest), False).alias("over"), only((F.col("ty") == "X") & (F.col("want") >= rest), False).alias("to_zero"),
+        DAY, "seq", "locate", "ts_ns", "ty", "ref", "new_ref", "printable", "live", F.lit(False).alias("duplicate"), only(F.col("root.side"), None).alias("side"), only(F.col("rest_price"), None).alias("rest_price"), F.col("shares").alias("msg_shares"), F.col("price").alias("msg_price"),
+        only(F.least("want", rest), F.lit(0)).alias("removed"), only(F.col("want") >= rest, False).alias("gone"), only(F.col("ty").isin("E", "C", "X") & (F.col("want") > rest), False).alias("over"), only((F.col("ty") == "X") & (F.col("want") >= rest), False).alias("to_zero"), only(F.col("root.locate"), F.col("locate")).alias("home"),
     )
     none = F.lit(None).cast("long")
-    added = ops.where("ty = 'A'").select(DAY, "seq", "locate", "ts_ns", "ty", "ref", "new_ref", "printable", F.lit(True).alias("live"), F.lit(False).alias("duplicate"), "side", none.alias("rest_price"), F.col("shares").alias("msg_shares"), F.col("price").alias("msg_price"), F.lit(0).cast("long").alias("removed"), F.lit(False).alias("gone"), F.lit(False).alias("over"), F.lit(False).alias("to_zero"))
+    added = ops.where("ty = 'A'").select(DAY, "seq", "locate", "ts_ns", "ty", "ref", "new_ref", "printable", F.lit(True).alias("live"), F.lit(False).alias("duplicate"), "side", none.alias("rest_price"), F.col("shares").alias("msg_shares"), F.col("price").alias("msg_price"), F.lit(0).cast("long").alias("removed"), F.lit(False).alias("gone"), F.lit(False).alias("over"), F.lit(False).alias("to_zero"), F.col("locate").alias("home"))
     return used.unionByName(added)
 
 
 def _chains(ops: DataFrame, twice: DataFrame) -> DataFrame:
-    """day, ref, chain: the refs that replaces tie to those of `twice` (day, ref), with the smallest of them. Rounds grow with the longest such chain of replaces."""
-    ties = ops.where("ty = 'U' and ref is not null and new_ref is not null").select(DAY, "ref", "new_ref")
-    ties = ties.unionByName(ties.select(DAY, F.col("new_ref").alias("ref"), F.col("ref").alias("new_ref")))
-    state, last = stored(twice.withColumn("chain", F.col("ref"))), None
-    while True:
-        mark = state.agg(F.count("*"), F.sum("chain")).first()
-        if mark == last:
-            return state
-        last = mark
-        reached = ties.join(state, [DAY, "ref"]).select(DAY, F.col("new_ref").alias("ref"), "chain")
-        state = stored(state.unionByName(reached).groupBy(DAY, "ref").agg(F.min("chain").alias("chain")))
+    """day, ref, chain: the refs that replaces tie to those of `twice` (day, ref), each with the smallest of its chain. Rounds grow with the logarithm of the longest chain."""
+    node = lambda c: F.struct(F.col(DAY), F.col(c).alias("ref"))
+    ties = ops.where("ty = 'U' and ref is not null and new_ref is not null").select(node("ref").alias("a"), node("new_ref").alias("b"))
+    found, _ = components(ties.unionByName(twice.select(node("ref").alias("a"), node("ref").alias("b"))))
+    found = stored(found)
+    own = found.join(twice.select(node("ref").alias("node")), "node").select("component").distinct()
+    return stored(found.join(own, "component").select(F.col("node")[DAY].alias(DAY), F.col("node.ref").alias("ref"), F.col("component.ref").alias("chain")))
 
 
 def effects(ops: DataFrame) -> DataFrame:
     """What each operation does to the books, one row for each.
 
+    Orders are known by their ref alone, as in one store of all symbols. home is the locate of the order's book: its add's, whatever locate the operation names
+    (`stray_operations`); an operation without a live target has its own.
     live: the operation took hold (its target was there; an add was not a duplicate). side and rest_price are those of
     the resting order, removed the shares that left it, gone whether it left. Refs that are added twice in a day (after their
     removal, or as a duplicate) go through the ordered fold, with the refs that replaces tie to them, one such chain at a time;
@@ -157,8 +167,8 @@ def effects(ops: DataFrame) -> DataFrame:
 
 def level_changes(fx: DataFrame) -> DataFrame:
     """day, locate, side, price, seq, ts_ns, shares, orders: the change of each level by each operation; both legs of a replace count at once."""
-    out = fx.where("live and ty <> 'A'").select(*BOOK, "side", F.col("rest_price").alias("price"), "seq", "ts_ns", (-F.col("removed")).alias("shares"), F.when(F.col("gone"), -1).otherwise(0).alias("orders"))
-    into = fx.where("live and ty in ('A', 'U') and not duplicate").select(*BOOK, "side", F.col("msg_price").alias("price"), "seq", "ts_ns", F.col("msg_shares").alias("shares"), F.lit(1).alias("orders"))
+    out = fx.where("live and ty <> 'A'").select(*_home(), "side", F.col("rest_price").alias("price"), "seq", "ts_ns", (-F.col("removed")).alias("shares"), F.when(F.col("gone"), -1).otherwise(0).alias("orders"))
+    into = fx.where("live and ty in ('A', 'U') and not duplicate").select(*_home(), "side", F.col("msg_price").alias("price"), "seq", "ts_ns", F.col("msg_shares").alias("shares"), F.lit(1).alias("orders"))
     return out.unionByName(into).groupBy(*BOOK, "side", "price", "seq", "ts_ns").agg(F.sum("shares").alias("shares"), F.sum("orders").cast("long").alias("orders"))
 
 
@@ -207,13 +217,51 @@ def tops(fx: DataFrame, stretch: int = STRETCH) -> DataFrame:
     return rows.mapInArrow(sweep.by_groups(3, _best), TOPS)
 
 
+def checked_tops(fx: DataFrame, top: DataFrame) -> DataFrame:
+    """The tops at which an export looks: after an add, a cancel, a delete and a replace at the message's locate, after an execution at its order's. Only where operations name other locates than their orders' do these differ from `tops`.
+
+    A change that is not looked at is seen with the next operation that names its book.
+    """
+    if not stray_operations(fx).limit(1).count():
+        return top
+    at = fx.select(DAY, F.expr("if(ty in ('E', 'C'), home, locate) as locate"), "seq", "ts_ns", F.lit(True).alias("op"))
+    names = ("bid_px", "ask_px", "bid_sz", "ask_sz", "bid_ct", "ask_ct")
+    state = F.struct(*names)
+    rows = at.withColumn("top", F.lit(None).cast(top.select(state).schema[0].dataType)).unionByName(top.select(*BOOK, "seq", "ts_ns", F.lit(False).alias("op"), state.alias("top")))
+    rows = carried(rows, BOOK, ["seq", "op"], stretch_of(), last={"now": "top"}).where("op")
+    return rows.select(*BOOK, "seq", "ts_ns", *[F.coalesce(F.col("now")[c], F.lit(0)).alias(c) for c in names])
+
+
 def l1_stream(top: DataFrame) -> DataFrame:
-    """The change-only top of book: rows of `tops` whose prices or sizes differ from the row before. Sizes and counts saturate first; counts alone are no change."""
+    """The change-only top of book: rows of `tops` (or `checked_tops`) whose prices or sizes differ from the row before. Sizes and counts saturate first; counts alone are no change."""
     rows = top.select(*BOOK, "seq", "ts_ns", "bid_px", "ask_px", *[F.least(F.col(c), F.lit(U32)).alias(c) for c in ("bid_sz", "ask_sz")], *[F.least(F.col(c), F.lit(U16)).alias(c) for c in ("bid_ct", "ask_ct")])
     now = F.struct("bid_px", "ask_px", "bid_sz", "ask_sz")
     zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("bid_px", "ask_px", "bid_sz", "ask_sz")])
-    before = F.coalesce(F.lag(now).over(Window.partitionBy(*BOOK).orderBy("seq")), zero)
-    return rows.withColumn("_changed", now != before).where("_changed").drop("_changed")
+    rows = carried(rows.withColumn("now", now), BOOK, ["seq"], stretch_of(), lag={"before": "now"})
+    return rows.where(F.col("now") != F.coalesce("before", zero)).drop("now", "before")
+
+
+def level_intervals(fx: DataFrame) -> DataFrame:
+    """The life of every level: day, locate, side, price, from_ns, until_ns (null: to the end), shares, orders, a row for each of its changes that leaves orders in it."""
+    w = Window.partitionBy(*BOOK, "side", "price").orderBy("seq")
+    rows = level_changes(fx).select(*BOOK, "side", "price", F.col("ts_ns").alias("from_ns"), F.lead("ts_ns").over(w).alias("until_ns"), F.sum("shares").over(w).alias("shares"), F.sum("orders").over(w).alias("orders"))
+    return rows.where("orders > 0")
+
+
+def depth_at(fx: DataFrame, first_ns: int, last_ns: int, step_ns: int, n: int = 5) -> DataFrame:
+    """The best `n` levels of each side just before each of the moments first_ns, first_ns + step_ns, ... last_ns: day, locate, at_ns, rank, bid_*, ask_*.
+
+    An interval of a level is known by the numbers of the moments it holds, so a level is met only at those, and no book is replayed. Messages of the moment itself
+    come after it. A symbol's levels at one moment are ranked together; tasks keep the best `n` before they shuffle.
+    """
+    number = lambda t: F.floor((t - F.lit(first_ns)) / F.lit(step_ns)).cast("long")
+    low, high = F.greatest(F.lit(0), number(F.col("from_ns")) + 1), F.least(F.lit((last_ns - first_ns) // step_ns), number(F.coalesce("until_ns", F.lit(last_ns))))
+    rows = level_intervals(fx).withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+    rows = rows.select(*BOOK, "side", "price", "shares", "orders", F.explode(F.sequence("_low", "_high")).alias("_k"))
+    rank = F.row_number().over(Window.partitionBy(*BOOK, "_k", "side").orderBy(F.when(F.col("side") == "B", -F.col("price")).otherwise(F.col("price"))))
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= n).withColumn("at_ns", F.lit(first_ns) + F.col("_k") * step_ns)
+    cell = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    return rows.groupBy(*BOOK, "at_ns", "rank").agg(*[cell(s, c).alias(f"{p}_{x}") for s, p in (("B", "bid"), ("S", "ask")) for c, x in (("price", "px"), ("shares", "sz"), ("orders", "ct"))])
 
 
 def trade_tape(fx: DataFrame, messages: DataFrame | None = None) -> DataFrame:
@@ -221,7 +269,7 @@ def trade_tape(fx: DataFrame, messages: DataFrame | None = None) -> DataFrame:
 
     messages: seq, ts_ns, locate, ty (P, Q), price, shares, side.
     """
-    rows = fx.where("live and (ty = 'E' or (ty = 'C' and printable = 'Y'))").select(DAY, "seq", "ts_ns", "locate", F.when(F.col("ty") == "E", 0).otherwise(1).alias("kind"), F.when(F.col("ty") == "E", F.col("rest_price")).otherwise(F.col("msg_price")).alias("price"), F.col("msg_shares").alias("shares"), "side")
+    rows = fx.where("live and (ty = 'E' or (ty = 'C' and printable = 'Y'))").select(DAY, "seq", "ts_ns", F.col("home").alias("locate"), F.when(F.col("ty") == "E", 0).otherwise(1).alias("kind"), F.when(F.col("ty") == "E", F.col("rest_price")).otherwise(F.col("msg_price")).alias("price"), F.col("msg_shares").alias("shares"), "side")
     if messages is None:
         return rows
     q = F.col("ty") == "Q"
@@ -234,16 +282,16 @@ def crossings(fx: DataFrame, top: DataFrame, control: DataFrame) -> DataFrame:
 
     pending: no cross has been since trading began, so the auction is still due. The state is H at first.
     """
-    checked = fx.where("(ty = 'D') or (live and not duplicate)").select(*BOOK, "seq", "ts_ns")
-    rows = checked.join(top.select(*BOOK, "seq", F.struct("bid_px", "ask_px").alias("top")), [*BOOK, "seq"], "left").withColumn("state", F.lit(None).cast("string")).withColumn("pending", F.lit(None).cast("boolean")).withColumn("op", F.lit(True))
+    none = lambda kind: F.lit(None).cast(kind)
+    checked = fx.where("(ty = 'D') or (live and not duplicate)").select(DAY, F.expr("if(ty = 'D', locate, home) as locate"), "seq", "ts_ns", none("struct<bid_px:bigint,ask_px:bigint>").alias("top"), none("string").alias("state"), none("boolean").alias("pending"), F.lit(True).alias("op"))
+    rows = checked.unionByName(top.select(*BOOK, "seq", none("long").alias("ts_ns"), F.struct("bid_px", "ask_px").alias("top"), none("string").alias("state"), none("boolean").alias("pending"), F.lit(False).alias("op")))
     control = dated(control)
     h = control.where("ty = 'H'").select(*BOOK, "seq", "state", F.coalesce(F.lag("state").over(Window.partitionBy(*BOOK).orderBy("seq")), F.lit("H")).alias("was"))
     h = h.select(*BOOK, "seq", "state", F.when((F.col("state") == "T") & (F.col("was") != "T"), True).alias("pending"))
     q = control.where("ty = 'Q'").select(*BOOK, "seq", F.lit(None).cast("string").alias("state"), F.lit(False).alias("pending"))
     ctl = h.unionByName(q).select(*BOOK, "seq", F.lit(None).cast("long").alias("ts_ns"), F.lit(None).cast("struct<bid_px:bigint,ask_px:bigint>").alias("top"), "state", "pending", F.lit(False).alias("op"))
-    w = Window.partitionBy(*BOOK).orderBy("seq")
-    last = lambda c: F.last(c, ignorenulls=True).over(w)
-    rows = rows.unionByName(ctl).select(*BOOK, "seq", "ts_ns", "op", last("top").alias("top"), last("state").alias("state"), F.coalesce(last("pending"), F.lit(False)).alias("pending"))
+    rows = carried(rows.unionByName(ctl), BOOK, ["seq", "op"], stretch_of(), last={"top_now": "top", "state_now": "state", "pending_now": "pending"})
+    rows = rows.select(*BOOK, "seq", "ts_ns", "op", F.col("top_now").alias("top"), F.col("state_now").alias("state"), F.coalesce("pending_now", F.lit(False)).alias("pending"))
     return rows.where("op and state = 'T' and top.bid_px > 0 and top.ask_px > 0 and top.bid_px >= top.ask_px").select(*BOOK, "seq", "ts_ns", F.col("top.bid_px").alias("bid_px"), F.col("top.ask_px").alias("ask_px"), "pending")
 
 
@@ -271,10 +319,10 @@ def violations(fx: DataFrame, crossed: DataFrame) -> DataFrame:
 
 
 def operation_counts(fx: DataFrame) -> DataFrame:
-    """Adds, executes, cancels, deletes and replaces of each locate. Deletes count also for unknown refs."""
+    """Adds, executes, cancels, deletes and replaces of each locate: the order's own, for deletes the message's. Deletes count also for unknown refs."""
     n = lambda when, name: F.count_if(when).alias(name)
     t, done = F.col("ty"), F.col("live") & ~F.col("duplicate")
-    return fx.groupBy(*BOOK).agg(n(done & (t == "A"), "adds"), n(F.col("live") & t.isin("E", "C"), "executes"), n(F.col("live") & (t == "X"), "cancels"), n(t == "D", "deletes"), n(done & (t == "U"), "replaces")).where("adds + executes + cancels + deletes + replaces > 0")
+    return fx.groupBy(DAY, F.expr("if(ty = 'D', locate, home) as locate")).agg(n(done & (t == "A"), "adds"), n(F.col("live") & t.isin("E", "C"), "executes"), n(F.col("live") & (t == "X"), "cancels"), n(t == "D", "deletes"), n(done & (t == "U"), "replaces")).where("adds + executes + cancels + deletes + replaces > 0")
 
 
 def peak_live_orders(fx: DataFrame, stretch: int = 1 << 20) -> DataFrame:
@@ -300,8 +348,8 @@ def stats(fx: DataFrame) -> DataFrame:
 
 def live_orders(fx: DataFrame) -> DataFrame:
     """The orders left at the end: day, locate, ref, side, price, shares. A ref that is added again after its removal counts from then on."""
-    added = fx.where("live and ty in ('A', 'U') and not duplicate").select(*BOOK, F.when(F.col("ty") == "A", F.col("ref")).otherwise(F.col("new_ref")).alias("ref"), "seq", F.struct("side", F.col("msg_price").alias("price")).alias("o"), F.col("msg_shares").alias("shares"), F.lit(1).alias("n"))
-    left = fx.where("live and ty <> 'A'").select(*BOOK, "ref", "seq", F.lit(None).cast("struct<side:string,price:bigint>").alias("o"), (-F.col("removed")).alias("shares"), F.when(F.col("gone"), -1).otherwise(0).alias("n"))
+    added = fx.where("live and ty in ('A', 'U') and not duplicate").select(*_home(), F.when(F.col("ty") == "A", F.col("ref")).otherwise(F.col("new_ref")).alias("ref"), "seq", F.struct("side", F.col("msg_price").alias("price")).alias("o"), F.col("msg_shares").alias("shares"), F.lit(1).alias("n"))
+    left = fx.where("live and ty <> 'A'").select(*_home(), "ref", "seq", F.lit(None).cast("struct<side:string,price:bigint>").alias("o"), (-F.col("removed")).alias("shares"), F.when(F.col("gone"), -1).otherwise(0).alias("n"))
     rows = added.unionByName(left).groupBy(*BOOK, "ref").agg(F.max_by("o", F.when(F.col("o").isNotNull(), F.col("seq"))).alias("o"), F.sum("shares").alias("shares"), F.sum("n").alias("n"))
     return rows.where("n > 0").select(*BOOK, "ref", "o.side", "o.price", "shares")
 
@@ -311,7 +359,7 @@ def audit(fx: DataFrame) -> DataFrame:
     again = live_orders(fx).groupBy(*BOOK, "side", "price").agg(F.sum("shares").alias("shares2"), F.count("*").alias("orders2"))
     both = levels(fx).join(again, [*BOOK, "side", "price"], "full")
     same = F.col("shares").eqNullSafe(F.col("shares2")) & F.col("orders").eqNullSafe(F.col("orders2"))
-    known = fx.select(*BOOK).distinct()
+    known = fx.select(*BOOK).union(fx.select(*_home())).distinct()
     return known.join(both.groupBy(*BOOK).agg(F.count("*").alias("levels"), F.count_if(~same).alias("mismatches")), BOOK, "left").na.fill(0)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
+from tapeloom.functions.windows import carried, stretch_of
 
 # The wire format. Type -> (name, length, fields); a field is (name, offset, width, kind): u unsigned, a text.
 HEADER = (("locate", 1, 2, "u"), ("tracking", 3, 2, "u"), ("ts_ns", 5, 6, "u"))
@@ -199,8 +200,8 @@ def stream_checks(frames: DataFrame) -> DataFrame:
         stock = F.when(kind == k, F.substring("payload", at + 1, 8).cast("string")).otherwise(stock)
     rows = frames.select("file", "seq", kind.alias("t"), _field(F.col("payload"), 1, 2, "u").alias("locate"), F.conv(F.hex(F.substring("payload", 6, 6)), 16, 10).cast("bigint").alias("ts_ns"), stock.alias("stock"),
                          F.when(kind.isin("A", "F", "P"), F.substring("payload", 20, 1).cast("string")).alias("side"), F.when(kind.isin("A", "F"), _field(F.col("payload"), 32, 4, "u")).alias("price"))
-    known = F.last(F.when(F.col("t") == "R", F.col("stock")), ignorenulls=True).over(Window.partitionBy("file", "locate").orderBy("seq"))
-    rows = rows.withColumn("known", F.when(F.col("t").isin(*CHECKED), known))
+    rows = carried(rows.withColumn("named", F.when(F.col("t") == "R", F.col("stock"))), ["file", "locate"], ["seq"], stretch_of(), last={"known": "named"})
+    rows = rows.withColumn("known", F.when(F.col("t").isin(*CHECKED), F.col("known")))
     one = rows.groupBy("file").agg(
         F.count("*").alias("messages"), F.min("ts_ns").alias("ts_min"), F.max("ts_ns").alias("ts_max"), F.count_if(F.col("ts_ns") >= m.DAY_NS).alias("ts_out_of_range"), F.count_if(~F.col("side").isin("B", "S")).alias("bad_side"),
         F.count_if(F.col("price") == 0).alias("zero_price_adds"), F.count("known").alias("locate_checked"), F.count_if(F.col("known") != F.col("stock")).alias("locate_mismatch"),

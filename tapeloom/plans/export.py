@@ -48,7 +48,7 @@ def replay(frames: DataFrame, days: DataFrame | None = None, symbol: str | None
     ops = book.operation_counts(fx)
     zero = {c: 0 for c in ops.columns if c not in book.BOOK}
     ops = symbols.where("symbol <> ''").select("day", "locate").join(ops, book.BOOK, "left").na.fill(zero)
-    return Replay(fx, tops, book.trade_tape(fx, decode.prints(rows)), book.l1_stream(tops), symbols.where("symbol <> ''"), ops, decode.control(rows), counted)
+    return Replay(fx, tops, book.trade_tape(fx, decode.prints(rows)), book.l1_stream(book.checked_tops(fx, tops)), symbols.where("symbol <> ''"), ops, decode.control(rows), counted)
 
 
 def totals(x: Replay) -> DataFrame:

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
+from tapeloom.functions.windows import carried, stretch_of
 
 STATES = ("two_sided", "one_sided", "empty", "crossed")
 
 
 def state_times(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
     """The states that last within regular hours: keys, the state, t0, t1, w (ns), state. A symbol's last state runs to 20:00."""
-    end = F.coalesce(F.lead("ts_ns").over(Window.partitionBy(*keys).orderBy("seq")), F.lit(m.FEED_END_NS))
+    l1 = carried(l1.select(*keys, "seq", "ts_ns", "bid_px", "ask_px", "bid_sz", "ask_sz"), keys, ["seq"], stretch_of(), lead={"n_ts": "ts_ns"})
+    end = F.coalesce("n_ts", F.lit(m.FEED_END_NS))
     clip = lambda x: F.greatest(F.lit(m.OPEN_NS), F.least(F.lit(m.CLOSE_NS), x))
     rows = l1.select(*keys, "bid_px", "ask_px", "bid_sz", "ask_sz", clip(F.col("ts_ns")).alias("t0"), clip(end).alias("t1"))
     return rows.select("*", (F.col("t1") - F.col("t0")).alias("w"), m.state_class().alias("state")).where("w > 0")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
 from tapeloom.functions.stats import regressions, t_expansion, t_quantile
+from tapeloom.functions.windows import carried, stretch_of
 
 HORIZONS = (10, 30, 60, 300)
 #: Degrees of freedom for which quantiles of Student's t are tabled.
@@ -22,15 +23,19 @@ def _imbalance() -> tuple[Column, Column]:
     return bid - ask, m.valid_state() & m.valid_state("p_bid_px", "p_ask_px")
 
 
+def _with_before(l1: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """States with those before them (p_...), by stretches of the feed."""
+    cols = ("bid_px", "ask_px", "bid_sz", "ask_sz")
+    return carried(l1.select(*keys, "seq", "ts_ns", *cols), keys, ["seq"], stretch_of(), lag={f"p_{x}": x for x in cols})
+
+
 def ofi_events(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
     """One row for each pair of adjacent states of a symbol: keys, seq, ts_ns (of the new state), e, pair_ok.
 
     e is the bid's contribution less the ask's, 0 unless both states are valid. Over several days, give the
     date as a key too.
     """
-    w = Window.partitionBy(*keys).orderBy("seq")
-    cols = ("bid_px", "ask_px", "bid_sz", "ask_sz")
-    rows = l1.select(*keys, "seq", "ts_ns", *cols, *[F.lag(x).over(w).alias(f"p_{x}") for x in cols]).where("p_bid_px is not null")
+    rows = _with_before(l1, keys).where("p_bid_px is not null")
     e, ok = _imbalance()
     return rows.select(*keys, "seq", "ts_ns", F.when(ok, e).otherwise(0).cast("long").alias("e"), ok.alias("pair_ok"))
 
@@ -50,9 +55,7 @@ def _grid(l1: DataFrame, keys: Sequence[str], first: int, last: int, name: str)
 
 def _stepped(l1: DataFrame, keys: Sequence[str], width_ns: int) -> DataFrame:
     """keys, b (bucket, -1 before the open), ofi, events, close (struct of seq and mid of the last valid state): one window and one aggregation over the states before the close."""
-    w = Window.partitionBy(*keys).orderBy("seq")
-    cols = ("bid_px", "ask_px", "bid_sz", "ask_sz")
-    rows = l1.select(*keys, "seq", "ts_ns", *cols, *[F.lag(x).over(w).alias(f"p_{x}") for x in cols]).where(F.col("ts_ns") < m.CLOSE_NS)
+    rows = _with_before(l1, keys).where(F.col("ts_ns") < m.CLOSE_NS)
     e, ok = _imbalance()
     at = F.when(F.col("ts_ns") < m.OPEN_NS, -1).otherwise(m.bucket("ts_ns", width_ns))
     counted = F.coalesce(ok, F.lit(False)) & (F.col("ts_ns") >= m.OPEN_NS)

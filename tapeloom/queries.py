@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
 from tapeloom.functions.storage import fresh_path, stored
+from tapeloom.functions.windows import asof
 from tapeloom.operators import book, decode, verify
 from tapeloom.plans import activity, export, liquidity, ofi
 from tapeloom.plans.stand_ins import base, duck, table
@@ -593,6 +594,41 @@ def book_reused_counts(spark, sf_dir):
     return dayless(v.join(book.audit_counts(book.audit(x)), "day"))
 
 
+#: Some operations name another locate than their order's. What they do is what they do on the clean table, whose locates are the orders' own.
+STRAY_SQL = """sy as (select seq, case when ty <> 'A' and seq % 37 < 5 then locate % 20 + 1 else locate end as msg from fx_ops)"""
+
+
+def fx_stray(spark, sf_dir) -> DataFrame:
+    ops = table(spark, sf_dir, "fx_ops")
+    return book.effects(ops.withColumn("locate", F.expr("if(ty <> 'A' and seq % 37 < 5, locate % 20 + 1, locate)")))
+
+
+@query(f"""with {duck('fx_ops')} {EFFECTS_SQL}, {STRAY_SQL},
+x as (select fx.*, msg, case when live then locate else msg end as home from fx join sy using (seq)),
+o as (select case when ty = 'D' then msg else home end as locate, count(*) filter (ty = 'A') as adds, count(*) filter (live and ty in ('E', 'C')) as executes, count(*) filter (live and ty = 'X') as cancels, count(*) filter (ty = 'D') as deletes,
+    count(*) filter (live and ty = 'U') as replaces from x group by all),
+l as (select locate, count(*) as levels, cast(sum(s) as bigint) as shares, cast(sum(o) as bigint) as orders from (select locate, side, price, sum(s) as s, sum(o) as o from delta group by all having sum(o) > 0) group by locate),
+s as (select home as locate, count(*) as strays from x where home <> msg group by home)
+select o.*, levels, shares, orders, coalesce(strays, 0) as strays from o join l using (locate) left join s using (locate)""")
+def stray_books(spark, sf_dir):
+    x = fx_stray(spark, sf_dir)
+    l = book.levels(x).groupBy("locate").agg(F.count("*").alias("levels"), F.sum("shares").alias("shares"), F.sum("orders").alias("orders"))
+    s = book.stray_operations(x).groupBy(F.col("home").alias("locate")).agg(F.count("*").alias("strays"))
+    return dayless(book.operation_counts(x)).join(l, "locate").join(s, "locate", "left").na.fill(0, ["strays"])
+
+
+@query(f"""with {duck('fx_ops')} {TOPS_SQL}, {STRAY_SQL},
+ck as (select fx.seq, fx.ts_ns, case when ty = 'A' or (live and ty in ('E', 'C')) then locate else msg end as locate from fx join sy using (seq)),
+at_ as (
+  select ck.locate, ck.seq, ck.ts_ns, coalesce(bid_px, 0) as bid_px, coalesce(ask_px, 0) as ask_px, least(coalesce(bid_sz, 0), 4294967295) as bid_sz, least(coalesce(ask_sz, 0), 4294967295) as ask_sz, least(coalesce(bid_ct, 0), 65535) as bid_ct, least(coalesce(ask_ct, 0), 65535) as ask_ct
+  from ck asof left join top on ck.locate = top.locate and ck.seq >= top.seq),
+ch as (select *, lag(row(bid_px, ask_px, bid_sz, ask_sz)) over (partition by locate order by seq) as prev from at_)
+select * exclude (prev) from ch where coalesce(prev, row(0::bigint, 0::bigint, 0::bigint, 0::bigint)) <> row(bid_px, ask_px, bid_sz, ask_sz)""")
+def stray_l1(spark, sf_dir):
+    x = fx_stray(spark, sf_dir)
+    return dayless(book.l1_stream(book.checked_tops(x, book.tops(x))))
+
+
 # from frames to exports
 
 def feed(spark, sf_dir, symbol=None) -> export.Replay:
@@ -636,6 +672,46 @@ def feed_crossings(spark, sf_dir):
     return feed(spark, sf_dir).crossings().agg(F.count_if(~F.col("pending")).alias("crossed_while_trading"), F.count_if("pending").alias("crossed_auction_pending"))
 
 
+# at moments
+
+@query(f"""with {duck('fx_ops')} {EFFECTS_SQL},
+lv as (select *, sum(s) over w as size, sum(o) over w as ct, lead(ts_ns) over w as until from delta window w as (partition by locate, side, price order by seq)),
+mt as (select 34200000000000 + 60000000000 * unnest(range(0, 391)) as at_ns),
+al as (select locate, side, price, size, ct, at_ns from mt join lv on ct > 0 and ts_ns < at_ns and (until is null or until >= at_ns)),
+r as (select *, row_number() over (partition by locate, at_ns, side order by case when side = 'B' then -price else price end) as rank from al)
+select locate, at_ns, cast(rank as int) as rank, cast(max(price) filter (side = 'B') as bigint) as bid_px, cast(max(size) filter (side = 'B') as bigint) as bid_sz, cast(max(ct) filter (side = 'B') as bigint) as bid_ct,
+  cast(max(price) filter (side = 'S') as bigint) as ask_px, cast(max(size) filter (side = 'S') as bigint) as ask_sz, cast(max(ct) filter (side = 'S') as bigint) as ask_ct
+from r where rank <= 5 group by locate, at_ns, rank""")
+def book_depth_minutes(spark, sf_dir):
+    return dayless(book.depth_at(fx(spark, sf_dir), m.OPEN_NS, m.CLOSE_NS, m.MINUTE_NS, 5))
+
+
+ASOF_SQL = "pr as (select *, ts_ns // 1000000000 * 1000000000 as t from fx_prints), l1_ as (select * replace (ts_ns // 1000000000 * 1000000000 as ts_ns) from fx_l1), st_ as (select * from l1_ qualify row_number() over (partition by locate, ts_ns order by seq desc) = 1)"
+
+
+def asof_sql(op: str) -> str:
+    return f"""with {duck('fx_prints', 'fx_l1')}, {ASOF_SQL}
+select p.seq, p.locate, p.t as ts_ns, p.price, p.shares, l.seq as state_seq, l.bid_px, l.ask_px from pr p asof left join st_ l on p.locate = l.locate and p.t {op} l.ts_ns"""
+
+
+def states_at_prints(spark, sf_dir, strict: bool) -> DataFrame:
+    """Prints with the state of the book before (or up to) them; times are cut to seconds, so that many are equal."""
+    whole = F.col("ts_ns") - F.col("ts_ns") % m.SECOND_NS
+    prints = table(spark, sf_dir, "fx_prints").select("seq", "locate", whole.alias("ts_ns"), "price", "shares")
+    rows = asof(prints, table(spark, sf_dir, "fx_l1").withColumn("ts_ns", whole), ["locate"], "ts_ns", "seq", strict)
+    return rows.select("seq", "locate", "ts_ns", "price", "shares", F.col("as_of.seq").alias("state_seq"), "as_of.bid_px", "as_of.ask_px")
+
+
+@query(asof_sql(">"))
+def asof_before(spark, sf_dir):
+    return states_at_prints(spark, sf_dir, True)
+
+
+@query(asof_sql(">="))
+def asof_up_to(spark, sf_dir):
+    return states_at_prints(spark, sf_dir, False)
+
+
 # through files
 
 def feed_file(spark, sf_dir, header=False) -> DataFrame:

@@ -4,6 +4,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tapeloom.functions.graph import components
 from tapeloom.operators import book
 
 SCHEMA = "seq long, locate int, ts_ns long, ty string, ref decimal(20,0), new_ref decimal(20,0), shares long, price long, side string, printable string"
@@ -118,3 +121,40 @@ def test_joins_agree_with_the_fold_on_random_operations(spark):
     assert a.count() == len(rows) and a.exceptAll(b).count() == 0
     whole, cut = book.tops(a), book.tops(a, stretch=200)  # stretches change nothing
     assert whole.count() and whole.exceptAll(cut).count() == 0 and cut.exceptAll(whole).count() == 0
+
+
+def test_components_take_few_rounds(spark):
+    path = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("a"), ((F.col("id") + 1) * 7919 % 3001).alias("b"))  # a path in a shuffled order of names
+    found, rounds = components(path.union(spark.createDataFrame([(9000, 9001), (9001, 9002), (9500, 9500)], "a long, b long")))
+    got = {r.node: r.component for r in found.collect()}
+    assert got == {**{i: 0 for i in range(3001)}, 9000: 9000, 9001: 9000, 9002: 9000, 9500: 9500} and rounds <= 12
+
+
+def test_chains_of_replaces_with_refs_added_twice(spark):
+    """Refs that come back by an add or a replace, in long chains: the split into joins and folds is the fold of all."""
+    rng, rows = random.Random(11), []
+    for i in range(1200):
+        ty, ref = rng.choice("AAAUUUUEXD"), rng.randrange(0, 150) + 40 * (i // 100)
+        if ty == "A":
+            rows.append(("A", ref, rng.choice("BS"), 100 * rng.randint(1, 9), 990000 + 100 * rng.randint(-9, 9)))
+        elif ty == "U":
+            rows.append(("U", ref, rng.choice([ref + 1, ref + 150, i + 5000]), 100 * rng.randint(1, 9), 990000 + 100 * rng.randint(-9, 9)))
+        else:
+            rows.append(("D", ref) if ty == "D" else (ty, ref, 100 * rng.randint(1, 4)))
+    o = ops(spark, *rows)
+    a, b = book.effects(o), book.fold_effects(o)
+    assert a.count() == len(rows) and a.exceptAll(b).count() == 0 and a.where("duplicate and ty = 'U'").count() > 5
+    assert book.audit(a).where("mismatches > 0").count() == 0
+
+
+def test_operations_that_name_another_locate(spark):
+    """The order's book changes; deletes count and cancels, deletes and replaces are looked at where the message says."""
+    fx = book.effects(ops(spark, ("A", 1, "B", 100, B, 8), ("A", 2, "B", 50, B, 7), ("E", 1, 10), ("X", 1, 20), ("U", 1, 3, 60, B + 100), ("A", 4, "S", 5, S, 8), ("D", 3), ("D", 99)))
+    assert [r.seq for r in book.stray_operations(fx).orderBy("seq").collect()] == [4, 6, 8, 12]
+    assert sorted((r.locate, r.side, r.price, r.shares) for r in book.levels(fx).collect()) == [(7, "B", B, 50), (8, "S", S, 5)]
+    counts = {r.locate: (r.adds, r.executes, r.cancels, r.deletes, r.replaces) for r in book.operation_counts(fx).collect()}
+    assert counts == {7: (1, 0, 0, 2, 0), 8: (2, 1, 1, 0, 1)}
+    assert [(r.locate, r.shares) for r in book.trade_tape(fx).collect()] == [(8, 10)]
+    l1 = [(r.seq, r.locate, r.bid_px, r.bid_sz, r.ask_px) for r in book.l1_stream(book.checked_tops(fx, book.tops(fx))).orderBy("seq").collect()]
+    assert l1 == [(0, 8, B, 100, 0), (2, 7, B, 50, 0), (4, 8, B, 90, 0), (10, 8, B + 100, 60, S)]
+    assert book.audit(fx).where("mismatches > 0").count() == 0
