@@ -45,23 +45,21 @@ def follow(data: bytes, at: int, limit: int) -> tuple[list[int], int, bool]:
     return out, at, False
 
 
-def entries(data: bytes, first: int, begin: int) -> list[int]:
-    """All places from `begin` on that a chain can come to if it passes one of the LONGEST offsets from `first` on: every chain from before `first` does. Places are within `data`."""
-    raw = np.frombuffer(data, np.uint8)
-    here, there = np.arange(first, min(first + LONGEST, len(data))), set()
-    while True:
-        there.update(here[here >= begin].tolist())
-        here = here[here < begin]
-        here = here[here < len(raw) - 1]
-        if len(here) <= 2:
-            break
-        n = raw[here].astype(np.int64) << 8 | raw[here + 1]
-        here = np.unique((here + 2 + n)[n > 0])
-    for at in here.tolist():
-        _, at, stopped = follow(data, at, begin)
-        if not stopped and at >= begin:
-            there.add(at)
-    return sorted(there)
+def entries(data: bytes, begin: int) -> list[int]:
+    """All places from `begin` on that a chain can come to first if it passes one of the first LONGEST offsets, as every chain from before them does.
+
+    Every offset points at the next; pointing twice as far in each round, all of them come to `begin` in a logarithm of rounds.
+    """
+    raw, lost = np.frombuffer(data, np.uint8), begin + LONGEST + 1
+    to = np.arange(lost + 1, dtype=np.int32)
+    to[:begin] = lost
+    here = np.arange(max(0, min(begin, len(raw) - 1)), dtype=np.int32)
+    n = raw[here].astype(np.int32) << 8 | raw[here + 1]
+    to[here] = np.where(n > 0, here + 2 + n, lost)
+    while not np.array_equal(further := to[to], to):
+        to = further
+    found = np.unique(to[:LONGEST])
+    return found[(found >= begin) & (found < lost)].tolist()
 
 
 def exits(data: bytes, starts: Iterable[int], limit: int) -> dict[int, tuple[int, int, bool]]:
@@ -99,7 +97,7 @@ def range_map(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with system.open_input_file(name) as f:
                 f.seek(first)
                 data = f.read(min(size, end + LONGEST + 1) - first)
-            starts = [0] if not begin else [follow(data, 0, begin)[1]] if not first else entries(data, 0, begin - first)
+            starts = [0] if not begin else [follow(data, 0, begin)[1]] if not first else entries(data, begin - first)
             rows = [(path, begin, s + first, to + first, n, over) for s, (to, n, over) in exits(data, [s for s in starts if s + first < end], end - first).items()]
             yield pd.DataFrame(rows, columns=["path", "begin", "entry", "exit", "frames", "stopped"])
 
