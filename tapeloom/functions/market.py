@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +70,10 @@ def group_of(symbol: str | Column, other: str = "ordinary") -> Column:
     return out
 
 
-def with_symbols(rows: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Adds `symbol` by locate, '' where the directory has none. A day's directory has at most 65,536 rows (locate has 16 bits), so it is broadcast."""
-    one = symbols.groupBy("locate").agg(F.max("symbol").alias("symbol"))
-    return rows.join(F.broadcast(one), "locate", "left").withColumn("symbol", F.coalesce("symbol", F.lit("")))
+def with_symbols(rows: DataFrame, symbols: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
+    """Adds `symbol` by `keys`, '' where the directory has none. Over several days give the day as a key too, as a locate has another symbol then. A day's directory has at most 65,536 rows (locate has 16 bits), so one day's is broadcast."""
+    one = symbols.groupBy(*keys).agg(F.max("symbol").alias("symbol"))
+    return rows.join(F.broadcast(one) if list(keys) == ["locate"] else one, list(keys), "left").withColumn("symbol", F.coalesce("symbol", F.lit("")))
 
 
 def clock(ts: str | Column) -> Column:

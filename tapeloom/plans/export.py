@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,18 +12,41 @@ from tapeloom.operators import book, decode
 from tapeloom.sources import records
 
 
-@dataclass(frozen=True)
 class Replay:
-    """What a feed makes: every table has `day`, a number for each file."""
+    """What a feed makes: every table has `day`, a number for each file. A table is made when it is first asked for, so the directory alone replays no book."""
 
-    effects: DataFrame
-    tops: DataFrame
-    trades: DataFrame
-    l1: DataFrame
-    symbols: DataFrame
-    ops: DataFrame
-    control: DataFrame
-    messages: DataFrame
+    def __init__(self, rows: DataFrame, messages: DataFrame):
+        self._rows, self.messages = rows, messages
+
+    @cached_property
+    def effects(self) -> DataFrame:
+        return book.effects(decode.operations(self._rows))
+
+    @cached_property
+    def tops(self) -> DataFrame:
+        return stored(book.tops(self.effects))
+
+    @cached_property
+    def trades(self) -> DataFrame:
+        return book.trade_tape(self.effects, decode.prints(self._rows))
+
+    @cached_property
+    def l1(self) -> DataFrame:
+        return book.l1_stream(book.checked_tops(self.effects, self.tops))
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return stored(decode.directory(self._rows).drop("file").where("symbol <> ''"))
+
+    @cached_property
+    def ops(self) -> DataFrame:
+        """Counts of the locates that the directory names."""
+        ops = book.operation_counts(self.effects)
+        return self.symbols.select("day", "locate").join(ops, book.BOOK, "left").na.fill({c: 0 for c in ops.columns if c not in book.BOOK})
+
+    @cached_property
+    def control(self) -> DataFrame:
+        return decode.control(self._rows)
 
     def crossings(self) -> DataFrame:
         return book.crossings(self.effects, self.tops, self.control)
@@ -40,15 +63,7 @@ def replay(frames: DataFrame, days: DataFrame | None = None, symbol: str | None
     """
     rows = decode.with_day(decode.before_failure(frames if "file" in frames.columns else frames.withColumn("file", F.lit(""))), days)
     counted = rows.groupBy("day", "file").agg(F.count("*").alias("messages"))
-    if symbol is not None:
-        rows = decode.tracked(rows, symbol)
-    fx = book.effects(decode.operations(rows))
-    tops = stored(book.tops(fx))
-    symbols = stored(decode.directory(rows).drop("file"))
-    ops = book.operation_counts(fx)
-    zero = {c: 0 for c in ops.columns if c not in book.BOOK}
-    ops = symbols.where("symbol <> ''").select("day", "locate").join(ops, book.BOOK, "left").na.fill(zero)
-    return Replay(fx, tops, book.trade_tape(fx, decode.prints(rows)), book.l1_stream(book.checked_tops(fx, tops)), symbols.where("symbol <> ''"), ops, decode.control(rows), counted)
+    return Replay(rows if symbol is None else decode.tracked(rows, symbol), counted)
 
 
 def totals(x: Replay) -> DataFrame:

@@ -193,3 +193,15 @@ def test_ops_scope_and_expansion(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "study")).schema["id"].metadata == {"scope": "one day"}
     got = spark.createDataFrame([(float(d),) for d in (101, 400)], "df double").select(t_expansion(0.975, F.col("df")).alias("t")).collect()
     assert all(abs(r.t - t_quantile(0.975, d)) < 1e-6 for r, d in zip(got, (101, 400), strict=True))
+
+
+def test_symbols_by_day_and_lazy_replay(spark):
+    from tapeloom.functions import market
+
+    symbols = spark.createDataFrame([(0, 3, "OLD"), (1, 3, "TGT")], "day int, locate int, symbol string")
+    rows = spark.createDataFrame([(0, 3), (1, 3), (1, 4)], "day int, locate int")
+    assert sorted(tuple(r) for r in market.with_symbols(rows, symbols, ("day", "locate")).collect()) == [(0, 3, "OLD"), (1, 3, "TGT"), (1, 4, "")]
+    payloads = [packed("R", 3, 0, stock="TGT"), packed("A", 3, 5, ref=1, side="B", shares=100, stock="TGT", price=7)]
+    x = export.replay(spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(payloads)], "seq long, payload binary"))
+    assert [r.symbol for r in x.symbols.collect()] == ["TGT"] and not {"effects", "tops"} & set(vars(x))
+    assert [(r.bid_px, r.bid_sz) for r in x.l1.collect()] == [(7, 100)] and {"effects", "tops"} <= set(vars(x))
