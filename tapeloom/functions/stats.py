@@ -4,21 +4,35 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.storage import stored
+
 
 def weighted_quantiles(rows: DataFrame, keys: Sequence[str], value: str, weight: str, quantiles: dict[str, float]) -> DataFrame:
     """For each group the smallest value whose cumulative weight reaches q of the total; one column for each name of `quantiles`.
 
-    Weights are first added up by value, so what is sorted are the distinct values of a group.
+    Weights are first added up by value, so what is sorted are the distinct values of a group, and those are dealt by ranges of group and value: a group that
+    holds most of them spans many tasks. The weights of the ranges, a row for each range and group in it, tell which range a quantile lies in; only the values of
+    such ranges are added up one by one, each range on its own. Rows without a value or weight are left out, and so are groups without any other; no key
+    is null; weights are not negative. Column names must not start with `_`.
     """
-    by = rows.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*keys)
-    by = by.select(*keys, value, F.sum("_w").over(w.orderBy(value)).alias("_cum"), F.sum("_w").over(w).alias("_all"))
-    return by.groupBy(*keys).agg(*[F.min(F.when(F.col("_cum") >= F.col("_all") * q, F.col(value))).alias(name) for name, q in quantiles.items()])
+    keys = list(keys)
+    by = rows.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
+    parts = stored(by.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)
+    per = parts.groupBy(*keys, "_part").agg(F.sum("_w").alias("_own"))
+    # a range is an interval of values, so its place among a group's ranges is its number's
+    per = per.select(*keys, "_part", (F.sum("_own").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_base"), F.sum("_own").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)).alias("_end"), F.sum("_own").over(group).alias("_all"))
+    holds = reduce(lambda a, b: a | b, [(F.col("_end") >= F.col("_all") * q) & (F.col("_base").isNull() | (F.col("_base") < F.col("_all") * q)) for q in quantiles.values()])
+    cum = F.coalesce("_base", F.lit(0)) + F.sum("_w").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    near = parts.join(per.where(holds), [*keys, "_part"]).withColumn("_cum", cum)
+    # of the ranges that are looked at, the one that q lies in has the smallest value at or above it
+    return near.groupBy(*keys).agg(*[F.min(F.when(F.col("_cum") >= F.col("_all") * q, F.col(value))).alias(name) for name, q in quantiles.items()])
 
 
 def _newey_west(u: Column, lag: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
+from tapeloom.functions.stats import weighted_quantiles
+from tapeloom.functions.storage import stored
 from tapeloom.functions.windows import carried, stretch_of
 
 STATES = ("two_sided", "one_sided", "empty", "crossed")
@@ -40,23 +42,18 @@ def state_shares(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
 def liquidity_summary(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
     """One row for each symbol: spread (mean, median, 95th percentile), depth, mid and shares of states, all weighted by time.
 
-    States are timed once. What is left of them for each symbol, state and spread are sums, which all figures follow from.
+    States are timed once. What is left of them for each symbol, state and spread are sums, written once, which all figures follow from.
     """
     keys = list(keys)
     two = F.col("state") == "two_sided"
     t = state_times(l1, keys).withColumn("bps", F.when(two, m.spread_bps()))
     weighed = {"tw_depth_shares": (F.col("bid_sz") + F.col("ask_sz")).cast("double"), "tw_depth_usd": _usd(), "tw_mid": (F.col("bid_px") + F.col("ask_px")) / 2e4}
-    by = t.groupBy(*keys, "state", "bps").agg(F.sum("w").alias("w"), F.count("*").alias("n"), *[F.sum(x * F.col("w")).alias(c) for c, x in weighed.items()])
-    w = Window.partitionBy(*keys, "state")
-    by = by.select("*", F.sum("w").over(w.orderBy("bps")).alias("_cum"), F.sum("w").over(w).alias("_all"))
+    by = stored(t.groupBy(*keys, "state", "bps").agg(F.sum("w").alias("w"), F.count("*").alias("n"), *[F.sum(x * F.col("w")).alias(c) for c, x in weighed.items()]))
     share = [(100.0 * F.sum(F.when(F.col("state") == s, F.col("w")).otherwise(0)) / F.sum("w")).alias(f"pct_{s}") for s in STATES]
     of = F.sum(F.when(two, F.col("w")))
     mean = lambda x: F.sum(F.when(two, x)) / of
-    quantile = lambda q: F.min(F.when(two & (F.col("_cum") >= F.col("_all") * q), F.col("bps")))
-    return by.groupBy(*keys).agg(
-        *share, F.sum("n").alias("n_states_rth"), F.sum(F.when(two, 0).otherwise(F.col("n"))).alias("n_states_excluded"), mean(F.col("bps") * F.col("w")).alias("tw_spread_bps"),
-        *[mean(F.col(c)).alias(c) for c in weighed], quantile(0.5).alias("med_spread_bps"), quantile(0.95).alias("p95_spread_bps"),
-    )
+    sums = by.groupBy(*keys).agg(*share, F.sum("n").alias("n_states_rth"), F.sum(F.when(two, 0).otherwise(F.col("n"))).alias("n_states_excluded"), mean(F.col("bps") * F.col("w")).alias("tw_spread_bps"), *[mean(F.col(c)).alias(c) for c in weighed])
+    return sums.join(weighted_quantiles(by.where(two), keys, "bps", "w", {"med_spread_bps": 0.5, "p95_spread_bps": 0.95}), keys, "left")
 
 
 def liquidity_1min(l1: DataFrame, keys: Sequence[str] = ("locate",)) -> DataFrame:
