@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -270,18 +271,41 @@ def _gate(low: Column) -> Column:
     return any_of([*[holds(g.split()) for g in GATES], F.contains(low, F.lit("under")) & F.rlike(low, F.lit(UNDER_SHORT))])
 
 
+SPAN = "struct<start:int,end:int,priority:int,label:string>"
+#: Items of an array that are gathered before they are put behind those before them.
+RUN = 256
+
+
+def _gathered(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What `step` gives for each of `items` in order: from a state, `start` at first, and an item, the next state and an array of spans.
+
+    An array that grows by each item is copied for each; so items are gathered in runs of RUN, and the runs' arrays joined at the end.
+    """
+
+    def inner(a: Column, x: Column) -> Column:
+        state, out = step(a["state"], x)
+        return F.struct(state.alias("state"), F.concat(a["out"], out).alias("out"))
+
+    def outer(a: Column, k: Column) -> Column:
+        run = F.slice(items, k * RUN + 1, F.lit(RUN))
+        begin = F.struct(a["state"].alias("state"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(run, begin, inner, lambda r: F.struct(r["state"].alias("state"), F.concat(a["runs"], F.array(r["out"])).alias("runs")))
+
+    none = F.struct(start.alias("state"), F.array().cast(f"array<array<{SPAN}>>").alias("runs"))
+    return F.when(F.size(items) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int")), none, outer, lambda a: a["runs"])))
+
+
 def _spans(text: Column, rule: Column) -> Column:
-    """array<struct<start, end, priority, label>> of the rule's matches: the pieces between them give the places."""
+    """array<SPAN> of the rule's matches: the lengths of the pieces between them and of the matches give the places."""
 
-    def place(pieces: Column, found: Column) -> Column:
-        step = lambda a, k: F.struct(
-            (a["at"] + F.length(F.get(pieces, k)) + F.length(F.get(found, k))).alias("at"),
-            F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(F.get(pieces, k))).alias("start"), (-(a["at"] + F.length(F.get(pieces, k)) + F.length(F.get(found, k)))).alias("end"), (-rule["priority"]).alias("priority"), rule["label"].alias("label")))).alias("spans"),
-        )
-        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>").alias("spans"))
-        return F.when(F.size(found) == 0, none["spans"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), none, step, lambda a: a["spans"]))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start, end = at + x["skip"], at + x["skip"] + x["own"]
+        return end, F.array(F.struct(start.alias("start"), (-end).alias("end"), (-rule["priority"]).alias("priority"), rule["label"].alias("label")))
 
-    return let(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), lambda found: place(F.split(text, rule["pattern"], -1), found))
+    # cut into pieces once, not once for each match, and only where there is one
+    lengths = lambda found, pieces: F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda f, p: F.struct(F.length(p).alias("skip"), F.length(f).alias("own")))
+    each = lambda found: let(lengths(found, F.split(text, rule["pattern"], -1)), lambda items: _gathered(items, F.lit(0), step))
+    return let(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), lambda found: F.when(F.size(found) > 0, each(found)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
 
 def detections(text: Column) -> Column:
@@ -297,15 +321,14 @@ def detections(text: Column) -> Column:
 
     def kept(spans: Column) -> Column:
         # ends: how far the detections of at least this priority reach so far, one for each level
-        def step(a: Column, s: Column) -> Column:
+        def step(ends: Column, s: Column) -> tuple[Column, Column]:
             end, priority = -s["end"], -s["priority"]
-            reach = reduce(lambda x, y: F.when(priority == y[1], F.element_at(a["ends"], y[0] + 1)).otherwise(x), enumerate(levels), F.lit(-1))
-            ends = F.transform(a["ends"], lambda e, i: F.when(priority >= F.element_at(F.array(*[F.lit(x) for x in levels]), i + 1), F.greatest(e, end)).otherwise(e))
+            reach = reduce(lambda x, y: F.when(priority == y[1], F.element_at(ends, y[0] + 1)).otherwise(x), enumerate(levels), F.lit(-1))
+            further = F.transform(ends, lambda e, i: F.when(priority >= F.element_at(F.array(*[F.lit(x) for x in levels]), i + 1), F.greatest(e, end)).otherwise(e))
             out = F.struct(s["start"].alias("start"), end.alias("end"), priority.alias("priority"), s["label"].alias("label"))
-            return F.struct(ends.alias("ends"), F.when(end <= reach, a["out"]).otherwise(F.concat(a["out"], F.array(out))).alias("out"))
+            return further, F.when(end <= reach, F.array().cast(f"array<{SPAN}>")).otherwise(F.array(out))
 
-        none = F.struct(F.array(*[F.lit(-1) for _ in levels]).alias("ends"), F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>").alias("out"))
-        return F.aggregate(spans, none, step, lambda a: a["out"])
+        return let(spans, lambda x: _gathered(x, F.array(*[F.lit(-1) for _ in levels]), step))
 
     def scan(low: Column) -> Column:
         # each word is looked for once, not once for each rule
@@ -313,7 +336,7 @@ def detections(text: Column) -> Column:
         return kept(F.sort_array(F.flatten(F.transform(due, lambda r: _spans(low, r)))))
 
     low = F.lower(F.coalesce(text, F.lit("")))
-    return let(low, lambda x: F.when(_gate(x), scan(x)).otherwise(F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")))
+    return let(low, lambda x: F.when(_gate(x), scan(x)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
 
 def base_places(text: Column) -> Column:
