@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import SPACE, joined_small, unused, written
+from tapeloom.llm.common import BROADCAST_ROWS, HOT_ROWS, SPACE, joined_counted, let, unused, written
 
 MIN_SITES = 10
 
@@ -17,27 +17,48 @@ def _lines(docs: DataFrame, site: str) -> DataFrame:
     return rows.select("doc_id", "_text", "_site", "_pos", F.xxhash64("_raw").alias("_line"))
 
 
+def _of_lines(lines: DataFrame, table: DataFrame, busy: DataFrame) -> DataFrame:
+    """The rows of `lines` whose _line is in `table` (_line, _n and more; unique), with its columns but _n.
+
+    A table of few rows is broadcast. Beyond that lines of many rows stay spread: `busy` (_line, _n) has every line that is in `table` or
+    on more than HOT_ROWS rows, so no other line's rows fill a task.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(table.drop("_n")), "_line")
+    more = [c for c in table.columns if c not in ("_line", "_n")]
+    known = busy.join(table.withColumn("_in", F.lit(True)).drop("_n"), "_line", "left")
+    rows = busy.agg(F.sum("_n")).first()[0]
+    return joined_counted(lines, known, ["_line"], rows, "_n").where("_in").select(*lines.columns, *more)
+
+
+def _spread(lines: DataFrame, min_sites: int, rsd: float) -> tuple[DataFrame, DataFrame]:
+    """The lines on `min_sites` sites or more (_line, _first, _n), and the `busy` ones of `_of_lines`."""
+    # every line with its estimate and its rows; only lines that may be over the limit, or that are on many rows, go on
+    may = F.col("_sites") * 2 >= min_sites
+    seen = lines.groupBy("_line").agg(F.approx_count_distinct("_site", rsd).alias("_sites"), F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
+    seen = written(seen.where(may | (F.col("_n") > HOT_ROWS)))
+    busy, seen = seen.select("_line", "_n"), seen.where(may)
+    near = seen.where(F.col("_sites") < 2 * min_sites)
+    exact = _of_lines(lines, near.select("_line", "_n"), busy).select("_line", "_site").distinct().groupBy("_line").agg(F.count("*").alias("_exact")).where(F.col("_exact") >= min_sites)
+    sure = seen.where(F.col("_sites") >= 2 * min_sites).union(near.join(exact, "_line", "left_semi"))
+    return written(sure.select("_line", "_first", "_n")), busy
+
+
 def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, rsd: float = 0.05) -> DataFrame:
     """The lines on `min_sites` sites or more: _line, _first (the smallest doc_id that has it).
 
     A HyperLogLog sketch of the sites of each line is merged in the aggregation. Lines estimated within a
     factor of two of the limit (ten standard errors at least) get an exact count; the others are decided
     by the sketch. Both aggregations combine before they shuffle, so a line on a third of all rows
-    is one row of each map task.
+    is one row of each map task; the rows of each line are counted too, so that joins keep such a line's rows spread.
     """
-    lines = _lines(docs, site)
-    # every line with its estimate; only lines that may be over the limit go on
-    seen = lines.groupBy("_line").agg(F.approx_count_distinct("_site", rsd).alias("_sites"), F.min("doc_id").alias("_first")).where(F.col("_sites") * 2 >= min_sites)
-    seen = written(seen)
-    near = seen.where(F.col("_sites") < 2 * min_sites)
-    exact = joined_small(lines, near.select("_line"), ["_line"], "left_semi").select("_line", "_site").distinct().groupBy("_line").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_sites)
-    return seen.where(F.col("_sites") >= 2 * min_sites).select("_line", "_first").union(near.join(exact, "_line", "left_semi").select("_line", "_first"))
+    return _spread(_lines(docs, site), min_sites, rsd)[0].drop("_n")
 
 
 def removed_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
     """_id, _text, _gone: for each document (doc_id and hash of its text) with such lines, their places in it. The first document that has a line keeps it."""
-    spread = spread_lines(docs, site, min_sites)
-    hits = joined_small(_lines(docs, site), spread, ["_line"])
+    lines = _lines(docs, site)
+    hits = _of_lines(lines, *_spread(lines, min_sites, 0.05))
     if keep_first:
         hits = hits.where(F.col("doc_id") > F.col("_first"))
     return hits.groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.collect_set("_pos").alias("_gone"))
@@ -54,7 +75,9 @@ def _with_removed(docs: DataFrame, site: str, min_sites: int, keep_first: bool)
 
 
 def _cleaned(text: Column, gone: Column) -> Column:
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    """`text` without the lines at the places `gone`; places are told apart by a hash set, so the work grows with the lines."""
+    kept = lambda raw: F.transform(F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), gone), lambda i: F.get(raw, i))
+    return F.when(gone.isNull(), text).otherwise(let(F.split(text, "\n"), lambda raw: F.array_join(kept(raw), "\n")))
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = True, keep_empty: bool = True) -> DataFrame:
