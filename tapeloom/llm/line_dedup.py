@@ -31,17 +31,18 @@ def _of_lines(lines: DataFrame, table: DataFrame, busy: DataFrame) -> DataFrame:
     return joined_counted(lines, known, ["_line"], rows, "_n").where("_in").select(*lines.columns, *more)
 
 
-def _spread(lines: DataFrame, min_sites: int, rsd: float) -> tuple[DataFrame, DataFrame]:
-    """The lines on `min_sites` sites or more (_line, _first, _n), and the `busy` ones of `_of_lines`."""
-    # every line with its estimate and its rows; only lines that may be over the limit, or that are on many rows, go on
+def _candidates(lines: DataFrame, min_sites: int, rsd: float) -> tuple[DataFrame, DataFrame]:
+    """The lines that may be on `min_sites` sites or more (_line, _sites as estimated, _first, _n), and the `busy` ones of `_of_lines`."""
     may = F.col("_sites") * 2 >= min_sites
     seen = lines.groupBy("_line").agg(F.approx_count_distinct("_site", rsd).alias("_sites"), F.min("doc_id").alias("_first"), F.count("*").alias("_n"))
     seen = written(seen.where(may | (F.col("_n") > HOT_ROWS)))
-    busy, seen = seen.select("_line", "_n"), seen.where(may)
-    near = seen.where(F.col("_sites") < 2 * min_sites)
-    exact = _of_lines(lines, near.select("_line", "_n"), busy).select("_line", "_site").distinct().groupBy("_line").agg(F.count("*").alias("_exact")).where(F.col("_exact") >= min_sites)
-    sure = seen.where(F.col("_sites") >= 2 * min_sites).union(near.join(exact, "_line", "left_semi"))
-    return written(sure.select("_line", "_first", "_n")), busy
+    return seen.where(may), seen.select("_line", "_n")
+
+
+def _spread(rows: DataFrame, seen: DataFrame, min_sites: int) -> DataFrame:
+    """Those of the candidates `seen` that are on `min_sites` sites or more; `rows` are the rows of the candidates, with _sites."""
+    exact = rows.where(F.col("_sites") < 2 * min_sites).select("_line", "_site").distinct().groupBy("_line").agg(F.count("*").alias("_exact")).where(F.col("_exact") >= min_sites)
+    return seen.join(exact, "_line", "left").where((F.col("_sites") >= 2 * min_sites) | F.col("_exact").isNotNull()).select("_line", "_first", "_n")
 
 
 def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, rsd: float = 0.05) -> DataFrame:
@@ -52,13 +53,21 @@ def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SIT
     by the sketch. Both aggregations combine before they shuffle, so a line on a third of all rows
     is one row of each map task; the rows of each line are counted too, so that joins keep such a line's rows spread.
     """
-    return _spread(_lines(docs, site), min_sites, rsd)[0].drop("_n")
+    lines = _lines(docs, site)
+    seen, busy = _candidates(lines, min_sites, rsd)
+    return _spread(_of_lines(lines, seen.select("_line", "_n", "_sites"), busy), seen, min_sites).drop("_n")
 
 
 def removed_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
-    """_id, _text, _gone: for each document (doc_id and hash of its text) with such lines, their places in it. The first document that has a line keeps it."""
+    """_id, _text, _gone: for each document (doc_id and hash of its text) with such lines, their places in it. The first document that has a line keeps it.
+
+    Texts are cut into lines twice: for the sketches, and for the rows of lines that may spread, which are written once.
+    """
     lines = _lines(docs, site)
-    hits = _of_lines(lines, *_spread(lines, min_sites, 0.05))
+    seen, busy = _candidates(lines, min_sites, 0.05)
+    rows = written(_of_lines(lines, seen.select("_line", "_n", "_sites"), busy))
+    spread = written(_spread(rows, seen, min_sites))
+    hits = _of_lines(rows, spread, busy)
     if keep_first:
         hits = hits.where(F.col("doc_id") > F.col("_first"))
     return hits.groupBy(F.col("doc_id").alias("_id"), "_text").agg(F.collect_set("_pos").alias("_gone"))
