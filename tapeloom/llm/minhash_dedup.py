@@ -237,6 +237,51 @@ def all_similarities(left: list[bytes], right: list[bytes], idf: np.ndarray, wid
     return np.divide(common, total, out=np.zeros_like(common), where=total > 0)
 
 
+def rare_part(data: bytes, idf: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set's rarest elements, which leave less than `similarity` of its weight to the others.
+
+    Elements stand in one order for all sets: by weight, heaviest first, then key. Sets of that similarity share at least that part of the weight
+    of either, so the first element that they share is in the rare part of both.
+    """
+    _, keys, shingles = _elements([data])
+    weights = weigh(shingles, np.ones(len(shingles)), idf).astype(np.float64)
+    order = np.lexsort((keys, -weights))
+    after = weights.sum() - np.cumsum(weights[order])
+    # a billionth of slack for rounding
+    return keys[order][: np.count_nonzero(after >= similarity * weights.sum() * (1 - 1e-9)) + 1]
+
+
+def blocks_to_compare(open_: DataFrame, sets: DataFrame, idf, s: Settings) -> DataFrame:
+    """Which nodes of open buckets to compare: `open_` (key, node, component, rest, n: rows of the key) -> key, node, component, rest, rests, mains.
+
+    `rests` and `mains` tell how many blocks the nodes with and without `rest` make in their group. A bucket of more than a block is cut
+    into groups of nodes that share an element of their rare parts, unless its sets would be copied to fewer blocks uncut.
+    Groups of one component need no comparison; of groups with the same nodes one is left.
+    """
+    count = [F.count("*").alias("n"), F.count_if("rest").alias("r"), F.min("component").alias("lo"), F.max("component").alias("hi")]
+    up = lambda n: F.ceil(n / s.block)
+    copies = (F.col("r") * (up(F.col("r")) + up(F.col("n") - F.col("r"))) + (F.col("n") - F.col("r")) * up(F.col("r"))).cast("double")
+
+    @F.pandas_udf("array<long>")
+    def rare(data: pd.Series) -> pd.Series:
+        return pd.Series([rare_part(x, idf.value, s.similarity).view(np.int64) for x in data])
+
+    large = open_.where(F.col("n") > s.block).drop("n")
+    parts = sets.join(large.select("node").distinct(), "node").select("node", rare("set").alias("rare"))
+    cut = large.join(parts, "node").select("key", "node", "component", "rest", F.explode("rare").alias("rare"))
+    cut = written(cut.select(F.xxhash64("key", "rare").alias("part"), "key", "node", "component", "rest"))
+    groups = cut.groupBy("part").agg(F.min("key").alias("key"), *count, F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")).where("lo <> hi")
+    groups = written(groups.groupBy("key", "n", "r", "all").agg(F.min("part").alias("part")))
+
+    whole = open_.groupBy("key").agg(*count).withColumn("copies", copies)
+    cost = groups.groupBy("key").agg(F.sum(copies).alias("cost"))
+    whole = written(whole.join(cost, "key", "left").withColumn("cut", (F.col("n") > s.block) & (F.coalesce("cost", F.lit(0.0)) < F.col("copies"))))
+    chosen = groups.join(whole.where("cut").select("key"), "key").select(F.col("part").alias("key"), "n", "r").union(whole.where("not cut").select("key", "n", "r"))
+    chosen = written(chosen.select("key", up(F.col("r")).cast("int").alias("rests"), up(F.col("n") - F.col("r")).cast("int").alias("mains"), "n"))
+    rows = open_.drop("n").union(cut.select(F.col("part").alias("key"), "node", "component", "rest"))
+    return joined_counted(rows, chosen, ["key"], rows.count()).drop("n")
+
+
 def near_duplicate_classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The class of every row of `docs` (doc_id long, text): doc_id, class_id, kept.
 
@@ -248,7 +293,8 @@ def near_duplicate_classes(docs: DataFrame, settings: Settings = Settings()) ->
     2. Equal texts are one node; nodes that share a band form a bucket.
     3. Each node of a bucket is compared with the bucket's first, on whole shingle sets.
     4. In buckets that are not in one class yet, each node outside the first's class is compared with all others, a block of nodes
-       against a block, as products of matrices. So no pair that shares a band is left
+       against a block, as products of matrices. Buckets of more than a block are cut by rare shingles first (`blocks_to_compare`), which
+       loses no pair: so thousands of dissimilar texts with one passage in common are not all compared. No pair that shares a band is left
        out, and a bucket of thousands of copies costs one comparison each.
 
     Copies, buckets and classes of many rows are joined by `joined_counted` and `joined_wide`, which spread them. Null and empty texts
@@ -292,9 +338,8 @@ def near_duplicate_classes(docs: DataFrame, settings: Settings = Settings()) ->
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("first"), F.col("component"))).alias("main"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"))
     mixed = written(mixed.where("lo <> hi").groupBy("n", "all").agg(F.min_by(F.struct("key", "main"), "key").alias("k")).select("k.key", "k.main", "n"))
     # blocks of the nodes outside the first's class, then those of that class, which need not meet each other
-    open_ = joined_counted(placed.drop("first"), mixed, ["key"], many).withColumn("rest", F.col("component") != F.col("main"))
-    sizes = written(open_.groupBy("key").agg(F.ceil(F.count_if("rest") / s.block).cast("int").alias("rests"), F.ceil(F.count_if(~F.col("rest")) / s.block).cast("int").alias("mains"), F.count("*").alias("n")))
-    open_ = joined_counted(open_.select("key", "node", "component", "rest"), sizes, ["key"], many).drop("n")
+    open_ = joined_counted(placed.drop("first"), mixed, ["key"], many).select("key", "node", "component", (F.col("component") != F.col("main")).alias("rest"), "n")
+    open_ = blocks_to_compare(written(open_), sets, idf, s)
     dealt = lambda blocks: F.pmod(F.xxhash64("node", F.lit(3)), F.col(blocks)).cast("int")
     open_ = open_.withColumn("own", F.when(F.col("rest"), dealt("rests")).otherwise(F.col("rests") + dealt("mains")))
     open_ = open_.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("rests") + F.col("mains") - 1).otherwise(F.col("rests") - 1))).alias("other"))
