@@ -46,7 +46,7 @@ def mixing_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Se
     """What the mix takes of each row of `docs` (doc_id, text, source).
 
     Returns doc_id, size, source_size, target, taken, whole, part and position. A source's documents stand in
-    a fixed pseudo-random order (md5 of doc_id); the mix goes through them again and again until the
+    a fixed pseudo-random order (md5 of doc_id, then hash of the text); the mix goes through them again and again until the
     source's target is met, so a document is taken `whole` times in full and once for its first `part`
     words. The time-varying schedule of the source places that demand in training time: `position` (0 to 1)
     is when the first word of the document is due, null if none is taken.
@@ -58,12 +58,13 @@ def mixing_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Se
 
 
 def _plan(docs: DataFrame, keep: list[str], weights: Sequence[int] = WEIGHTS, schedules: Sequence[tuple[float, float]] = SCHEDULES, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The plan, with the columns `keep` of `docs`; they also order rows of equal doc_id."""
-    sized = docs.select(*keep, "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order"))
+    """The plan, with the columns `keep` of `docs`; they also order rows of equal doc_id, without them a hash of the text does."""
+    tie = keep or ["_tie"]
+    sized = docs.select(*(keep or [F.xxhash64("text").alias("_tie")]), "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order"))
     src = source_targets(sized, weights, schedules, share, cap)
     src = src.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     rows = joined_small(sized.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source"), src, ["_key"]).drop("_key")
-    rows = running_totals(rows, ["_rank"], ["_order", "doc_id", *keep], {"size": "_before"})
+    rows = running_totals(rows, ["_rank"], ["_order", "doc_id", *tie], {"size": "_before"})
     want, size = F.round("target").cast("long"), F.col("source_size")
     # in two steps, so that each value is computed once
     rows = rows.select("*", F.when(size > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("int").alias("whole"), want.alias("_want"))
