@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import market as m
+from tapeloom.functions.storage import stored
 from tapeloom.functions.windows import carried, stretch_of
 
 # The wire format. Type -> (name, length, fields); a field is (name, offset, width, kind): u unsigned, a text.
@@ -78,6 +79,14 @@ def before_failure(frames: DataFrame) -> DataFrame:
     return rows if "file" in frames.columns else rows.drop("file")
 
 
+def days_before_failure(frames: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """`with_day` of `before_failure`, from one look at the frames for both: a row for each file is written down, with its first frame and its first that does not decode."""
+    rows = _file(frames if "status" in frames.columns else with_status(frames))
+    ends = stored(rows.groupBy("file").agg(F.min("seq").alias("_first"), F.min(F.when(F.col("status") != "Ok", F.col("seq"))).alias("_bad")))
+    ends = ends.where("_bad is null or _first < _bad").drop("_first")
+    return with_day(rows, with_day(ends) if days is None else ends.join(days, "file")).where("_bad is null or seq < _bad").drop("_bad")
+
+
 def with_day(frames: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """Frames with `day`, a number for each file: by `days` (file, day), or else by the files' order."""
     if days is None:
@@ -93,24 +102,26 @@ def decoded(frames: DataFrame, kind: str) -> DataFrame:
     return frames.where(F.substring("payload", 1, 1).cast("string") == kind).select("seq", *cols[:2], *ts, *cols[2:])
 
 
-def _bytes_of(kind: str, have: list[str]) -> Column:
+def _bytes_of(kind: str, have: dict[str, str]) -> Column:
+    """A message's bytes; `have`: name -> type of the columns there are. Whole numbers need no `conv`, which takes several times as long."""
     parts = [F.encode(F.lit(kind), "UTF-8")]
     for n, _, w, k in HEADER + LAYOUTS[kind][2]:
         value = F.col(n) if n in have else F.lit("" if k == "a" else 0)
-        parts.append(F.encode(F.rpad(F.coalesce(value, F.lit("")), w, " "), "UTF-8") if k == "a" else F.unhex(F.lpad(F.conv(value.cast("string"), 10, 16), 2 * w, "0")))
+        digits = F.hex(value) if have.get(n, "int") in ("int", "bigint") else F.conv(value.cast("string"), 10, 16)
+        parts.append(F.encode(F.rpad(F.coalesce(value, F.lit("")), w, " "), "UTF-8") if k == "a" else F.unhex(F.lpad(digits, 2 * w, "0")))
     return F.concat(*parts)
 
 
 def encoded(rows: DataFrame, kind: str) -> DataFrame:
     """The inverse of `decoded`: seq and payload, from columns named as the fields (numbers, or texts that get padded; 0 or blanks where there is no such column)."""
-    return rows.select("seq", _bytes_of(kind, rows.columns).alias("payload"))
+    return rows.select("seq", _bytes_of(kind, dict(rows.dtypes)).alias("payload"))
 
 
 def encoded_all(rows: DataFrame, kinds: str, kind: str = "ty", keep: tuple[str, ...] = ("seq",)) -> DataFrame:
     """Messages of several kinds in one pass: `keep` and payload, for the rows whose `kind` is one of `kinds`."""
     out = F.lit(None).cast("binary")
     for k in kinds:
-        out = F.when(F.col(kind) == k, _bytes_of(k, rows.columns)).otherwise(out)
+        out = F.when(F.col(kind) == k, _bytes_of(k, dict(rows.dtypes))).otherwise(out)
     return rows.where(F.col(kind).isin(*kinds)).select(*keep, out.alias("payload"))
 
 

@@ -61,7 +61,7 @@ def replay(frames: DataFrame, days: DataFrame | None = None, symbol: str | None
     Files are days of their own (`days`: file, day), so seq, locate and ref need not differ between them. ops has
     only locates that the directory names.
     """
-    rows = decode.with_day(decode.before_failure(frames if "file" in frames.columns else frames.withColumn("file", F.lit(""))), days)
+    rows = decode.days_before_failure(frames, days)
     counted = rows.groupBy("day", "file").agg(F.count("*").alias("messages"))
     return Replay(rows if symbol is None else decode.tracked(rows, symbol), counted)
 
